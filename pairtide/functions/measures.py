@@ -19,24 +19,39 @@ def aligned(x: Column, y: Column, lag: int) -> Tuple[Column, Column]:
     return (head(x), tail(y)) if lag >= 0 else (tail(x), head(y))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; lambda bodies do not share subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
 def centred(values: Column) -> Column:
-    mean = F.try_divide(total(values), F.size(values))
-    return F.transform(values, lambda v: v - mean)
+    """Values minus their mean."""
+    return bind(values, lambda a: bind(F.try_divide(total(a), F.size(a)), lambda mean: F.transform(a, lambda v: v - mean)))
 
 
 def inner(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
+def constant(values: Column) -> Column:
+    return F.array_max(values) == F.array_min(values)
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation of two arrays; 0 for a constant one, NULL for empty ones."""
-    cx, cy = centred(x), centred(y)
-    flat = (F.array_max(x) == F.array_min(x)) | (F.array_max(y) == F.array_min(y))
-    return F.when(flat, F.lit(0.0)).otherwise(F.try_divide(inner(cx, cy), F.sqrt(inner(cx, cx) * inner(cy, cy))))
+
+    def scaled(cx: Column, cy: Column) -> Column:
+        return F.try_divide(inner(cx, cy), F.sqrt(inner(cx, cx) * inner(cy, cy)))
+
+    def of_values(a: Column, b: Column) -> Column:
+        correlation = bind(centred(a), lambda ca: bind(centred(b), lambda cb: scaled(ca, cb)))
+        return F.when(constant(a) | constant(b), F.lit(0.0)).otherwise(correlation)
+
+    return bind(x, lambda a: bind(y, lambda b: of_values(a, b)))
 
 
 def squared_pearson(x: Column, y: Column) -> Column:
@@ -45,16 +60,17 @@ def squared_pearson(x: Column, y: Column) -> Column:
 
 def average_ranks(values: Column) -> Column:
     """Ranks from 1, ties sharing their mean rank."""
-    return F.transform(
-        values,
-        lambda v: F.size(F.filter(values, lambda u: u < v)) + (F.size(F.filter(values, lambda u: u == v)) + 1) / F.lit(2.0),
-    )
+
+    def rank(all_values: Column, v: Column) -> Column:
+        below = F.size(F.filter(all_values, lambda u: u < v))
+        return below + (F.size(F.filter(all_values, lambda u: u == v)) + 1) / F.lit(2.0)
+
+    return bind(values, lambda a: F.transform(a, lambda v: rank(a, v)))
 
 
 def spearman(x: Column, y: Column) -> Column:
     """Rank correlation; NULL for a constant array."""
-    flat = (F.array_max(x) == F.array_min(x)) | (F.array_max(y) == F.array_min(y))
-    return F.when(~flat, pearson(average_ranks(x), average_ranks(y)))
+    return bind(x, lambda a: bind(y, lambda b: F.when(~(constant(a) | constant(b)), pearson(average_ranks(a), average_ranks(b)))))
 
 
 def correlation_at(x: Column, y: Column, lag: int, correlation: Correlation = pearson) -> Column:
@@ -87,13 +103,13 @@ def ccf_at_max_lag(x: Column, y: Column, max_lag: int, correlation: Correlation
 
 def signed_area(x: Column, y: Column, levy: bool = False) -> Column:
     """Antisymmetric level-2 area of the path (x, y)."""
-    rows = F.size(x)
 
     def steps(a: Column) -> Column:
-        return F.zip_with(F.slice(a, F.lit(2), rows - 1), F.slice(a, F.lit(1), rows - 1), lambda now, then: now - then)
+        rest = F.size(a) - 1
+        return F.zip_with(F.slice(a, F.lit(2), rest), F.slice(a, F.lit(1), rest), lambda now, then: now - then)
 
     def path(a: Column) -> Column:
-        return F.transform(F.slice(a, F.lit(1), rows - 1), lambda v: v - F.get(a, F.lit(0)))
+        return bind(F.get(a, F.lit(0)), lambda start: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda v: v - start))
 
     area = inner(path(x), steps(y)) - inner(path(y), steps(x))
     return area / 2 if levy else area

@@ -1,6 +1,6 @@
 """Per-window metrics: signal size, net scores, stability against the window before."""
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,11 +88,15 @@ def _correlation(cross: Column, left: Column, right: Column) -> Column:
     return F.try_divide(cross, F.sqrt(left * right))
 
 
-def rolling_metrics(indexed: DataFrame, spec: PairSpec) -> DataFrame:
-    """Metric time series of the rolling windows of a whole panel, without storing edges."""
-    windows = rolling_windows(calendar(indexed), spec)
-    metrics = metrics_from_partials(pair_partials(indexed, windows, spec), ["end_pos"])
-    return metrics.join(windows.select("end_pos", "end_ts"), "end_pos").select("end_ts", "end_pos", *WINDOW_METRICS)
+def rolling_metrics(indexed: DataFrame, spec: PairSpec, lookbacks: Optional[Sequence[int]] = None) -> DataFrame:
+    """Metric time series of the rolling windows of a whole panel, without storing edges.
+
+    Several ``lookbacks`` share one scan and one tile stage; ``lookback`` tells them apart.
+    """
+    windows = rolling_windows(calendar(indexed), spec, lookbacks)
+    metrics = metrics_from_partials(pair_partials(indexed, windows, spec), ["start_pos", "end_pos"])
+    dated = metrics.join(calendar(indexed).select(F.col("ts").alias("end_ts"), F.col("pos").alias("end_pos")), "end_pos")
+    return dated.select("end_ts", "end_pos", (F.col("end_pos") - F.col("start_pos") + 1).alias("lookback"), *WINDOW_METRICS)
 
 
 def edge_metrics(edges: DataFrame, keys: Sequence[str], seq: str, mode: str = "strict") -> DataFrame:

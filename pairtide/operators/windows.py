@@ -1,6 +1,6 @@
 """Window lists: rolling, explicit, candidate grids; window return arrays."""
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,21 +9,24 @@ from pairtide.config import PairSpec
 from pairtide.operators.timeline import as_of
 
 
-def rolling_windows(cal: DataFrame, spec: PairSpec) -> DataFrame:
+def rolling_windows(cal: DataFrame, spec: PairSpec, lookbacks: Optional[Sequence[int]] = None) -> DataFrame:
     """Windows of ``spec.lookback`` rows ending at positions lookback, lookback + step, ...
 
     The first full window, ending one row earlier, is left out on purpose. Each window also
-    names the one before it, so measures that compare neighbours need no self-join.
+    names the one before it, so measures that compare neighbours need no self-join. Several
+    ``lookbacks`` give the windows of all those lengths, to be measured in one pass.
     """
-    length, step = spec.lookback, spec.update_freq
-    ends = cal.where((F.col("pos") >= length) & ((F.col("pos") - length) % step == 0))
-    previous = F.when(F.col("pos") - step >= length, F.col("pos") - step)
+    step = F.lit(spec.update_freq)
+    lengths = F.array(*[F.lit(int(n)) for n in (lookbacks or [spec.lookback])])
+    rows = cal.select("ts", "pos", F.explode(lengths).alias("lookback"))
+    ends = rows.where((F.col("pos") >= F.col("lookback")) & ((F.col("pos") - F.col("lookback")) % step == 0))
+    previous = F.when(F.col("pos") - step >= F.col("lookback"), F.col("pos") - step)
     return ends.select(
         F.col("ts").alias("end_ts"),
         F.col("pos").alias("end_pos"),
-        (F.col("pos") - length + 1).alias("start_pos"),
+        (F.col("pos") - F.col("lookback") + 1).alias("start_pos"),
         previous.alias("prev_end_pos"),
-        (previous - length + 1).alias("prev_start_pos"),
+        (previous - F.col("lookback") + 1).alias("prev_start_pos"),
     )
 
 

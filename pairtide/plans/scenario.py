@@ -30,13 +30,7 @@ def rolling_edges(indexed: DataFrame, spec: PairSpec, universe: Optional[DataFra
 
 def fixed_metrics(indexed: DataFrame, lookbacks: Sequence[int], spec: PairSpec) -> DataFrame:
     """Metric series of several fixed lookbacks, one run each: ``run_id`` is ``fixed_<lookback>``."""
-    runs = [
-        rolling_metrics(indexed, spec.with_lookback(n)).withColumn("run_id", F.lit(f"fixed_{n:02d}")) for n in lookbacks
-    ]
-    whole = runs[0]
-    for run in runs[1:]:
-        whole = whole.unionByName(run)
-    return whole
+    return rolling_metrics(indexed, spec, lookbacks).withColumn("run_id", F.format_string("fixed_%02d", "lookback"))
 
 
 def universe_metrics(indexed: DataFrame, spec: PairSpec, universe: DataFrame, mode: str = "strict") -> DataFrame:
