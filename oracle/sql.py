@@ -529,6 +529,14 @@ def _on_universe(strict: bool) -> str:
     return with_(parts, f"SELECT {ts('w.end_ts')} AS end_ts, {columns} FROM {source} m JOIN winw w ON {same_window('m', 'w')}")
 
 
+CHOSEN = [
+    f"chosen AS MATERIALIZED (SELECT e.* FROM edges e JOIN walk w ON w.pos = e.end_pos AND e.end_pos - e.start_pos + 1 = w.lookback WHERE w.signal IS NOT NULL)",
+    *[c.replace("FROM edges", "FROM chosen").replace("PARTITION BY end_pos - start_pos ORDER", "ORDER") for c in METRIC_CTES],
+]
+ORACLE["adaptive_metrics"] = with_(
+    GREEDY + CHOSEN,
+    f"SELECT {ts('c.ts')} AS end_ts, w.lookback, {r6('w.signal')} AS signal, {METRIC_COLUMNS} FROM metrics m JOIN walk w ON w.pos = m.end_pos JOIN cal c ON c.pos = w.pos",
+)
 ORACLE["metrics_common"] = _on_universe(False)
 ORACLE["metrics_strict"] = _on_universe(True)
 ORACLE["transitions"] = with_(

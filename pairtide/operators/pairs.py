@@ -197,16 +197,26 @@ def pair_edges_of_series(series: DataFrame, spec: PairSpec, block: int = BLOCK)
     tiles = _tiles(series.select("window_id", "asset", "rets"), series, ["window_id"], block)
     kind = series.schema["window_id"].dataType.simpleString()
     schema = f"window_id {kind}, asset_i string, asset_j string, value double"
+    arrow_id = pa.int64() if kind == "bigint" else pa.int32()
+    empty = pa.table(
+        {
+            "window_id": pa.array([], arrow_id),
+            "asset_i": pa.array([], pa.string()),
+            "asset_j": pa.array([], pa.string()),
+            "value": pa.array([], pa.float64()),
+        }
+    )
 
-    def tile(key, table: pa.Table) -> pa.Table:
+    def tile(key, table):
         left, right, diagonal = _sides(table)
-        values = pair_values(spec, _stack(left), _stack(right))
-        i, j, value, _ = _oriented(values, left, right, diagonal, None, None)
+        if left.num_rows == 0 or right.num_rows == 0:
+            return empty
+        i, j, value, _ = _oriented(pair_values(spec, _stack(left), _stack(right)), left, right, diagonal, None, None)
         return pa.table(
             {
-                "window_id": pa.array([key[0].as_py()] * len(i), table.schema.field("window_id").type),
-                "asset_i": left["asset"].combine_chunks().take(pa.array(i)) if diagonal else _named(left, right, i),
-                "asset_j": right["asset"].combine_chunks().take(pa.array(j)) if diagonal else _named(left, right, j),
+                "window_id": pa.array(np.full(len(i), key[0].as_py()), table.schema.field("window_id").type),
+                "asset_i": _named(left, right, i),
+                "asset_j": _named(left, right, j),
                 "value": pa.array(value),
             }
         )
