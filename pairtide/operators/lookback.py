@@ -65,7 +65,7 @@ def candidate_signals(indexed: DataFrame, spec: PairSpec, range_: LookbackSpec)
     """``(end_ts, end_pos, lookback, signal)`` for every date and reachable lookback."""
     first = max(range_.max_lookback, spec.lookback)
     windows = candidate_windows(calendar(indexed), range_.reachable(), first)
-    metrics = metrics_from_partials(pair_partials(indexed, windows, spec), ["start_pos", "end_pos"])
+    metrics = metrics_from_partials(pair_partials(indexed, windows, spec).repartition("start_pos", "end_pos"), ["start_pos", "end_pos"])
     return windows.join(metrics, ["start_pos", "end_pos"]).select(
         "end_ts", "end_pos", "lookback", F.col("mean_abs_matrix").alias("signal")
     )

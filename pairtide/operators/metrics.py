@@ -94,7 +94,7 @@ def rolling_metrics(indexed: DataFrame, spec: PairSpec, lookbacks: Optional[Sequ
     Several ``lookbacks`` share one scan and one tile stage; ``lookback`` tells them apart.
     """
     windows = rolling_windows(calendar(indexed), spec, lookbacks)
-    metrics = metrics_from_partials(pair_partials(indexed, windows, spec), ["start_pos", "end_pos"])
+    metrics = metrics_from_partials(pair_partials(indexed, windows, spec).repartition("start_pos", "end_pos"), ["start_pos", "end_pos"])
     dated = metrics.join(calendar(indexed).select(F.col("ts").alias("end_ts"), F.col("pos").alias("end_pos")), "end_pos")
     return dated.select("end_ts", "end_pos", (F.col("end_pos") - F.col("start_pos") + 1).alias("lookback"), *WINDOW_METRICS)
 

@@ -70,30 +70,21 @@ def series_blocks(
         .join(cover, "slot")
         .where(F.col("pos").between(F.col("lo"), F.col("hi")))
     )
-    timeline = Window.partitionBy("asset", "stretch").orderBy("pos")
-    observed = placed.select("asset", "stretch", "pos", "price").withColumns(
-        {"prev_pos": F.lag("pos").over(timeline), "prev_price": F.lag("price").over(timeline)}
-    )
-    observed = observed.select(
-        "asset",
-        "stretch",
-        F.struct("pos", log_return(F.col("price"), F.col("prev_price")).alias("ret"), "prev_pos").alias("obs"),
-        F.lit(None).cast("int").alias("member_end"),
-    )
+    placed = placed.select("asset", "stretch", "pos", "price", F.lit(None).cast("int").alias("member_end"))
     if members is None:
         last = indexed.agg(F.max(_slot("pos", stretch))).scalar()
         present = indexed.select("asset").distinct().select("asset", F.explode(F.sequence(F.lit(0), last)).alias("stretch"))
-        present = present.withColumn("member_end", F.lit(None).cast("int"))
     else:
         present = members.select("asset", _slot("end_pos", stretch).alias("stretch"), F.col("end_pos").alias("member_end"))
-    present = present.withColumn("obs", F.lit(None).cast(observed.schema["obs"].dataType))
-    gathered = (
-        observed.unionByName(present)
-        .groupBy("asset", "stretch")
-        .agg(
-            F.array_sort(F.collect_list("obs")).alias("obs"),
-            F.array_sort(F.collect_set("member_end")).alias("member_ends"),
-        )
+    # Presence rows have no position: they sort first and look like "no earlier observation" to lag.
+    timeline = Window.partitionBy("asset", "stretch").orderBy(F.col("pos").asc_nulls_first())
+    stacked = placed.unionByName(present, allowMissingColumns=True).withColumns(
+        {"prev_pos": F.lag("pos").over(timeline), "prev_price": F.lag("price").over(timeline)}
+    )
+    returned = F.struct("pos", log_return(F.col("price"), F.col("prev_price")).alias("ret"), "prev_pos")
+    gathered = stacked.groupBy("asset", "stretch").agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), returned))).alias("obs"),
+        F.array_sort(F.collect_set("member_end")).alias("member_ends"),
     )
     if members is not None:
         gathered = gathered.where(F.size("member_ends") > 0)
@@ -363,37 +354,45 @@ def _tile_function(spec: PairSpec, restricted: bool, partial: bool):
 
 def _partial_rows(spec, left, right, diagonal, rows, length, values_for):
     """Row sums of the tile for each window, with products against the window before."""
-    previous = None
-    known = {}
-    for ends in _batches(spec, np.array(sorted({e for r in rows for e in r if e is not None})), length, left.num_rows + right.num_rows):
-        for end, value in zip(ends, values_for(ends, length)):
-            known[int(end)] = value
-    for end, prev_end in sorted(rows):
-        current, previous = known[end], known.get(prev_end)
-        sides = [(left, current, previous)]
-        if not diagonal:
-            sides.append((right, -current.T, None if previous is None else -previous.T))
-        for side, now, then in sides:
-            n = side.num_rows
-            pairs = now.shape[1] - (1 if diagonal else 0)
-            nothing = np.zeros(n)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "start_pos": pa.array(np.full(n, end - length + 1, dtype=np.int32)),
-                    "end_pos": pa.array(np.full(n, end, dtype=np.int32)),
-                    "asset": side["asset"].combine_chunks(),
-                    "pairs": pa.array(np.full(n, pairs, dtype=np.int64)),
-                    "row_sum": pa.array(now.sum(axis=1)),
-                    "abs_sum": pa.array(np.abs(now).sum(axis=1)),
-                    "max_abs": pa.array(np.abs(now).max(axis=1)),
-                    "shared_pairs": pa.array(np.full(n, 0 if then is None else pairs, dtype=np.int64)),
-                    "shared_sum": pa.array(nothing if then is None else now.sum(axis=1)),
-                    "shared_prev_sum": pa.array(nothing if then is None else then.sum(axis=1)),
-                    "cross": pa.array(nothing if then is None else (now * then).sum(axis=1)),
-                    "sq": pa.array(nothing if then is None else (now * now).sum(axis=1)),
-                    "prev_sq": pa.array(nothing if then is None else (then * then).sum(axis=1)),
-                }
-            )
+    needed = np.array(sorted({e for row in rows for e in row if e is not None}))
+    size = left.num_rows + right.num_rows
+    matrices = np.concatenate([values_for(ends, length) for ends in _batches(spec, needed, length, size)])
+    ends = np.array([end for end, _ in rows])
+    has_prev = np.array([prev is not None for _, prev in rows])
+    before = np.array([end if prev is None else prev for end, prev in rows])
+    now = matrices[np.searchsorted(needed, ends)]
+    then = matrices[np.searchsorted(needed, before)] * has_prev[:, None, None]
+    yield _row_sums(left, now, then, has_prev, ends, length, 1 if diagonal else 0)
+    if not diagonal:
+        turned = (-now.transpose(0, 2, 1), -then.transpose(0, 2, 1))
+        yield _row_sums(right, *turned, has_prev, ends, length, 0)
+
+
+def _row_sums(side, now, then, has_prev, ends, length, own_cells):
+    windows, n, width = now.shape
+    pairs = np.full(windows * n, width - own_cells, dtype=np.int64)
+    shared = now * has_prev[:, None, None]
+
+    def flat(values):
+        return pa.array(values.ravel())
+
+    return pa.RecordBatch.from_pydict(
+        {
+            "start_pos": pa.array(np.repeat(ends - length + 1, n).astype(np.int32)),
+            "end_pos": pa.array(np.repeat(ends, n).astype(np.int32)),
+            "asset": side["asset"].combine_chunks().take(pa.array(np.tile(np.arange(n), windows))),
+            "pairs": pa.array(pairs),
+            "row_sum": flat(now.sum(axis=2)),
+            "abs_sum": flat(np.abs(now).sum(axis=2)),
+            "max_abs": flat(np.abs(now).max(axis=2)),
+            "shared_pairs": pa.array(pairs * np.repeat(has_prev, n)),
+            "shared_sum": flat(shared.sum(axis=2)),
+            "shared_prev_sum": flat(then.sum(axis=2)),
+            "cross": flat((shared * then).sum(axis=2)),
+            "sq": flat((shared * shared).sum(axis=2)),
+            "prev_sq": flat((then * then).sum(axis=2)),
+        }
+    )
 
 
 # ---------------------------------------------------------------- other window shapes

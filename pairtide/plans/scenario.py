@@ -11,6 +11,7 @@ from pairtide.operators.pairs import pair_edges, pair_edges_of_series, shuffled_
 from pairtide.operators.timeline import calendar, shuffled_calendar
 from pairtide.operators.universe import window_members
 from pairtide.operators.windows import rolling_windows
+from pairtide.session import stage
 
 
 def require_history(indexed: DataFrame, spec: PairSpec) -> None:
@@ -47,7 +48,7 @@ def universe_metrics(indexed: DataFrame, spec: PairSpec, universe: DataFrame, mo
 def placebo_metrics(indexed: DataFrame, spec: PairSpec, seed: int) -> DataFrame:
     """Metric series on shuffled rows; only windows whose first date does not come last exist."""
     order = shuffled_calendar(calendar(indexed), seed)
-    series = shuffled_series(indexed, order, spec.lookback, spec.update_freq)
+    series = stage(shuffled_series(indexed, order, spec.lookback, spec.update_freq), "placebo_series")
     ends = series.select(F.col("window_id").alias("end_pos"), "end_ts").distinct()
     sequence = numbered(ends.select("end_pos"))
     edges = pair_edges_of_series(series, spec).withColumnRenamed("window_id", "end_pos").join(sequence, "end_pos")
