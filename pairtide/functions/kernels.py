@@ -6,6 +6,8 @@ a tile of pairs is a matrix product. Inputs have shape (windows, assets, rows).
 
 import numpy as np
 
+TIE = 1e-12  # differences of correlations below this are rounding
+
 
 def _unit(values, on_constant):
     """Centre and scale each series to length one; constant series get ``on_constant``."""
@@ -114,6 +116,12 @@ def _signed_area(spec, left, right):
     return area / 2.0 if spec.signature_form == "levy" else area
 
 
+def _lead(ahead, behind):
+    """Sign of the difference; sides equal up to rounding tie, as rank measures often do."""
+    gap = ahead - behind
+    return np.where(np.abs(gap) <= TIE, 0.0, np.sign(gap))
+
+
 def pair_values(spec, left, right):
     """Lead-lag value of every (left, right) pair; undefined values become 0."""
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -128,10 +136,10 @@ def pair_values(spec, left, right):
             behind = np.abs(np.stack([s[1] for s in sides]))
             if spec.method == "ccf_auc":
                 a, b = ahead.sum(axis=0), behind.sum(axis=0)
-                value = np.sign(a - b) * np.maximum(a, b) / (a + b)
+                value = _lead(a, b) * np.maximum(a, b) / (a + b)
             else:
                 a, b = ahead.max(axis=0), behind.max(axis=0)
-                value = np.where(a > b, a, np.where(a < b, -b, 0.0))
+                value = _lead(a, b) * np.maximum(a, b)
     return np.nan_to_num(value, nan=0.0)
 
 

@@ -9,6 +9,8 @@ from typing import Callable, Tuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairtide.functions.kernels import TIE
+
 Correlation = Callable[[Column, Column], Column]
 
 
@@ -88,7 +90,7 @@ def ccf_auc(x: Column, y: Column, max_lag: int, correlation: Correlation = pears
     lags = range(1, max_lag + 1)
     ahead = sum((F.abs(correlation_at(x, y, k, correlation)) for k in lags), F.lit(0.0))
     behind = sum((F.abs(correlation_at(x, y, -k, correlation)) for k in lags), F.lit(0.0))
-    return F.coalesce(F.signum(ahead - behind) * F.try_divide(F.greatest(ahead, behind), ahead + behind), F.lit(0.0))
+    return F.coalesce(_lead(ahead, behind) * F.try_divide(F.greatest(ahead, behind), ahead + behind), F.lit(0.0))
 
 
 def ccf_at_max_lag(x: Column, y: Column, max_lag: int, correlation: Correlation = pearson) -> Column:
@@ -98,7 +100,13 @@ def ccf_at_max_lag(x: Column, y: Column, max_lag: int, correlation: Correlation
     behind = F.array(*[F.abs(correlation_at(x, y, -k, correlation)) for k in lags])
     defined = ~F.exists(ahead, lambda v: v.isNull()) & ~F.exists(behind, lambda v: v.isNull())
     a, b = F.array_max(ahead), F.array_max(behind)
-    return F.when(defined & (a > b), a).when(defined & (a < b), -b).otherwise(F.lit(0.0))
+    return F.when(defined, _lead(a, b) * F.greatest(a, b)).otherwise(F.lit(0.0))
+
+
+def _lead(ahead: Column, behind: Column) -> Column:
+    """Sign of the difference; sides equal up to rounding tie."""
+    gap = ahead - behind
+    return F.when(F.abs(gap) <= TIE, F.lit(0.0)).otherwise(F.signum(gap))
 
 
 def signed_area(x: Column, y: Column, levy: bool = False) -> Column:
