@@ -384,7 +384,7 @@ GREEDY = SIGNALS + [
 ORDERS = """o AS (SELECT o_orderkey, o_orderdate AS ts, o_orderpriority AS asset, o_totalprice AS price FROM orders)"""
 FINDINGS = ORDERS + """, cellsq AS (SELECT ts, asset, count(*) AS n, count(price) AS known FROM o GROUP BY ALL),
 found AS (SELECT (SELECT max(n) > 1 FROM cellsq) AS duplicate_index,
-  1 - (SELECT sum(known) / (count(DISTINCT ts) * count(DISTINCT asset)) FROM cellsq) AS missing_ratio,
+  1 - (SELECT sum(known) FROM cellsq) / ((SELECT sum(n) FROM (SELECT max(n) AS n FROM cellsq GROUP BY ts)) * (SELECT count(DISTINCT asset) FROM o)) AS missing_ratio,
   coalesce((SELECT string_agg(asset, ',' ORDER BY asset) FROM (SELECT asset FROM o GROUP BY asset HAVING min(price) = max(price))), '') AS zero_variance_assets,
   NOT (SELECT coalesce(bool_or(ts < p), false) FROM (SELECT ts, lag(ts) OVER (ORDER BY o_orderkey) AS p FROM o)) AS monotonic_index)"""
 

@@ -26,14 +26,17 @@ def out_of_order(rows: DataFrame, sequence: str) -> DataFrame:
 def quality(panel: DataFrame, sequence: str = None) -> DataFrame:
     """One row of findings on ``(ts, asset, price)``, read as a grid of timestamps by assets.
 
+    A timestamp an asset holds k times counts as k rows of the grid.
+
     ``sequence`` is the ingestion order, needed only to judge whether timestamps ascend.
     """
     repeated = panel.groupBy("ts", "asset").agg(F.count(F.lit(1)).alias("n"), F.count("price").alias("known"))
-    grid = repeated.agg(
-        F.coalesce(F.max("n") > 1, F.lit(False)).alias("duplicate_index"),
+    by_ts = repeated.groupBy("ts").agg(F.max("n").alias("rows"), F.sum("known").alias("known"))
+    assets = panel.agg(F.count_distinct("asset")).scalar()
+    grid = by_ts.agg(
+        F.coalesce(F.max("rows") > 1, F.lit(False)).alias("duplicate_index"),
         F.sum("known").alias("known"),
-        F.count_distinct("ts").alias("row_count"),
-        F.count_distinct("asset").alias("asset_count"),
+        (F.sum("rows") * assets).alias("cells"),
     )
     flat = (
         panel.where(F.col("price").isNotNull()).groupBy("asset").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
@@ -43,7 +46,7 @@ def quality(panel: DataFrame, sequence: str = None) -> DataFrame:
     monotonic = F.lit(True) if sequence is None else ~out_of_order(panel, sequence).scalar()
     return grid.select(
         "duplicate_index",
-        (1 - F.col("known") / F.greatest(F.col("row_count") * F.col("asset_count"), F.lit(1))).alias("missing_ratio"),
+        (1 - F.col("known") / F.greatest("cells", F.lit(1))).alias("missing_ratio"),
         flat.scalar().alias("zero_variance_assets"),
         monotonic.alias("monotonic_index"),
     )

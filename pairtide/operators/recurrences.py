@@ -70,7 +70,7 @@ def follow_states(steps: DataFrame, keys: Sequence[str], order: str, moves: str,
         ),
         lambda acc: acc["seen"],
     )
-    entered = maps.groupBy(*keys).agg(entries.alias("e")).select(*keys, F.explode("e").alias("e")).select(*keys, "e.*")
+    entered = maps.groupBy(*keys).agg(entries.alias("_in")).select(*keys, F.explode("_in").alias("_in")).select(*keys, "_in.*")
     begin = F.struct(F.col("_entry").alias("now"), F.array().cast("array<struct<at:int,before:int,after:int>>").alias("seen"))
     walked = F.aggregate(
         "_walk",
@@ -86,7 +86,7 @@ def follow_states(steps: DataFrame, keys: Sequence[str], order: str, moves: str,
         ),
         lambda acc: acc["seen"],
     )
-    path = stretches.join(entered, [*keys, "_stretch"]).select(*keys, F.explode(walked).alias("p"))
+    path = stretches.join(entered, [*keys, "_stretch"]).select(*keys, F.explode(walked).alias("_step"))
     return path.select(
-        *keys, F.col("p.at").alias(order), F.col("p.before").alias("state_before"), F.col("p.after").alias("state_after")
+        *keys, F.col("_step.at").alias(order), F.col("_step.before").alias("state_before"), F.col("_step.after").alias("state_after")
     )

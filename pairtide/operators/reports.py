@@ -2,7 +2,7 @@
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairtide.operators.pairs import mirrored
@@ -125,13 +125,20 @@ def run_overview(summaries: DataFrame, columns: Sequence[str] = ("metric", "mean
     if not shown:
         shown = [f.name for f in summaries.schema if f.dataType.typeName() in ("double", "float", "integer", "long", "short")]
     text = [
-        F.format_string("%.6g", F.col(c)).alias(c) if summaries.schema[c].dataType.typeName() in ("double", "float") else F.col(c)
+        _six_digits(c).alias(c) if summaries.schema[c].dataType.typeName() in ("double", "float") else F.col(c)
         for c in shown
     ]
     newest = F.col("modified").desc() if "modified" in summaries.columns else F.col("run").asc()
     return summaries.orderBy(newest, "run").select("run", *text)
 
 
+def _six_digits(column: str) -> Column:
+    """Six significant digits without trailing zeros."""
+    text = F.format_string("%.6g", F.col(column))
+    short = F.regexp_replace(F.regexp_replace(text, r"0+(e|$)", "$1"), r"\.(e|$)", "$1")
+    return F.when(F.col(column).isNotNull(), F.when(text.contains("."), short).otherwise(text))
+
+
 def latest_runs(summaries: DataFrame) -> DataFrame:
     """Runs by time of their last change, newest first."""
     return summaries.groupBy("run").agg(F.max("modified").alias("modified")).orderBy(F.col("modified").desc(), "run")
