@@ -1,10 +1,13 @@
 """Resampling of raw observations into bars."""
 
-from pyspark.sql import Column, DataFrame
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The default aggregate of each price type.
 DEFAULT_METHODS = {"open": "first", "high": "max", "low": "min", "close": "last"}
+MEDIAN_RANGES = 1024  # value ranges a group is counted in before its median is sorted out
 BAR_METHODS = ("first", "last", "mean", "median", "min", "max")
 
 
@@ -49,8 +52,12 @@ def resample(
     """
     if price_type not in DEFAULT_METHODS:
         raise ValueError(f"unknown price type {price_type!r}")
-    value = bar_aggregate(method or DEFAULT_METHODS[price_type], F.col("price"), F.col("ts") if order is None else order)
+    method = method or DEFAULT_METHODS[price_type]
+    value = bar_aggregate(method, F.col("price"), F.col("ts") if order is None else order)
     known = observations.where(F.col("price").isNotNull() & ~F.isnan("price"))
+    if method == "median":
+        placed = known.select(bar_start("ts", timeframe).alias("ts"), "asset", "price")
+        return exact_medians(placed, ["ts", "asset"], "price").withColumnRenamed("median", "price")
     return (
         known.groupBy(bar_start("ts", timeframe).alias("bar_ts"), "asset")
         .agg(value.alias("price"))
@@ -59,13 +66,45 @@ def resample(
 
 
 def ohlc(observations: DataFrame, timeframe: str, order: Column = None) -> DataFrame:
-    """All four bar values plus the median in one pass."""
+    """The four bar values in one pass, and the median beside them."""
     by = F.col("ts") if order is None else order
     known = observations.where(F.col("price").isNotNull() & ~F.isnan("price"))
-    return known.groupBy(bar_start("ts", timeframe).alias("bar_ts"), "asset").agg(
+    keys = ["bar_ts", "asset"]
+    whole = known.withColumn("bar_ts", bar_start("ts", timeframe))
+    values = whole.groupBy(*keys).agg(
         *[
             bar_aggregate(DEFAULT_METHODS[kind], F.col("price"), by).alias(kind)
             for kind in ("open", "high", "low", "close")
-        ],
-        bar_aggregate("median", F.col("price"), by).alias("median"),
+        ]
     )
+    return values.join(exact_medians(whole, keys, "price"), keys)
+
+
+def exact_medians(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``(keys, median)`` for groups of any size.
+
+    Equal values are counted before they move, counts per value range find the range that
+    holds the middle, and only that range's values are sorted. A bar with a large share of
+    all observations is therefore never held by one task.
+    """
+    keys = list(keys)
+    counted = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    bounds = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_size"))
+    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    ranged = counted.join(bounds, keys).withColumn("_range", F.floor(share * MEDIAN_RANGES))
+    per_range = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_n"), F.max("_size").alias("_size"))
+    so_far = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
+    middle = (
+        per_range.withColumn("_upto", F.sum("_n").over(so_far))
+        .withColumn("_before", F.col("_upto") - F.col("_n"))
+        .where((F.col("_before") < high) & (F.col("_upto") >= low))
+    )
+    near = ranged.drop("_lo", "_hi", "_size").join(middle.select(*keys, "_range", "_before", "_size"), [*keys, "_range"])
+    inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = near.withColumn("_last", F.col("_before") + F.sum("_n").over(inside)).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (F.col("_last") >= rank), F.col("_v")))
+
+    return placed.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))

@@ -18,7 +18,7 @@ ISSUE_NAMES_SHOWN = 5
 
 def out_of_order(rows: DataFrame, sequence: str) -> DataFrame:
     """One row: whether ``ts`` falls anywhere when rows are read in ``sequence``."""
-    stretch = F.floor(F.col(sequence) / F.lit(65536))
+    stretch = F.floor(F.col(sequence) / F.lit(1 << 20))
     previous = last_known(rows.select(sequence, "ts"), [], sequence, "ts", "prev_ts", stretch, inclusive=False)
     return previous.agg(F.coalesce(F.max(F.col("ts") < F.col("prev_ts")), F.lit(False)).alias("falls"))
 

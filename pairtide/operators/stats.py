@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairtide.functions.special import t_test_p
+from pairtide.operators.timeline import dense_positions
 
 # Bootstrap size, normal quantile of the 95 % interval, smallest sample of a pairwise test.
 RESAMPLES = 2000
@@ -46,7 +47,8 @@ def bootstrap_interval(
     """
     keys = list(keys)
     known = values.where(F.col(value).isNotNull())
-    ranked = known.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    slot = F.pmod(F.xxhash64(order), F.lit(256))
+    ranked = dense_positions(known, [order], slot, "_rank", keys)
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"))
     draws = (
         ranked.select(*keys, F.col("_rank").alias("_k"))

@@ -11,19 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_positions(rows: DataFrame, order: Sequence[str], bucket: Column, name: str = "pos") -> DataFrame:
-    """Number distinct rows 0, 1, ... in ``order`` without sorting them in one task.
+def dense_positions(
+    rows: DataFrame, order: Sequence[str], bucket: Column, name: str = "pos", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Number distinct rows 0, 1, ... in ``order`` (per ``keys``) without sorting a group in one task.
 
     ``bucket`` must grow with the order. Rows are counted per bucket, the counts (one row
     per bucket) are accumulated, and rows are numbered inside their bucket.
     """
+    cut = [*keys, "_bucket"]
     marked = rows.withColumn("_bucket", bucket)
-    counts = marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
+    counts = marked.groupBy(*cut).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*cut, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*cut).orderBy(*order)
     return (
-        marked.join(offsets, "_bucket")
+        marked.join(offsets, cut)
         .withColumn(name, (F.col("_offset") + F.row_number().over(inside) - 1).cast("int"))
         .drop("_bucket", "_offset")
     )

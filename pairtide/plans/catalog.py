@@ -195,7 +195,12 @@ def spearman_columns(spark, sf):
 
 
 def matrix_snapshot(spark, sf):
-    return rounded(reports.matrix_snapshot(stage(_edges(spark, sf), "edges"), BRANDS))
+    week, listed = _week_windows(spark, sf)
+    bounds = listed.agg(F.min("end_pos").alias("a"), F.max("end_pos").alias("b"))
+    ends = bounds.select(F.explode(F.array("a", "b")).alias("end_pos")).distinct()
+    chosen = listed.join(ends, "end_pos", "left_semi")
+    edges = pairs.pair_edges(week, chosen, SPEC).join(chosen, ["start_pos", "end_pos"])
+    return rounded(reports.matrix_snapshot(edges, BRANDS))
 
 
 def row_scores(spark, sf):
