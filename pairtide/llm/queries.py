@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pairtide.llm.near_dups import NearDupSpec, near_dups
+from pairtide.llm.packing import pack, pieces
 from pairtide.llm.repeats import remove_repeats
 from pairtide.llm.tables import read
 
@@ -16,9 +17,15 @@ def op7_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_best_fit_packing(spark, sf_dir):
+    cut = pieces(read(spark, sf_dir, "documents"))
+    return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE = {}
