@@ -2,10 +2,30 @@
 
 from pyspark.sql import functions as F
 
+from pairtide.llm.decontaminate import leaks
+from pairtide.llm.language import identify, train_language
 from pairtide.llm.near_dups import NearDupSpec, near_dups
 from pairtide.llm.packing import pack, pieces
+from pairtide.llm.quality import quality
 from pairtide.llm.repeats import remove_repeats
-from pairtide.llm.tables import read
+from pairtide.llm.tables import read, split_of
+
+
+def op3_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    fold = split_of("doc_id", 5)
+    net = train_language(docs.where(fold != 0))
+    return identify(docs.select("doc_id", "text", F.coalesce(fold == 0, F.lit(False)).alias("held_out")), net).drop("text")
+
+
+def op4_quality_classifier(spark, sf_dir):
+    fold = split_of("doc_id", 3)
+    found = quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn=fold != 1)
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op5_benchmark_decontamination(spark, sf_dir):
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
@@ -23,6 +43,9 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
