@@ -143,16 +143,16 @@ def train_language(labelled: DataFrame, spec: LanguageSpec = LanguageSpec()) ->
     return ByteNet(labels, spec).fit(np.stack(windows), np.array(targets))
 
 
-def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred`` and ``score``, under those names whatever ``docs`` has.
+def identify(docs: DataFrame, net: ByteNet | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of ``docs`` with the language and its chance, under these ``names`` whatever ``docs`` has.
 
     ``und`` with score 0 if the text is null or has no letter (or there is no network). Repeated rows give repeated
     rows. Every byte of a text is read.
     """
     text = F.col("text").cast("string")
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
     fields = [f for f in docs.schema.fields if f.name in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names[0]}` string, `{names[1]}` double"
     spec = net.spec if net else LanguageSpec()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +175,10 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
             mass = total.sum(axis=1)
             known = mass > 0
             best = total.argmax(axis=1)
-            names = np.array(net.labels if net else [""], dtype=object)[best]
-            names[~known] = "und"
+            told = np.array(net.labels if net else [""], dtype=object)[best]
+            told[~known] = "und"
             chance = np.where(known, total.max(axis=1) / np.where(known, mass, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(np.clip(chance, 0, 1))], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(told, pa.string()), pa.array(np.clip(chance, 0, 1))], [*kept, *names])
 
     ask = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     return docs.select(text.alias("_text"), ask.alias("_ask"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(score, schema)

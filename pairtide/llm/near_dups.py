@@ -107,8 +107,8 @@ def _sketcher(spec: NearDupSpec):
                     cls[full] = [x.tobytes() for x in digest]
                     sig[full] = [x.tobytes() for x in least]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "cls", "sig"],
+                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), batch.column(2).slice(a, b - a)],
+                    ["doc_id", "n_shingles", "cls", "sig", "mark"],
                 )
 
     return sketch
@@ -246,7 +246,7 @@ def _across(buckets: DataFrame, sigs: DataFrame, comps: DataFrame, spec: NearDup
 
 
 def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+    """One row per document: ``doc_id, n_shingles, component_id, kept, mark`` (``mark``: a hash of the text).
 
     Words are lower-cased (A-Z) runs without white space. A null or wordless text has no shingle, is linked
     with nothing and is kept. A null id is linked with nothing either: its component is null and it is kept.
@@ -254,8 +254,8 @@ def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
     repeated rows; rows that share an id but not a text are documents of their own. Other columns of
     ``docs`` are not read.
     """
-    source = texts(docs)
-    rows = stage(source.mapInArrow(_sketcher(spec), "doc_id long, n_shingles long, cls binary, sig binary"), "sketches")
+    source = texts(docs).withColumn("mark", F.xxhash64("text"))
+    rows = stage(source.mapInArrow(_sketcher(spec), "doc_id long, n_shingles long, cls binary, sig binary, mark long"), "sketches")
     nodes = stage(
         rows.where("cls is not null and doc_id is not null")
         .groupBy("cls")
@@ -276,7 +276,7 @@ def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
     asked = buckets.select("node").distinct()
     wanted = nodes.join(asked, "node").select("node", "cls", F.col("rep").alias("doc_id"))
     # repeated rows: one text is enough; the join has dealt rows by id already
-    own = wanted.join(source.withColumn("print", F.xxhash64("text")), "doc_id").dropDuplicates(["doc_id", "node", "print"])
+    own = wanted.join(source, "doc_id").dropDuplicates(["doc_id", "node", "mark"])
     held = stage(own.select("node", "cls", "text").mapInArrow(_own_text(spec), "node long, text string"), "texts")
     first = stage(_confirmed(_pruned(nearest, nodes, spec), held, spec), "links")
     second = _confirmed(_across(buckets, nodes, components(first), spec), held, spec)
@@ -286,10 +286,18 @@ def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
     named = placed.join(least, "comp").select(F.col("cls").alias("named"), "component_id")
     at = F.when(rows.doc_id.isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.join(named, rows.cls == F.col("named"), "left").select(
-        "doc_id", "n_shingles", at.alias("component_id"), F.coalesce(at == F.col("doc_id"), F.lit(True)).alias("kept")
+        "doc_id", "n_shingles", at.alias("component_id"), F.coalesce(at == F.col("doc_id"), F.lit(True)).alias("kept"), "mark"
     )
 
 
+def without_near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
+    """The rows of ``docs`` without those of near-duplicates of a smaller id; of rows with equal id and text one stays."""
+    kept = near_dups(docs, spec).where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    marked = docs.withColumn("_kept_id", F.col("doc_id").cast("long")).withColumn("_kept_mark", F.xxhash64(F.col("text").cast("string")))
+    stay = marked.join(kept, marked["_kept_id"].eqNullSafe(kept["_id"]) & (marked["_kept_mark"] == kept["_mark"]), "left_semi")
+    return stay.dropDuplicates(["_kept_id", "_kept_mark"]).drop("_kept_id", "_kept_mark")
+
+
 def _own_text(spec: NearDupSpec):
     """Keeps one text per node: that whose set is the node's (an id may come with several texts)."""
 

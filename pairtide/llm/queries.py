@@ -4,13 +4,35 @@ from pyspark.sql import functions as F
 
 from pairtide.llm.decontaminate import leaks
 from pairtide.llm.language import identify, train_language
+from pairtide.llm.licenses import license_scan
 from pairtide.llm.near_dups import NearDupSpec, near_dups
+from pairtide.llm.nearest import nearest
 from pairtide.llm.packing import pack, pieces
+from pairtide.llm.pii import personal_spans, train_pii, written
 from pairtide.llm.quality import quality
 from pairtide.llm.repeats import remove_repeats
+from pairtide.llm.secrets import dictionary, known_findings, secrets, train_secrets
 from pairtide.llm.tables import read, split_of
 
 
+def op1_secret_scan(spark, sf_dir):
+    """Candidates with their verdict. The value itself is not shown, only its hash."""
+    docs = read(spark, sf_dir, "documents")
+    words = dictionary(docs)
+    found = secrets(docs, train_secrets(known_findings(docs), words), words)
+    return found.select("doc_id", "start", "end", F.sha2(F.col("said").cast("binary"), 256).alias("said_sha256"), "score", "is_secret")
+
+
+def op2_pii(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = personal_spans(docs, train_pii(docs))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == k)).cast("long")
+    return found.select(
+        "doc_id", n(0).alias("n_email"), n(1).alias("n_ip"), n(2).alias("n_card"), n(3).alias("n_phone"),
+        F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     fold = split_of("doc_id", 5)
@@ -29,7 +51,7 @@ def op5_benchmark_decontamination(spark, sf_dir):
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
-    return near_dups(read(spark, sf_dir, "documents"), NearDupSpec(shingle=4))
+    return near_dups(read(spark, sf_dir, "documents"), NearDupSpec(shingle=4)).drop("mark")
 
 
 def op7_substring_dedup(spark, sf_dir):
@@ -37,17 +59,29 @@ def op7_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark, sf_dir):
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op9_nearest_neighbours(spark, sf_dir):
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_best_fit_packing(spark, sf_dir):
     cut = pieces(read(spark, sf_dir, "documents"))
     return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_license_scan": op8_license_scan,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
