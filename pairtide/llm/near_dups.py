@@ -6,10 +6,12 @@ candidates. A proposed pair is compared ``step`` minima at a time and dropped as
 matches so far and a flat prior, the chance that its similarity reaches the threshold is below ``miss``.
 What is left is decided on the two full shingle sets.
 
-Two rounds keep large groups linear. Round one compares each class with one member of its buckets (the
-smallest, of the bucket shared most often). Round two looks at buckets that still hold several components
-and compares only members of different ones, in blocks of ``block`` members, so that no task holds a whole
-bucket. No candidate is capped: every pair of a bucket is either in one component already or compared.
+Large groups stay linear. In each of some rounds every class is compared with one member of another component
+(a member drawn from each bucket, of the bucket shared most often), which leaves few outside their group's component. Then the
+buckets that still hold several components are worked through in blocks of ``block`` members: only members of
+different components are compared, and what survives is handed on as one list for each member and block of
+partners, to be decided where the block's texts are. No candidate is capped: every pair of a bucket is either in one
+component already or compared.
 """
 
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ class NearDupSpec:
     step: int = 24
     miss: float = 1e-6
     block: int = 1024
+    rounds: int = 4
+    held: int = 128
 
 
 def least_matches(spec: NearDupSpec) -> list[tuple[int, int]]:
@@ -190,9 +194,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _drawn(buckets: DataFrame, comps: DataFrame, number: int) -> DataFrame:
+    """For each class one partner ``(a, b)`` in another component: of the members drawn from its buckets, that of most buckets."""
+    member = _member(buckets, comps)
+    hubs = member.groupBy("band").agg(
+        F.min_by(F.struct("node", "comp"), F.struct(F.xxhash64("node", F.lit(number)), "node")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    ).where("low < high")
+    met = member.join(hubs.select("band", "hub.node", "hub.comp").toDF("band", "hub", "hub_comp"), "band").where("comp <> hub_comp")
+    return met.groupBy("node", "hub").agg(F.count("*").alias("shared")).groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b"))
+
+
+def _member(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return buckets.withColumn("comp", F.col("node"))
+    return buckets.join(comps, "node", "left").select(*buckets.columns, F.coalesce("comp", "node").alias("comp"))
+
+
 def _across(buckets: DataFrame, sigs: DataFrame, comps: DataFrame, spec: NearDupSpec) -> DataFrame:
-    """Round two: pairs of one bucket and different components that their signatures do not rule out."""
-    member = buckets.join(comps, "node", "left").select("band_no", "band", "node", F.coalesce("comp", "node").alias("comp"))
+    """``(a, held, partners)``: classes and their undecided partners of other components, by the block that holds the partners' texts."""
+    member = _member(buckets, comps)
     mixed = member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
     split = F.ceil(F.col("size") / spec.block).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -206,12 +226,13 @@ def _across(buckets: DataFrame, sigs: DataFrame, comps: DataFrame, spec: NearDup
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key = [table.column(c).to_numpy() for c in ("band", "lo", "hi")]
-        own, node, comp, band_no = (table.column(c).to_numpy() for c in ("own", "node", "comp", "band_no"))
+        own, node, comp, band_no, held, weight = (table.column(c).to_numpy() for c in ("own", "node", "comp", "band_no", "held", "weight"))
         sig = _signatures(table.column("sig"), spec.hashes)
         group = np.zeros(len(node), dtype=np.int64)
         if len(node):
             group[1:] = np.cumsum(np.any([k[1:] != k[:-1] for k in key], axis=0))
         across = key[1] != key[2]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for gap in range(1, int(np.bincount(group).max(initial=1))):
             left = np.flatnonzero((group[gap:] == group[:-gap]) & (comp[gap:] != comp[:-gap]))
             right = left + gap
@@ -224,25 +245,84 @@ def _across(buckets: DataFrame, sigs: DataFrame, comps: DataFrame, spec: NearDup
             # a pair that shares several bands is told by the first of them
             same = (sig[left, : spec.bands * spec.rows] == sig[right, : spec.bands * spec.rows]).reshape(-1, spec.bands, spec.rows).all(axis=2)
             told = same.argmax(axis=1) == band_no[left] if len(left) else np.zeros(0, dtype=bool)
-            left, right = left[told], right[told]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[left], node[right])), pa.array(np.maximum(node[left], node[right]))], ["a", "b"])
+            found.append((left[told], right[told]))
+        left, right = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        if not len(left):
+            return
+        # the member of the smaller component asks
+        turn = (weight[left] > weight[right]) | ((weight[left] == weight[right]) & (comp[left] > comp[right]))
+        asks, told = np.where(turn, right, left), np.where(turn, left, right)
+        order = np.lexsort((held[told], node[asks]))
+        asks, told = asks[order], told[order]
+        fresh = np.ones(len(asks), dtype=bool)
+        fresh[1:] = (node[asks][1:] != node[asks][:-1]) | (held[told][1:] != held[told][:-1])
+        begin = np.flatnonzero(fresh)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(asks)).astype(np.int32)), pa.array(node[told]))
+        yield pa.RecordBatch.from_arrays([pa.array(node[asks][begin]), pa.array(held[told][begin]), lists], ["a", "held", "partners"])
 
     def stream(batches):
-        held = None
+        waiting = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            key = [held.column(c).to_numpy() for c in ("band", "lo", "hi")]
-            last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0)) if held.num_rows else np.zeros(0, dtype=int)
+            waiting = table if waiting is None else pa.concat_tables([waiting, table])
+            key = [waiting.column(c).to_numpy() for c in ("band", "lo", "hi")]
+            last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0)) if waiting.num_rows else np.zeros(0, dtype=int)
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield from compare(held.slice(0, cut).combine_chunks())
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield from compare(held.combine_chunks())
+                yield from compare(waiting.slice(0, cut).combine_chunks())
+                waiting = waiting.slice(cut)
+        if waiting is not None and waiting.num_rows:
+            yield from compare(waiting.combine_chunks())
+
+    placed = _blocks(sigs, comps, spec)
+    carried = dealt.join(placed.select("node", "sig", "held", "weight"), "node").select("band_no", "band", "lo", "hi", "own", "node", "comp", "held", "weight", "sig")
+    return carried.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(stream, "a long, held long, partners array<long>")
+
+
+def _blocks(nodes: DataFrame, comps: DataFrame, spec: NearDupSpec) -> DataFrame:
+    """``nodes`` with ``weight`` (the size of their component) and ``held``, a block of about ``spec.held`` of its members."""
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("weight"))
+    own = nodes.join(comps, "node", "left").join(sizes, "comp", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("weight") / spec.held))
+    return own.withColumn("held", F.xxhash64(F.coalesce("comp", "node"), part)).drop("comp")
+
 
-    carried = dealt.join(sigs.select("node", "sig"), "node").select("band_no", "band", "lo", "hi", "own", "node", "comp", "sig")
-    return carried.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(stream, "a long, b long")
+def _decided(asked: DataFrame, held: DataFrame, blocks: DataFrame, spec: NearDupSpec) -> DataFrame:
+    """Links ``(a, b)`` among lists of partners: each block's sets are built once and meet all that ask for its members."""
+
+    def sets_of(values: pa.Array) -> list[np.ndarray]:
+        data, limits = W.text_bytes(values)
+        text, value = _shingle_sets(data, limits, spec.shingle)
+        ends = np.searchsorted(text, np.arange(len(values) + 1))
+        return [value[ends[i] : ends[i + 1]] for i in range(len(values))]
+
+    def stream(batches):
+        block, sets = None, {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                out = []
+                for key, node, partners, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), sets_of(part.column(4))):
+                    if key != block:
+                        block, sets = key, {}
+                    if partners is None:
+                        sets[node] = own
+                        continue
+                    for b in partners:
+                        other = sets.get(b)
+                        if other is None or 100 * min(len(own), len(other)) < spec.percent * max(len(own), len(other)):
+                            continue
+                        common = len(np.intersect1d(own, other, assume_unique=True))
+                        if 100 * common >= spec.percent * (len(own) + len(other) - common):
+                            # all partners of a block are of one component: one link is as good as all
+                            out.append((node, b))
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    wanted = asked.select("held").distinct()
+    there = held.join(blocks.select("node", "held"), "node").join(wanted, "held", "left_semi").select("held", F.lit(0).alias("turn"), "node", F.lit(None).cast("array<long>").alias("partners"), "text")
+    asks = asked.join(held, asked["a"] == held["node"]).select("held", F.lit(1).alias("turn"), F.col("a").alias("node"), "partners", "text")
+    return there.union(asks).repartition("held").sortWithinPartitions("held", "turn").mapInArrow(stream, "a long, b long")
 
 
 def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
@@ -268,19 +348,18 @@ def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
         "node", "band_no", F.expr(f"xxhash64(band_no, substring(sig, 1 + {width} * band_no, {width}))").alias("band")
     )
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub")
-    buckets = stage(banded.join(hubs, "band"), "buckets")
-    nearest = (
-        buckets.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
-        .groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b"))
-    )
-    asked = buckets.select("node").distinct()
-    wanted = nodes.join(asked, "node").select("node", "cls", F.col("rep").alias("doc_id"))
+    buckets = stage(banded.join(hubs, "band", "left_semi"), "buckets")
+    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", "cls", F.col("rep").alias("doc_id"))
     # repeated rows: one text is enough; the join has dealt rows by id already
     own = wanted.join(source, "doc_id").dropDuplicates(["doc_id", "node", "mark"])
     held = stage(own.select("node", "cls", "text").mapInArrow(_own_text(spec), "node long, text string"), "texts")
-    first = stage(_confirmed(_pruned(nearest, nodes, spec), held, spec), "links")
-    second = _confirmed(_across(buckets, nodes, components(first), spec), held, spec)
-    comps = components(first.union(second))
+    links, comps = None, None
+    for number in range(spec.rounds):
+        fresh = stage(_confirmed(_pruned(_drawn(buckets, comps, number), nodes, spec), held, spec), "links")
+        links = fresh if links is None else links.union(fresh)
+        comps = components(links)
+    asked = stage(_across(buckets, nodes, comps, spec), "asked")
+    comps = components(links.union(_decided(asked, held, _blocks(nodes.select("node"), comps, spec), spec)))
     placed = nodes.join(comps, "node", "left").select("cls", "rep", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = placed.join(least, "comp").select(F.col("cls").alias("named"), "component_id")
