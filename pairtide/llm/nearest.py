@@ -3,10 +3,11 @@
 Each half of a vector is quantised by centroids of its own, so ``k`` centroids per half make ``k * k`` cells. A
 query visits cells from the best down: a heap walks the pairs of centroids in the order of the summed inner
 products of its halves with them (the sum of distances of this measure, best first), until the cells hold
-``reach`` of all vectors, then every vector of these cells is scored exactly.
+``reach`` of all vectors, then every vector of these cells is scored exactly. The first cells are scored ahead: the last of
+a query's best there is a floor, below which the other cells need not report anything.
 
-Work is dealt by cell; large cells and the queries that meet there are split into blocks, so equal vectors in
-any number stay spread.
+Work is dealt by the first half's centroid, a query being sent there once with the cells it visits; the vectors of a
+centroid and the queries that meet them are split into blocks, so equal vectors in any number stay spread.
 """
 
 import heapq
@@ -23,15 +24,16 @@ from pairtide.session import stage
 
 @dataclass(frozen=True)
 class NearestSpec:
-    """``sample`` bounds the vectors the centroids are fitted on (about). ``reach``: share of all vectors a query meets,
-    ``least`` of them at least."""
+    """``sample`` bounds the vectors the centroids are fitted on (about). ``reach``: share of all different vectors a query meets,
+    ``least`` of them at least. ``ahead``: vectors that set a query's floor."""
 
     top: int = 20
-    centroids: int = 24
+    centroids: int = 64
     sample: int = 20_000
-    rounds: int = 15
-    reach: float = 0.2
+    rounds: int = 10
+    reach: float = 0.5
     least: int = 2000
+    ahead: int = 200
     block: int = 512
     seed: int = 9
 
@@ -138,49 +140,78 @@ def nearest(vectors: DataFrame, is_query, spec: NearestSpec = NearestSpec(), id_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], ["vec_id", "vec", "cell"])
 
     index = stage(rows.mapInArrow(place, "vec_id long, vec array<double>, cell int"), "cells")
-    counted = {r[0]: r[1] for r in index.groupBy("cell").count().collect()}  # one row per pair of centroids at most
-    counts = np.zeros((len(books[0]), wide), dtype=np.int64)
-    for cell, size in counted.items():
-        counts[divmod(cell, wide)] = size
-    enough = max(spec.least, int(spec.reach * n))
+    # one row per pair of centroids at most; copies of a vector count once towards the reach, so a hot one does not use it up
+    sizes = index.groupBy("cell", F.xxhash64("vec").alias("copy")).count().groupBy("cell").agg(F.sum("count"), F.count("*")).collect()
+    counted, counts = {r[0]: r[1] for r in sizes}, np.zeros((len(books[0]), wide), dtype=np.int64)
+    for cell, _, distinct in sizes:
+        counts[divmod(cell, wide)] = distinct
+    enough = max(spec.least, int(spec.reach * counts.sum()))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _matrix(batch.column(1))
             left, right = m[:, :half] @ books[0].T, m[:, half:] @ books[1].T
-            cells = [[i * wide + j for i, j in visit(left[k], right[k], counts, enough)] for k in range(len(m))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], ["vec_id", "vec", "cells"])
-
-    queries = rows.where(is_query)
-    asked = queries.mapInArrow(route, "vec_id long, vec array<double>, cells array<int>").select("vec_id", "vec", F.explode("cells").alias("cell"))
+            out = []
+            for k in range(len(m)):
+                path = visit(left[k], right[k], counts, enough)
+                first = int(np.searchsorted(np.cumsum([counts[c] for c in path]), spec.ahead)) + 1
+                by_left: dict[int, tuple[list[int], list[int]]] = {}
+                for turn, (i, j) in enumerate(path):
+                    by_left.setdefault(i, ([], []))[turn >= first].append(j)
+                out.append([{"side": i, "soon": soon, "late": late} for i, (soon, late) in by_left.items()])
+            kind = pa.list_(pa.struct([("side", pa.int32()), ("soon", pa.list_(pa.int32())), ("late", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], ["vec_id", "vec", "visits"])
+
+    shape = "vec_id long, vec array<double>, visits array<struct<side:int,soon:array<int>,late:array<int>>>"
+    routed = stage(rows.where(is_query).mapInArrow(route, shape), "routes")
+    asked = routed.select("vec_id", "vec", F.explode("visits").alias("v")).select("vec_id", "vec", "v.side", "v.soon", "v.late")
     blocks = lambda frame, size: frame.withColumn("block", F.pmod(F.xxhash64("vec_id"), size))
-    parts = F.greatest(F.lit(1), F.ceil(F.element_at(F.create_map(*[F.lit(v) for kv in counted.items() for v in kv]), F.col("cell")) / spec.block))
-    packed = lambda frame, ids, vecs: frame.groupBy("cell", "block").agg(F.collect_list(F.struct("vec_id", "vec")).alias("all")).select("cell", F.col("all.vec_id").alias(ids), F.flatten("all.vec").alias(vecs))
-    there = packed(blocks(index, parts), "ids", "vecs")
+    held = {i: sum(size for cell, size in counted.items() if cell // wide == i) for i in range(len(books[0]))}
+    parts = F.greatest(F.lit(1), F.ceil(F.element_at(F.create_map(*[F.lit(v) for kv in held.items() for v in kv]), F.col("side")) / spec.block))
+    there = (
+        blocks(index.withColumn("side", F.floor(F.col("cell") / wide).cast("int")), parts)
+        .groupBy("side", "block").agg(F.collect_list(F.struct("vec_id", "vec", (F.col("cell") % wide).alias("other"))).alias("all"))
+        .select("side", F.col("all.vec_id").alias("ids"), F.flatten("all.vec").alias("vecs"), F.col("all.other").alias("others"))
+    )
     groups = max(1, -(-n // (20 * spec.block)))
-    here = packed(blocks(asked, F.lit(groups)), "query_ids", "query_vecs")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(spec.top)
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, query_ids = (batch.column(c)[k].values.to_numpy() for c in (0, 2))
+                ids, query_ids, floors, others = (batch.column(c)[k].values.to_numpy() for c in (0, 2, 4, 6))
                 m, q = (batch.column(c)[k].values.to_numpy().reshape(len(i), -1) for c, i in ((1, ids), (3, query_ids)))
                 rough = q @ m.T
-                for r, query in enumerate(query_ids.tolist()):
-                    own = rough[r]
+                for r, (query, open_cells) in enumerate(zip(query_ids.tolist(), batch.column(5)[k].values)):
+                    inside = np.zeros(wide, dtype=bool)
+                    inside[open_cells.values.to_numpy()] = True
+                    own, floor = np.where(inside[others], rough[r], -np.inf), floors[r]
                     if len(own) > spec.top + 1:
-                        floor = np.partition(own, len(own) - spec.top - 1)[len(own) - spec.top - 1]
-                        near = np.flatnonzero(own >= floor - 1e-9 * (1 + abs(floor)))
-                    else:
-                        near = np.arange(len(own))
+                        floor = max(floor, np.partition(own, len(own) - spec.top - 1)[len(own) - spec.top - 1])
+                    near = np.flatnonzero(own >= (floor - 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else -1e300))
                     near = near[ids[near] != query]
                     # scored again row by row, so equal vectors tie exactly
-                    best.add(query, ids[near], (m[near] * q[r]).sum(axis=1))
+                    exact = (m[near] * q[r]).sum(axis=1)
+                    enough_ = exact >= floors[r]
+                    if enough_.any():
+                        best.add(query, ids[near][enough_], exact[enough_])
             if len(best.held) > 20_000:
                 yield best.out()
         yield best.out()
 
-    found = there.join(here, "cell").select("ids", "vecs", "query_ids", "query_vecs").mapInArrow(score, "query_id long, vec_id long, score double")
+    def scored(queries: DataFrame) -> DataFrame:
+        here = (
+            blocks(queries, F.lit(groups)).groupBy("side", "block").agg(F.collect_list(F.struct("vec_id", "vec", "floor", "cells")).alias("all"))
+            .select("side", F.col("all.vec_id").alias("query_ids"), F.flatten("all.vec").alias("query_vecs"), F.col("all.floor").alias("floors"), F.col("all.cells").alias("cells"))
+        )
+        both = there.join(here, "side").select("ids", "vecs", "query_ids", "query_vecs", "floors", "cells", "others")
+        return both.mapInArrow(score, "query_id long, vec_id long, score double")
+
+    none = F.lit(float("-inf"))
+    ahead = stage(scored(asked.where("size(soon) > 0").select("vec_id", "vec", "side", F.col("soon").alias("cells")).withColumn("floor", none)), "ahead")
+    line = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    last = ahead.withColumn("at", F.row_number().over(line)).where(F.col("at") == spec.top).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = asked.where("size(late) > 0").select("vec_id", "vec", "side", F.col("late").alias("cells")).join(last, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+    found = ahead.union(scored(rest))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.top).select("query_id", "rank", "vec_id", "score")
