@@ -129,7 +129,7 @@ def license_spans(docs: DataFrame, spec: LicenseSpec = LicenseSpec()) -> DataFra
         .agg(F.sum("votes").alias("votes"), F.min("low").alias("start"), F.max("high").alias("last"), F.first("size").alias("size"), F.first("k").alias("k"), F.first("exact").alias("exact"), F.first("least").alias("least"), F.max("doc_id").alias("doc_id"))
     )
     need = F.col("size") - F.col("k") + 1
-    share = F.least(F.lit(1.0), F.col("votes") / need)
+    share = F.when(F.col("notice").isNotNull(), F.least(F.lit(1.0), F.col("votes") / need))
     end = F.col("last") + F.col("k")
     stands = F.when(F.col("exact"), F.col("votes") == need).otherwise((share >= F.col("least")) & (end - F.col("start") <= F.col("size") + spec.slack))
     words = F.when(F.col("notice").isNull(), -1 - F.col("start"))
