@@ -1,0 +1,352 @@
+"""Operators for training data against plain versions, and their defined results on awkward tables."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from pairtide.llm import packing, words
+from pairtide.llm.decontaminate import LeakSpec, leaks, without_leaks
+from pairtide.llm.language import identify, train_language
+from pairtide.llm.licenses import license_scan
+from pairtide.llm.near_dups import NearDupSpec, near_dups, without_near_dups
+from pairtide.llm.nearest import NearestSpec, nearest
+from pairtide.llm.packing import PackSpec, pack, pieces, plan_runs, sequences
+from pairtide.llm.pii import personal_spans, redact, train_pii, written
+from pairtide.llm.quality import quality
+from pairtide.llm.repeats import RepeatSpec, remove_repeats
+from pairtide.llm.secrets import candidates, secrets, train_secrets
+
+SMALL = "/root/testdata/sf0.001"
+SPACE = r"[^\x20\x09-\x0D]+"
+LONG = " ".join(f"w{i * 7919 % 10007}" for i in range(30_000))
+
+#: null and empty texts, a repeated row, a null id, an id with two texts, white space only, a very long text
+AWKWARD = [
+    (1, None), (2, ""), (3, "one two three four five six seven"), (3, "one two three four five six seven"), (None, "one two three four five six seven"),
+    (4, "One TWO three four five six seven"), (5, " \t\n "), (6, "é"), (7, LONG), (8, LONG + " more"), (9, "a different text under one id"), (9, "and another text of that id"),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Columns that clash with names the operators use inside."""
+    frame = spark.createDataFrame(AWKWARD, "doc_id long, text string")
+    for name in ("score", "node", "cls", "mark", "start", "lang_pred", "spans", "row", "length", "runs"):
+        frame = frame.withColumn(name, F.lit("x"))
+    return frame
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, score string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return pd.read_parquet(f"{SMALL}/documents.parquet").sort_values("doc_id")
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text, k):
+    said = re.findall(SPACE, lower(text))
+    return frozenset(tuple(said[i : i + k]) for i in range(len(said) - k + 1)) if len(said) >= k else frozenset([tuple(said)] if said else [])
+
+
+def components_of(rows, k, percent):
+    """All pairs, brute force."""
+    sets = [shingles(t, k) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    groups = {}
+    for i, (doc, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(doc)
+    return [(doc, len(sets[i]), min(groups[find(i)])) for i, (doc, _) in enumerate(rows)]
+
+
+def test_word_hashes_whatever_the_block(monkeypatch):
+    texts = ["a b  c", "", None, "  x\ty ", "a b c", "longword" * 40 + " z é ü", "c"]
+    data, limits = words.text_bytes(pa.array(texts))
+    whole = words.words(data, limits)
+    monkeypatch.setattr(words, "BLOCK", 16)
+    cut = words.words(data, limits)
+    assert whole[0].tolist() == cut[0].tolist() and whole[1].tolist() == cut[1].tolist()
+    said = [(i, w) for i, t in enumerate(texts) for w in (t or "").split()]
+    assert whole[0].tolist() == [i for i, _ in said]
+    named = {}
+    assert all(named.setdefault(w, h) == h for (_, w), h in zip(said, whole[1].tolist())) and len(set(named.values())) == len(named)
+
+
+def test_near_dups(docs, plain, awkward, nothing, spark):
+    rng = np.random.default_rng(0)
+    base = [f"v{i}" for i in range(120)]
+    rows = list(zip(plain.doc_id.tolist(), plain.text.tolist()))
+    for i in range(60):  # a group of near copies, some of them far from each other
+        copy = [w if rng.random() > 0.002 * (i % 30) else f"x{rng.integers(1000)}" for w in base]
+        rows.append((10_000 + i, " ".join(copy)))
+    rows += [(d, t) for d, t in AWKWARD if d is not None and d != 9]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_dups(frame, NearDupSpec(shingle=4, block=16, held=8, rounds=2)).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(components_of(rows, 4, 80))
+    out = [r.asDict() for r in near_dups(awkward).collect()]
+    assert len(out) == len(AWKWARD)
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(1, 1), (2, 2), (3, 3), (None, None), (4, 3), (5, 5), (6, 6), (7, 7), (8, 7), (9, 9)}
+    kept = without_near_dups(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7, 9, 9]
+    assert near_dups(nothing).count() == 0
+
+
+def removed(rows, window=20):
+    first, out = set(), []
+    for doc, text in rows:
+        said = (text or "").encode().split()
+        gone = [False] * len(said)
+        for i in range(len(said) - window + 1):
+            key = tuple(said[i : i + window])
+            if key in first:
+                gone[i : i + window] = [True] * window
+            first.add(key)
+        kept = b" ".join(w for w, g in zip(said, gone) if not g)
+        out.append((doc, len(said), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("spec", [RepeatSpec(), RepeatSpec(sample=1.0, hot_share=0.0, slice_bytes=4000)])
+def test_repeats(docs, plain, spec):
+    got = remove_repeats(docs, spec).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256))
+    assert sorted(tuple(r) for r in got.collect()) == removed(zip(plain.doc_id, plain.text))
+
+
+def test_repeats_awkward(awkward, nothing):
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in remove_repeats(awkward).collect())
+    assert got == sorted([(1, 0, 0), (2, 0, 0), (3, 7, 0), (3, 7, 0), (0, 7, 0), (4, 7, 0), (5, 0, 0), (6, 1, 0), (7, 30_000, removed([(7, LONG)])[0][2]), (8, 30_001, 30_000), (9, 6, 0), (9, 6, 0)])
+    assert remove_repeats(nothing).count() == 0
+
+
+def test_language(docs, awkward, nothing):
+    net = train_language(docs.where("doc_id % 5 <> 0"))
+    told = identify(docs.where("doc_id % 5 = 0"), net)
+    right = told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
+    assert right[0] > 0.95 and 0 <= right[1] and right[2] <= 1
+    out = [(r.doc_id, r.lang_pred, r.score) for r in identify(awkward, net).collect()]
+    assert len(out) == len(AWKWARD) and {d for d, l, s in out if l == "und"} == {1, 2, 5}
+    assert train_language(nothing) is None
+    assert {r.lang_pred for r in identify(awkward, None).collect()} == {"und"} and identify(nothing, net).count() == 0
+
+
+def test_quality(spark, awkward, nothing):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    got = quality(docs, labels, fold != 1).join(labels.where(fold == 1), "doc_id")
+    assert got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
+    mixed = spark.createDataFrame([(3, 1), (3, 0), (2, 0), (4, 1), (7, 1), (None, 1), (77, 1)], "doc_id long, quality int")
+    out = quality(awkward, mixed, F.lit(True)).collect()
+    assert len(out) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    assert {r.score for r in quality(awkward, mixed.where("false"), F.lit(True)).collect()} == {0.5}
+    assert quality(nothing, mixed, F.lit(True)).count() == 0
+
+
+def test_leaks(docs, plain, spark, awkward, nothing):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    say = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
+    tests = [(r.item_id, say(r.text)) for r in items.collect()]
+    wanted = {(d, i) for d, t in zip(plain.doc_id, plain.text) for i, said in tests if said in say(t)}
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()}
+    assert wanted and got == wanted
+    # more items than one pass and one shard hold give the same
+    assert {(r.doc_id, r.item_id) for r in leaks(docs, items, LeakSpec(shard=7, parts=2)).collect()} == wanted
+    odd = spark.createDataFrame([(1, "four five six seven"), (2, None), (3, ""), (None, "x"), (4, LONG)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(awkward, odd).collect()} == {(3, 1), (4, 1), (7, 4), (8, 4)}
+    clean = without_leaks(awkward, odd)
+    assert clean.columns == awkward.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [0, 1, 2, 5, 6, 9, 9]
+    assert leaks(awkward, odd.where("false")).count() == 0 and leaks(nothing, odd).count() == 0
+
+
+def wand_free(index, terms, spec):
+    return {(i, round(s, 9)) for i in range(len(index.segments)) if (s := sum(x for t in terms for j, x in index.postings[t] if j == i)) >= spec.threshold}
+
+
+def test_block_max_search_is_exact():
+    from pairtide.llm.decontaminate import _Index
+
+    rng, spec = np.random.default_rng(1), LeakSpec(threshold=0.3, block=3)
+    parts = [(i, rng.integers(0, 40, 12).astype(np.uint64)) for i in range(20)]
+    index = _Index(parts, {t: 1.0 + t % 5 for t in range(40)}, 12.0, spec)
+    for _ in range(50):
+        terms = sorted(set(rng.integers(0, len(index.terms), 15).tolist()))
+        bound = index.top[terms].sum(axis=0)
+        found = index.search(terms, np.flatnonzero(bound >= spec.threshold - 1e-4).tolist(), spec)
+        assert {(i, round(s, 9)) for i, s in found} == wand_free(index, terms, spec)
+
+
+BASES = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def holds(kind, said):
+    digits = [int(c) for c in said if c.isdigit()]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in said.split("."))
+    if kind == "card":
+        twice = [d * 2 - 9 * (d > 4) if i % 2 else d for i, d in enumerate(reversed(digits))]
+        return 13 <= len(digits) <= 19 and sum(twice) % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def base_of(text):
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in BASES for m in re.finditer(p, text or "") if holds(k, m[0]))
+
+
+PERSONAL = [
+    "a@b.c@d.e x@y..z p@q.r..s t@u.v. q_w@e.r-t.y_u@i.o", "é ü 1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0255 1.2.3 00000000012.1.1.1", "4111 1111 1111 1111 4111  1111 1111 1111 4111-1111-1111-1111-",
+    "+1 (243) 555-5526 +12 +1+2345678901 +49 30 (1234) 5678.", "1 " * 6000, "1." * 4000, "7" * 9000, "a.b" * 4000 + "@" + "x.y" * 3000, "ß 4012888888881881é +4912345678901234567", "", None,
+]
+
+
+def test_personal_data(docs, plain, spark, awkward, nothing):
+    frame = spark.createDataFrame(list(enumerate(PERSONAL)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in personal_spans(frame, None).select("doc_id", written(F.col("base"))).collect()}
+    assert got == {i: base_of(t) for i, t in enumerate(PERSONAL)}
+    trained = train_pii(docs)
+    told = personal_spans(docs, trained).select("doc_id", written(F.col("base")), written(F.col("spans"))).collect()
+    assert {r[0]: r[1] for r in told} == {d: base_of(t) for d, t in zip(plain.doc_id, plain.text)}
+    assert all(set(filter(None, r[1].split(","))) <= set(r[2].split(",")) for r in told)
+    clean = redact(awkward, trained)
+    assert clean.columns == awkward.columns and sorted(map(str, clean.select("text").collect())) == sorted(map(str, awkward.select("text").collect()))
+    shown = redact(spark.createDataFrame([(1, "é mail a@b.de, call +1 (243) 555-5526 or 1.2.3.4!", 5)], "doc_id long, text string, n_chars int"), None).first()
+    assert shown.text == "é mail [EMAIL], call [PHONE] or [IP]!" and shown.n_chars == 5
+    assert personal_spans(nothing, trained).count() == 0 and train_pii(nothing) is None and train_pii(awkward) is None
+
+
+def test_secrets(spark, awkward, nothing):
+    text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and thestoriousinheritances or src/main/java/Foo.java12'
+    frame = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    spans = [(r.m.start, r.m.end, r.m.said) for r in frame.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("m")).collect()]
+    assert len(spans) >= 2 and all(text[a:b] == said for a, b, said in spans)
+    labelled = [("0" * 10 + f"{i:030x}", 'token = "', '"', 1) for i in range(30)] + [("the" * 8 + "word" * (i % 5), " and ", " or", 0) for i in range(30)]
+    findings = spark.createDataFrame(labelled, "said string, left string, right string, label int")
+    forest = train_secrets(findings, ["the", "word"])
+    verdict = {r.said: r.is_secret for r in secrets(frame, forest, ["the", "word"]).collect()}
+    assert verdict["04dbebab91ab85687d33eeaaf9ac699e1188f962"] and not verdict.get("thestoriousinheritances", False)
+    assert train_secrets(findings.where("label = 1"), []) is None and train_secrets(findings.where("false"), []) is None
+    assert all(r.score == 0 for r in secrets(awkward, None, []).collect()) and secrets(nothing, forest, []).count() == 0
+
+
+def test_licenses(docs, plain, spark, awkward, nothing):
+    phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
+
+    def base(text):
+        said = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        places = [(i, label) for i in range(len(said)) for p, label in phrases.items() if tuple(said[i : i + len(p)]) == p]
+        starts = [i for i, _ in places]
+        return len(said), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+    own = ["CC BY cc-by! All rights, RESERVED", "Released under the MIT License.", "released under the new MIT license", "General public general public license", "cc", None, "", "cc by " * 500]
+    rows = list(zip(plain.doc_id.tolist(), plain.text.tolist())) + [(9000 + i, t) for i, t in enumerate(own)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan(frame).collect()}
+    assert {d: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for d, r in got.items()} == {d: base(t) for d, t in rows}
+    assert got[9001].labels == "mit" and got[9001].score == 1 and got[9005].labels == "" and got[9005].score == 0
+    assert license_scan(awkward).count() == len(AWKWARD) and license_scan(nothing).count() == 0
+
+
+def test_nearest(spark):
+    frame = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    one = frame.first()
+    extra = spark.createDataFrame(
+        [(9001, None), (9002, [0.0] * 64), (9003, [float("nan")] * 64), (9004, [None] + [1.0] * 63), (9005, [1.0]), (None, [1.0] * 64)] + [(10_000 + i, list(one.embedding)) for i in range(700)],
+        "vec_id long, embedding array<double>",
+    )
+    every = frame.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).union(extra).union(extra.where("vec_id = 10000")).withColumn("score", F.lit("x"))
+    got = nearest(every, F.col("vec_id") % 20 == 0, NearestSpec(reach=0.3, least=300, block=64)).toPandas()
+    data = every.where("vec_id is not null and vec_id not between 9001 and 9005").dropDuplicates(["vec_id"]).toPandas().sort_values("vec_id")
+    ids, x = data.vec_id.to_numpy(), np.stack(data.embedding)
+    found = total = 0
+    for query, rows in got.groupby("query_id"):
+        rows = rows.sort_values("rank")
+        score = (x * x[ids == query][0]).sum(axis=1)
+        score[ids == query] = -np.inf
+        best = np.lexsort((ids, -score))[:20]
+        found, total = found + len(set(ids[best]) & set(rows.vec_id)), total + 20
+        assert rows["rank"].tolist() == list(range(1, 21)) and query not in set(rows.vec_id)
+        assert np.allclose(rows.score, [score[ids == v][0] for v in rows.vec_id], rtol=0, atol=1e-12)
+        assert rows.vec_id.tolist() == rows.sort_values(["score", "vec_id"], ascending=[False, True]).vec_id.tolist()
+    assert set(got.query_id) == set(ids[ids % 20 == 0]) and found / total >= 0.9
+    # a query among equal vectors finds the smallest ids of them
+    assert got[got.query_id == 10_000].sort_values("rank").vec_id.tolist()[1:] == list(range(10_001, 10_020))
+    assert nearest(every.limit(0), F.lit(True)).count() == 0
+
+
+def test_encoder_is_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    encode = packing.encoder("byte_bpe_50k.json")
+    texts = ["", " ", "don't  stop\n\n  x", "tab\tx  ", "é̀ x² ½ ٣", "a  b\x1cc", "<|endoftext|> x", "’s I'LL we're", "日本 語 🙂"] + pd.read_parquet(f"{SMALL}/documents.parquet").text.tolist()[:40]
+    assert [encode(t) for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_plan_holds_every_piece():
+    rng = np.random.default_rng(5)
+    for capacity in (7, 64, 2048):
+        for _ in range(40):
+            counts = {int(s): int(rng.integers(1, 30)) for s in rng.integers(1, capacity + 1, rng.integers(0, 120))}
+            used, numbers = {}, {}
+            for size, number, n, first, offset in plan_runs(counts, capacity):
+                numbers.setdefault(size, []).extend(range(number, number + n))
+                for i in range(n):
+                    used.setdefault(first + i, []).append((offset, size))
+            assert {s: sorted(n) for s, n in numbers.items()} == {s: list(range(n)) for s, n in counts.items()}
+            for parts in used.values():
+                ends = np.cumsum([s for _, s in sorted(parts)])
+                assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= capacity
+                assert sum(3 * s > capacity for _, s in parts) <= 2 or capacity < 8
+            total = sum(s * n for s, n in counts.items())
+            assert len(used) <= 1.5 * -(-total // capacity) + 1
+
+
+def test_packing(awkward, nothing):
+    spec = PackSpec(capacity=512, buckets=4)
+    cut = pieces(awkward, spec)
+    packed = pack(cut, spec).toPandas()
+    encode = packing.encoder(spec.vocabulary)
+    wanted = sorted((d or 0, zlib.crc32(np.array(encode(t or "") + [0], dtype="<u4").tobytes())) for d, t in AWKWARD if d not in (3, 9, None))
+    whole = packed[packed.doc_id.notna() & ~packed.doc_id.isin([3, 9])].sort_values("start").groupby("doc_id").ids.apply(b"".join)
+    assert sorted((d, zlib.crc32(x)) for d, x in whole.items()) == wanted
+    assert len(packed[packed.doc_id == 3]) == 2 and packed.doc_id.isna().sum() == 1
+    for _, rows in packed.groupby("sequence_id"):
+        rows = rows.sort_values("offset")
+        assert rows.offset.tolist() == [0, *rows.length.cumsum()[:-1]] and rows.length.sum() <= spec.capacity
+    assert packed.sequence_id.nunique() == -(-packed.length.sum() // spec.capacity)
+    full = sequences(pack(cut, spec)).collect()
+    assert sum(len(r.ids) for r in full) == 4 * packed.length.sum()
+    assert pack(pieces(nothing, spec), spec).count() == 0
