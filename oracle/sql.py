@@ -443,9 +443,10 @@ ORACLE = {
         "win AS MATERIALIZED (SELECT a.start_ts, a.end_ts, min(pos) AS start_pos, max(pos) AS end_pos FROM asked a JOIN cal c ON c.ts BETWEEN a.start_ts AND a.end_ts GROUP BY ALL)",
         window_rows(), lagged(), correlations(), edges_at_lag()],
         f"SELECT {ts('w.start_ts')} AS start_ts, {ts('w.end_ts')} AS end_ts, asset_i, asset_j, {r6('value')} AS value FROM edges e JOIN win w ON {same_window('e', 'w')}"),
-    "single_matrix": with_(panel("brand_day"), f"""SELECT asset_i, asset_j, {r6('corr(x0, y) - corr(y0, x)')} AS value FROM (
+    "single_matrix": with_(panel("brand_day"), f"""SELECT asset_i, asset_j, {r6('value')} AS value FROM (SELECT p.asset_i, p.asset_j, coalesce(v, 0) AS value FROM
+  (SELECT x.asset AS asset_i, y.asset AS asset_j FROM (SELECT DISTINCT asset FROM ix) x JOIN (SELECT DISTINCT asset FROM ix) y ON x.asset < y.asset) p LEFT JOIN (SELECT asset_i, asset_j, corr(x0, y) - corr(y0, x) AS v FROM (
   SELECT a.asset AS asset_i, b.asset AS asset_j, a.price AS x, b.price AS y, lag(a.price) OVER w AS x0, lag(b.price) OVER w AS y0
-  FROM ix a JOIN ix b ON a.pos = b.pos AND a.asset < b.asset WINDOW w AS (PARTITION BY a.asset, b.asset ORDER BY a.pos)) GROUP BY ALL"""),
+  FROM ix a JOIN ix b ON a.pos = b.pos AND a.asset < b.asset WINDOW w AS (PARTITION BY a.asset, b.asset ORDER BY a.pos)) GROUP BY ALL) q ON p.asset_i = q.asset_i AND p.asset_j = q.asset_j)"""),
     "matrix_snapshot": with_(WEEK + [CELLS], f"""SELECT {ts('w.end_ts')} AS end_ts, asset, {SNAPSHOT} FROM cells c JOIN win w ON {same_window('c', 'w')}
   WHERE w.end_pos IN ((SELECT min(end_pos) FROM win), (SELECT max(end_pos) FROM win)) GROUP BY w.end_ts, asset"""),
     "row_scores": with_(WEEK + [CELLS, SCORES], f"SELECT {ts('w.end_ts')} AS end_ts, asset, {r6('s')} AS score FROM scores c JOIN win w ON {same_window('c', 'w')}"),
@@ -505,17 +506,17 @@ ORACLE = {
   {r6('avg(value)', 5)} AS mean, {r6('stddev_pop(value)', 5)} AS std FROM long
   WHERE stat = 'mean' AND metric IN ('mean_abs_matrix', 'row_sum_std', 'row_sum_range', 'stability_matrix_corr') GROUP BY scenario, metric"""),
     "quality": with_([FINDINGS], f"SELECT duplicate_index, {r6('missing_ratio')} AS missing_ratio, zero_variance_assets, monotonic_index FROM found"),
-    "issues": with_([FINDINGS], """SELECT 'duplicate_index' AS code, 'Index contains duplicates.' AS issue FROM found WHERE duplicate_index
-  UNION ALL SELECT 'missing_ratio', printf('Missing ratio %.2f%% exceeds tolerance 1.00%%.', missing_ratio * 100) FROM found WHERE missing_ratio > 0.01
-  UNION ALL SELECT 'zero_variance', zero_variance_assets FROM found WHERE zero_variance_assets <> ''
-  UNION ALL SELECT 'monotonic_index', 'Index is not monotonically increasing.' FROM found WHERE NOT monotonic_index"""),
+    "issues": with_([FINDINGS], """SELECT 'repeated_timestamp' AS code, NULL::VARCHAR AS asset, NULL::DOUBLE AS amount FROM found WHERE duplicate_index
+  UNION ALL SELECT 'missing_share', NULL, round(missing_ratio, 6) FROM found WHERE missing_ratio > 0.01
+  UNION ALL SELECT 'constant_asset', o_orderpriority, 0 FROM orders GROUP BY o_orderpriority HAVING min(o_totalprice) = max(o_totalprice)
+  UNION ALL SELECT 'unordered_timestamps', NULL, NULL FROM found WHERE NOT monotonic_index"""),
     "manifest": with_(panel("brand_day"), f"""SELECT count(DISTINCT ts) AS row_count, count(DISTINCT asset) AS asset_count, string_agg(DISTINCT asset, ',' ORDER BY asset) AS columns,
   {ts('min(ts)')} AS start, {ts('max(ts)')} AS end, count(DISTINCT ts) * count(DISTINCT asset) - count(*) AS missing_values,
   (SELECT {r6('epoch(d)')} FROM (SELECT ts - lag(ts) OVER (ORDER BY ts) AS d FROM cal) WHERE d IS NOT NULL GROUP BY d ORDER BY count(*) DESC, d LIMIT 1) AS step_seconds FROM ix"""),
     "walk_forward": with_(WEEK + METRIC_CTES, " UNION ALL ".join(
         f"SELECT '{n}' AS metric, {r6(f'{n}::DOUBLE')} AS truncated, {r6(f'{n}::DOUBLE')} AS \"full\", 0.0::DOUBLE AS delta FROM metrics WHERE end_pos = 119" for n in NAMES)),
     "stream_bars": f"""SELECT {ts("time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')")} AS ts, event_type AS asset, {r6('avg(value + 1)')} AS price, count(*) AS observations
-  FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 6 HOURS, any_value(ts), TIMESTAMP '1970-01-01') + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+  FROM events GROUP BY 1, 2""",
 }
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 # Defaults of the feature settings.
 DEFAULT_TOP_K = 10
-VECTOR_LIMIT = 4096  # widest vector principal components are computed for
 
 
 @dataclass(frozen=True)
@@ -123,14 +122,12 @@ def _assemble(wide: DataFrame, keys: Sequence[str], names: Sequence[str]) -> Dat
 def fit_features(edges: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> FeatureModel:
     """Choose features on the given windows and fit the compression.
 
-    Only the chosen names reach the driver; a vector needs its width, and ``top_k`` bounds it.
+    The chosen names reach the driver: columns and vectors need them, whatever their number.
     """
     rows = feature_rows(edges, keys, spec.orders)
     chosen = top_features(feature_sizes(rows, keys, spec.min_magnitude), spec.top_k)
-    chosen = chosen.orderBy(F.col("mean_abs").desc(), "feature").select("feature").limit(VECTOR_LIMIT + 1)
+    chosen = chosen.orderBy(F.col("mean_abs").desc(), "feature").select("feature")
     names = [r.feature for r in chosen.collect()]
-    if len(names) > VECTOR_LIMIT:
-        raise ValueError(f"more than {VECTOR_LIMIT} features; set top_k or min_magnitude")
     model = FeatureModel(spec, list(keys), names)
     if spec.compression is None or not names:
         return model

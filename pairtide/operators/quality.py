@@ -2,18 +2,31 @@
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairtide.operators.timeline import last_known
 
-# Tolerated share of missing values, required and expected artifact columns.
+#: Fixed value: tolerated share of missing values.
 MISSING_TOLERANCE = 0.01
-STATS_REQUIRED = ("scenario", "metric", "count")
-STATS_EXPECTED_ANY = ("mean_mean", "median_mean", "std_mean", "max_mean")
-SIGNIFICANCE_EXPECTED = ("mean_boot_low", "mean_boot_high")
-TRUNCATED_PREFIXES = ("mea_boot_", "media_boot_", "st_boot_", "ma_boot_", "mi_boot_")
-ISSUE_NAMES_SHOWN = 5
+
+#: Which columns a result table must have (``need``), should have one or all of (``any``, ``all``), must not have
+#: under these beginnings (``not``), by table and level.
+CONTRACTS = (
+    ("stats", "need", "ERROR", ("scenario", "metric", "count")),
+    ("stats", "any", "WARN", ("mean_mean", "median_mean", "std_mean", "max_mean")),
+    ("significance", "not", "ERROR", ("mea_boot_", "media_boot_", "st_boot_", "ma_boot_", "mi_boot_")),
+    ("significance", "all", "WARN", ("mean_boot_low", "mean_boot_high")),
+)
+
+#: Files of a run by level, and metadata fields that should be filled.
+RUN_FILES = (("summary.csv", "ERROR"), ("run_metadata.json", "ERROR"), ("metrics_timeseries.csv", "WARN"))
+RUN_FIELDS = ("data_price_hash", "git_commit")
+
+
+def known(panel: DataFrame) -> DataFrame:
+    """The panel with NaN prices as missing ones."""
+    return panel.withColumn("price", F.nanvl(F.col("price").cast("double"), F.lit(None).cast("double")))
 
 
 def out_of_order(rows: DataFrame, sequence: str) -> DataFrame:
@@ -26,10 +39,11 @@ def out_of_order(rows: DataFrame, sequence: str) -> DataFrame:
 def quality(panel: DataFrame, sequence: str = None) -> DataFrame:
     """One row of findings on ``(ts, asset, price)``, read as a grid of timestamps by assets.
 
-    A timestamp an asset holds k times counts as k rows of the grid.
+    A timestamp an asset holds k times counts as k rows of the grid. NaN counts as missing.
 
     ``sequence`` is the ingestion order, needed only to judge whether timestamps ascend.
     """
+    panel = known(panel)
     repeated = panel.groupBy("ts", "asset").agg(F.count(F.lit(1)).alias("n"), F.count("price").alias("known"))
     by_ts = repeated.groupBy("ts").agg(F.max("n").alias("rows"), F.sum("known").alias("known"))
     assets = panel.agg(F.count_distinct("asset")).scalar()
@@ -53,35 +67,22 @@ def quality(panel: DataFrame, sequence: str = None) -> DataFrame:
 
 
 def issues(findings: DataFrame, tolerance: float = MISSING_TOLERANCE) -> DataFrame:
-    """One row per finding beyond its threshold: ``(code, issue)``."""
-    flat = F.col("zero_variance_assets")
-    listed = F.array(
-        _issue(F.col("duplicate_index"), "duplicate_index", F.lit("Index contains duplicates.")),
-        _issue(
-            F.col("missing_ratio") > tolerance,
-            "missing_ratio",
-            F.format_string(f"Missing ratio %.2f%% exceeds tolerance {tolerance * 100:.2f}%%.", F.col("missing_ratio") * 100),
-        ),
-        _issue(
-            F.size(flat) > 0,
-            "zero_variance",
-            F.concat(
-                F.size(flat).cast("string"), F.lit(" asset(s) with zero variance: "),
-                F.array_join(F.slice(flat, 1, ISSUE_NAMES_SHOWN), ", "),
-            ),
-        ),
-        _issue(~F.col("monotonic_index"), "monotonic_index", F.lit("Index is not monotonically increasing.")),
-    )
-    return findings.select(F.explode(F.filter(listed, lambda i: i.isNotNull())).alias("i")).select("i.code", "i.issue")
-
-
-def _issue(bad: Column, code: str, text: Column) -> Column:
-    return F.when(bad, F.struct(F.lit(code).alias("code"), text.alias("issue")))
+    """``(code, asset, amount)``: one row per finding beyond its threshold, and one per asset of one value."""
+    whole = F.lit(None).cast("string")
+    rows = lambda bad, code, amount: F.when(bad, F.array(F.struct(F.lit(code).alias("code"), whole.alias("asset"), amount.cast("double").alias("amount")))).otherwise(F.array())
+    shape = "array<struct<code:string,asset:string,amount:double>>"
+    flat = F.transform("zero_variance_assets", lambda a: F.struct(F.lit("constant_asset").alias("code"), a.alias("asset"), F.lit(0.0).alias("amount")))
+    listed = [
+        rows(F.col("duplicate_index"), "repeated_timestamp", F.lit(None)),
+        rows(F.col("missing_ratio") > tolerance, "missing_share", F.col("missing_ratio")),
+        rows(~F.col("monotonic_index"), "unordered_timestamps", F.lit(None)),
+    ]
+    return findings.select(F.inline(F.concat(*[part.cast(shape) for part in listed], flat.cast(shape))))
 
 
 def manifest(panel: DataFrame, files: DataFrame = None, source: str = None) -> DataFrame:
     """One row describing the dataset: size, span, modal spacing, gaps, and its file's hash."""
-    cells = panel.groupBy("ts", "asset").agg(F.count("price").alias("known"))
+    cells = known(panel).groupBy("ts", "asset").agg(F.count("price").alias("known"))
     span = cells.agg(
         F.count_distinct("ts").alias("row_count"),
         F.count_distinct("asset").alias("asset_count"),
@@ -120,45 +121,32 @@ def logged_metrics(summaries: DataFrame, run: str, stats: Sequence[str]) -> Data
 
 
 def artifact_findings(stats: DataFrame = None, significance: DataFrame = None, path: str = "") -> list:
-    """Contract checks on the columns of result tables as ``(path, level, message, details)``."""
+    """``(path, level, code, columns)`` for every contract that the columns of a result table break."""
+    tables = {"stats": stats, "significance": significance}
     found = []
-    if stats is not None:
-        missing = [c for c in STATS_REQUIRED if c not in stats.columns]
-        if missing:
-            found.append((path, "ERROR", "stats lacks required columns", ", ".join(missing)))
-        if not any(c in stats.columns for c in STATS_EXPECTED_ANY):
-            found.append((path, "WARN", "stats lacks aggregated *_mean columns", ", ".join(stats.columns)))
-    if significance is not None:
-        short = [c for c in significance.columns if c.startswith(TRUNCATED_PREFIXES)]
-        if short:
-            found.append((path, "ERROR", "truncated bootstrap column names", ", ".join(short)))
-        if not all(c in significance.columns for c in SIGNIFICANCE_EXPECTED):
-            found.append((path, "WARN", "mean_boot_low or mean_boot_high not present", ", ".join(significance.columns)))
+    for table, rule, level, names in CONTRACTS:
+        if tables[table] is None:
+            continue
+        have = tables[table].columns
+        absent = [n for n in names if n not in have]
+        short = [c for c in have if c.startswith(names)]
+        broken = {"need": absent, "all": absent, "any": absent if len(absent) == len(names) else [], "not": short}[rule]
+        if broken:
+            found.append((path, level, f"{table}:{rule}", ",".join(broken)))
     return found
 
 
 def run_findings(files: DataFrame, metadata: DataFrame = None) -> DataFrame:
-    """Missing files and metadata per run: ``files(run, file)``, ``metadata(run, data_price_hash, git_commit)``."""
-    present = files.groupBy("run").agg(F.collect_set("file").alias("have"))
-
-    def absent(name: str, level: str, message: str) -> Column:
-        return F.when(~F.array_contains("have", name), F.struct(F.lit(level).alias("level"), F.lit(message).alias("message")))
-
-    listed = F.array(
-        absent("summary.csv", "ERROR", "Missing required file: summary.csv"),
-        absent("run_metadata.json", "ERROR", "Missing required file: run_metadata.json"),
-        absent("metrics_timeseries.csv", "WARN", "metrics_timeseries.csv not found"),
-    )
-    found = present.select("run", F.explode(F.filter(listed, lambda f: f.isNotNull())).alias("f")).select("run", "f.*")
+    """``(run, level, code, subject)``: files a run lacks and metadata fields left empty, from ``files(run, file)`` and ``metadata``."""
+    wanted = F.array(*[F.struct(F.lit(n).alias("file"), F.lit(level).alias("level")) for n, level in RUN_FILES])
+    have = files.groupBy("run").agg(F.collect_set("file").alias("have"))
+    asked = have.select("run", "have", F.inline(wanted)).toDF("run", "have", "file", "level")
+    found = asked.where(~F.array_contains("have", F.col("file"))).select("run", "level", F.lit("no_file").alias("code"), F.col("file").alias("subject"))
     if metadata is None:
         return found
-    noted = F.array(
-        F.when(F.coalesce("data_price_hash", F.lit("")) == "", F.struct(F.lit("WARN").alias("level"), F.lit("data_price_hash missing in run metadata").alias("message"))),
-        F.when(F.col("git_commit").isNull(), F.struct(F.lit("WARN").alias("level"), F.lit("git commit not recorded").alias("message"))),
-    )
-    return found.unionByName(
-        metadata.select("run", F.explode(F.filter(noted, lambda f: f.isNotNull())).alias("f")).select("run", "f.*")
-    )
+    blank = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in RUN_FIELDS]
+    empty = metadata.select("run", F.explode(F.array_compact(F.array(*blank))).alias("subject"))
+    return found.unionByName(empty.select("run", F.lit("WARN").alias("level"), F.lit("no_value").alias("code"), "subject"))
 
 
 def findings_by_level(findings: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Reward components and weighted rewards of lookback decisions, as column expressions."""
+"""Rewards of lookback decisions: one projection of formulas over a decision table, weighted by a template."""
+
+import json
+import os
 
 from dataclasses import dataclass, field
 from typing import Any, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairtide.operators.lookback import LookbackSpec
@@ -20,6 +23,43 @@ LEGACY_PENALTY_SAME = 0.05
 LEGACY_PENALTY_STEP = 10
 
 
+#: The formulas, over a decision's own columns and the facts ``_on_edge``, ``_step`` and ``_off_target``.
+FORMULAS = {
+    "S": "(mean_abs + row_range) / 2",
+    "C": "(stability_matrix + stability_rows) / 2",
+    "E": "_on_edge * {edge} + CASE WHEN _step = 0 THEN {same} WHEN _step > {jump} THEN _step / {jump} ELSE 0D END + abs(delta_mean) * {swing}",
+    "Sharpe": "returns_mean / greatest(abs(returns_vol), {least_vol})",
+    "LookbackPenalty": "_off_target / {width}",
+}
+LEGACY_FORMULAS = {**FORMULAS, "Sharpe": "0D", "LookbackPenalty": "abs(delta_mean)"}
+
+
+@dataclass(frozen=True)
+class RewardParams:
+    """Numbers in the formulas. ``target`` None is the middle of the lookback range."""
+
+    edge: float = 1.0
+    same: float = 0.0
+    jump: float = 10.0
+    swing: float = 0.0
+    least_vol: float = 1.0e-6
+    width: float = 0.5
+    target: float | None = None
+
+    #: Where a template's file keeps each number.
+    PLACES = {
+        "edge": ("edge", "edge_boundary"), "same": ("edge", "penalty_same"), "jump": ("edge", "jump_threshold"), "swing": ("edge", "delta_weight"),
+        "least_vol": ("sharpe", "min_vol"), "width": ("lookback", "width"), "target": ("lookback", "target"),
+    }
+
+    @classmethod
+    def of(cls, params: Mapping[str, Any]) -> "RewardParams":
+        given = {name: (params.get(part) or {}).get(key) for name, (part, key) in cls.PLACES.items()}
+        read = {name: float(value) for name, value in given.items() if value is not None}
+        # a jump counts whole steps
+        return cls(**{**read, "jump": float(max(1, int(read.get("jump", cls.jump)))), "width": max(read.get("width", cls.width), 1e-6)})
+
+
 @dataclass(frozen=True)
 class RewardTemplate:
     """Component weights and parameters; a component without weight does not count."""
@@ -35,64 +75,45 @@ class RewardTemplate:
             raise ValueError("a reward template needs mappings for 'components' and 'params'")
         return cls({k: float(v) for k, v in components.items()}, dict(params), data.get("name", name))
 
-
-def components(range_: LookbackSpec, params: Mapping[str, Any]) -> dict:
-    """Columns S, C, E, Sharpe and LookbackPenalty over a table of decision states."""
-    return {
-        "S": _strength(),
-        "C": _consistency(),
-        "E": _edge_penalty(range_, params.get("edge") or {}),
-        "Sharpe": _sharpe(params.get("sharpe") or {}),
-        "LookbackPenalty": _lookback_penalty(range_, params.get("lookback") or {}),
+    @classmethod
+    def load(cls, source: "str | Mapping[str, Any] | None", folder: str | None = None) -> "RewardTemplate":
+        """From a mapping, a JSON file (a YAML one where a reader is installed), a file's name in ``folder``, or the default for None."""
+        if source is None or source == "default":
+            return cls()
+        if isinstance(source, Mapping):
+            return cls.from_dict(source)
+        tries = [source, *[os.path.join(folder or "", source + end) for end in (".json", ".yaml", ".yml")]]
+        path = next((t for t in tries if os.path.isfile(t)), None)
+        if path is None:
+            raise FileNotFoundError(f"no reward template {source!r}")
+        with open(path) as file:
+            if path.endswith(".json"):
+                data = json.load(file)
+            else:
+                import yaml
+
+                data = yaml.safe_load(file)
+        return cls.from_dict(data or {}, os.path.splitext(os.path.basename(path))[0])
+
+
+def _scored(states: DataFrame, range_: LookbackSpec, numbers: RewardParams, formulas: Mapping[str, str], weights: Mapping[str, float]) -> DataFrame:
+    """``states`` with a column for each formula and ``reward``, their weighted sum."""
+    low, high = range_.min_lookback, range_.max_lookback
+    target = (low + high) / 2 if numbers.target is None else numbers.target
+    put = {k: f"{getattr(numbers, k)!r}D" for k in numbers.PLACES if k != "target"}
+    facts = {
+        "_on_edge": f"IF(lookback IN ({low}, {high}), 1D, 0D)",
+        "_step": "CAST(abs(lookback - prev_lookback) AS DOUBLE)",
+        "_off_target": f"abs(lookback - {target!r}D) / {float(high - low)!r}D",
     }
-
-
-def _half_sum(left: str, right: str) -> Column:
-    return 0.5 * F.col(left) + 0.5 * F.col(right)
-
-
-def _strength() -> Column:
-    return _half_sum("mean_abs", "row_range")
-
-
-def _consistency() -> Column:
-    return _half_sum("stability_matrix", "stability_rows")
-
-
-def _at_bound(range_: LookbackSpec) -> Column:
-    return F.col("lookback").isin(range_.min_lookback, range_.max_lookback)
-
-
-def _jump_penalty(threshold: int, same: float) -> Column:
-    jump = F.abs(F.col("lookback") - F.col("prev_lookback"))
-    return F.when(jump > threshold, jump / F.lit(float(threshold))).when(jump == 0, F.lit(float(same))).otherwise(F.lit(0.0))
-
-
-def _edge_penalty(range_: LookbackSpec, params: Mapping[str, Any]) -> Column:
-    threshold = max(1, int(params.get("jump_threshold", 10)))
-    bound = F.when(_at_bound(range_), F.lit(float(params.get("edge_boundary", 1.0)))).otherwise(F.lit(0.0))
-    swing = F.abs(F.col("delta_mean")) * float(params.get("delta_weight", 0.0))
-    return bound + _jump_penalty(threshold, params.get("penalty_same", 0.0)) + swing
-
-
-def _sharpe(params: Mapping[str, Any]) -> Column:
-    floor = F.lit(float(params.get("min_vol", 1e-6)))
-    return F.col("returns_mean") / F.greatest(F.abs(F.col("returns_vol")), floor)
-
-
-def _lookback_penalty(range_: LookbackSpec, params: Mapping[str, Any]) -> Column:
-    span = float(range_.max_lookback - range_.min_lookback)
-    target = params.get("target")
-    target = range_.min_lookback + 0.5 * span if target is None else float(target)
-    width = max(float(params.get("width", 0.5)), 1e-6)
-    return F.abs(F.col("lookback") - F.lit(target)) / span / width
+    parts = states.withColumns({k: F.expr(v) for k, v in facts.items()}).withColumns({k: F.expr(v.format(**put)) for k, v in formulas.items()})
+    total = " + ".join(f"{k} * ({float(weights.get(k, 0.0))!r}D)" for k in formulas)
+    return parts.withColumn("reward", F.expr(total)).drop(*facts)
 
 
 def with_reward(states: DataFrame, range_: LookbackSpec, template: RewardTemplate) -> DataFrame:
     """Add every component and the weighted ``reward``."""
-    parts = components(range_, template.params)
-    total = sum((F.col(k) * float(template.weights.get(k, 0.0)) for k in parts), F.lit(0.0))
-    return states.withColumns(parts).withColumn("reward", total)
+    return _scored(states, range_, RewardParams.of(template.params), FORMULAS, template.weights)
 
 
 def with_legacy_reward(
@@ -103,13 +124,5 @@ def with_legacy_reward(
     penalty_step: int = LEGACY_PENALTY_STEP,
 ) -> DataFrame:
     """The older reward: strength plus consistency minus edge penalty; the rest is reported only."""
-    bound = F.when(_at_bound(range_), F.lit(1.0)).otherwise(F.lit(0.0))
-    parts = {
-        "S": _strength(),
-        "C": _consistency(),
-        "E": bound + _jump_penalty(penalty_step, penalty_same),
-        "Sharpe": F.lit(0.0),
-        "LookbackPenalty": F.abs(F.col("delta_mean")),
-    }
-    total = weights["alpha"] * F.col("S") + weights["beta"] * F.col("C") - weights["gamma"] * F.col("E")
-    return states.withColumns(parts).withColumn("reward", total)
+    numbers = RewardParams(same=penalty_same, jump=float(penalty_step))
+    return _scored(states, range_, numbers, LEGACY_FORMULAS, {"S": weights["alpha"], "C": weights["beta"], "E": -weights["gamma"]})

@@ -140,7 +140,7 @@ def shuffled_calendar(cal: DataFrame, seed: int) -> DataFrame:
 
 def panel_is_usable(panel: DataFrame) -> DataFrame:
     """One row: at least two assets, and some timestamp with at least two observations."""
-    per_ts = panel.where("price IS NOT NULL").groupBy("ts").agg(F.count_distinct("asset").alias("n"))
+    per_ts = panel.where("price IS NOT NULL AND NOT isnan(price)").groupBy("ts").agg(F.count_distinct("asset").alias("n"))
     assets = panel.agg(F.count_distinct("asset").alias("asset_count"))
     return assets.select(
         F.col("asset_count"),

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 
 def streaming_bars(observations: DataFrame, span: str = "6 hours", lateness: str = "1 day") -> DataFrame:
-    """Mean bars per asset, emitted once the watermark passes a bar's end.
+    """Mean bars per asset; rows later than ``lateness`` are dropped once their bar is closed.
 
-    On a stream that has ended, equals :func:`pairtide.operators.bars.resample` for every
-    bar the watermark has passed. ``ts`` must be a timestamp with time zone.
+    On a stream that has ended, :func:`run_to_end` gives what :func:`pairtide.operators.bars.resample`
+    gives. ``ts`` must be a timestamp with time zone.
     """
     return (
         observations.where(F.col("price").isNotNull() & ~F.isnan("price"))
@@ -20,15 +20,19 @@ def streaming_bars(observations: DataFrame, span: str = "6 hours", lateness: str
 
 
 def run_to_end(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """Process everything available now into a parquet table and return it."""
+    """Process everything available now into a parquet table and return it: the last state of every bar.
+
+    Bars are sent whenever they change, so the bars that the watermark has not passed at the end of a closed input are there too.
+    """
     spark: SparkSession = stream.sparkSession
-    query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", folder)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+    def send(changed: DataFrame, batch: int) -> None:
+        # one folder per batch: a batch that is run again replaces its own
+        changed.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(send).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(folder)
+    kept = [c for c in stream.columns if c not in ("ts", "asset")]
+    sent = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", folder).parquet(folder)
+    last = sent.groupBy("ts", "asset").agg(F.max_by(F.struct(*kept), "batch").alias("last"))
+    return last.select("ts", "asset", "last.*")

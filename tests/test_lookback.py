@@ -10,6 +10,15 @@ from pairtide.operators.lookback import LookbackSpec
 SPEC = PairSpec(lookback=8)
 
 
+def test_reward_template_sources(tmp_path):
+    (tmp_path / "calm.json").write_text('{"components": {"S": 2}, "params": {"edge": {"jump_threshold": 4}}}')
+    calm = rewards.RewardTemplate.load("calm", str(tmp_path))
+    assert calm.name == "calm" and calm.weights == {"S": 2.0} and rewards.RewardParams.of(calm.params).jump == 4
+    assert rewards.RewardTemplate.load(None) == rewards.RewardTemplate() and rewards.RewardTemplate.load({"components": {"E": 1}}).weights == {"E": 1.0}
+    with pytest.raises(FileNotFoundError):
+        rewards.RewardTemplate.load("none", str(tmp_path))
+
+
 def test_reachable_and_validation():
     assert LookbackSpec(8, 16, 2).reachable() == [8, 10, 12, 14, 16]
     assert LookbackSpec(10, 17, 3).reachable() == [10, 11, 13, 14, 16, 17]

@@ -97,7 +97,12 @@ def test_quality_and_issues(spark):
     assert not row.duplicate_index and row.monotonic_index and row.zero_variance_assets == ["A03"]
     assert row.missing_ratio == pytest.approx(wide.isna().sum().sum() / wide.size)
     codes = [r.code for r in quality.issues(quality.quality(panel.unionByName(panel))).collect()]
-    assert codes == ["duplicate_index", "missing_ratio", "zero_variance"]
+    assert codes == ["repeated_timestamp", "missing_share", "constant_asset"]
+    holes = spark.createDataFrame([(i, "x", p) for i, p in enumerate([5.0, 5.0, 5.0, float("nan"), 5.0])] , "ts long, asset string, price double")
+    odd = quality.quality(holes).first()
+    assert odd.missing_ratio == pytest.approx(0.2) and odd.zero_variance_assets == ["x"]
+    many = spark.createDataFrame([(i, f"a{k}", 1.0) for i in range(2) for k in range(9)], "ts long, asset string, price double")
+    assert sorted(r.asset for r in quality.issues(quality.quality(many)).collect()) == [f"a{k}" for k in range(9)]
     numbered = panel.withColumn("n", F.monotonically_increasing_id())
     falls = quality.out_of_order(numbered.withColumn("n", -F.col("n")), "n").first()[0]
     assert falls
@@ -110,7 +115,7 @@ def test_artifact_contracts(spark):
     stats_table = spark.sql("SELECT 'a' scenario, 'm' metric")
     short = spark.sql("SELECT 'a' scenario, 1.0 mea_boot_low")
     found = quality.artifact_findings(stats_table, short, "p")
-    assert [f[1] for f in found] == ["ERROR", "WARN", "ERROR", "WARN"]
+    assert sorted(f[1] for f in found) == ["ERROR", "ERROR", "WARN", "WARN"]
     levels = quality.findings_by_level(spark.createDataFrame(found, "path string, level string, message string, details string"))
     assert {r.level: r.findings for r in levels.collect()} == {"ERROR": 2, "WARN": 2}
 
