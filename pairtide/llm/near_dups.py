@@ -274,17 +274,24 @@ def _across(buckets: DataFrame, sigs: DataFrame, comps: DataFrame, spec: NearDup
         if waiting is not None and waiting.num_rows:
             yield from compare(waiting.combine_chunks())
 
-    placed = _blocks(sigs, comps, spec)
+    placed = _blocks(sigs, buckets, comps, spec)
     carried = dealt.join(placed.select("node", "sig", "held", "weight"), "node").select("band_no", "band", "lo", "hi", "own", "node", "comp", "held", "weight", "sig")
     return carried.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(stream, "a long, held long, partners array<long>")
 
 
-def _blocks(nodes: DataFrame, comps: DataFrame, spec: NearDupSpec) -> DataFrame:
-    """``nodes`` with ``weight`` (the size of their component) and ``held``, a block of about ``spec.held`` of its members."""
+def _blocks(nodes: DataFrame, buckets: DataFrame, comps: DataFrame, spec: NearDupSpec) -> DataFrame:
+    """``nodes`` with ``weight`` (the size of their component), ``alike`` and ``held``, a block of about ``spec.held`` classes.
+
+    A block holds members of one large component (``alike``), or classes of small ones that have the same largest bucket.
+    """
     sizes = comps.groupBy("comp").agg(F.count("*").alias("weight"))
-    own = nodes.join(comps, "node", "left").join(sizes, "comp", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("weight") / spec.held))
-    return own.withColumn("held", F.xxhash64(F.coalesce("comp", "node"), part)).drop("comp")
+    crowd = buckets.groupBy("band").agg(F.count("*").alias("crowd"))
+    lead = buckets.join(crowd, "band").groupBy("node").agg(F.max(F.struct("crowd", "band")).alias("lead"))
+    own = nodes.join(comps, "node", "left").join(sizes, "comp", "left").join(lead, "node").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    part = lambda size: F.pmod(F.xxhash64("node"), F.ceil(size / spec.held))
+    alike = F.col("weight") >= spec.held
+    held = F.when(alike, F.xxhash64("comp", part(F.col("weight")))).otherwise(F.xxhash64("lead.band", part(F.col("lead.crowd")), F.lit(1)))
+    return own.withColumn("alike", alike).withColumn("held", held).drop("comp", "lead")
 
 
 def _decided(asked: DataFrame, held: DataFrame, blocks: DataFrame, spec: NearDupSpec) -> DataFrame:
@@ -302,26 +309,27 @@ def _decided(asked: DataFrame, held: DataFrame, blocks: DataFrame, spec: NearDup
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 out = []
-                for key, node, partners, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), sets_of(part.column(4))):
+                for key, node, partners, own, alike in zip(*(part.column(c).to_pylist() for c in (0, 2, 3)), sets_of(part.column(4)), part.column(5).to_pylist()):
                     if key != block:
                         block, sets = key, {}
                     if partners is None:
-                        sets[node] = own
+                        sets[node] = own, alike
                         continue
                     for b in partners:
-                        other = sets.get(b)
-                        if other is None or 100 * min(len(own), len(other)) < spec.percent * max(len(own), len(other)):
+                        other, one = sets.get(b, (own[:0], False))
+                        if not len(other) or 100 * min(len(own), len(other)) < spec.percent * max(len(own), len(other)):
                             continue
                         common = len(np.intersect1d(own, other, assume_unique=True))
                         if 100 * common >= spec.percent * (len(own) + len(other) - common):
-                            # all partners of a block are of one component: one link is as good as all
                             out.append((node, b))
-                            break
+                            if one:
+                                # all members of such a block are of one component: one link is as good as all
+                                break
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     wanted = asked.select("held").distinct()
-    there = held.join(blocks.select("node", "held"), "node").join(wanted, "held", "left_semi").select("held", F.lit(0).alias("turn"), "node", F.lit(None).cast("array<long>").alias("partners"), "text")
-    asks = asked.join(held, asked["a"] == held["node"]).select("held", F.lit(1).alias("turn"), F.col("a").alias("node"), "partners", "text")
+    there = held.join(blocks.select("node", "held", "alike"), "node").join(wanted, "held", "left_semi").select("held", F.lit(0).alias("turn"), "node", F.lit(None).cast("array<long>").alias("partners"), "text", "alike")
+    asks = asked.join(held, asked["a"] == held["node"]).select("held", F.lit(1).alias("turn"), F.col("a").alias("node"), "partners", "text", F.lit(False).alias("alike"))
     return there.union(asks).repartition("held").sortWithinPartitions("held", "turn").mapInArrow(stream, "a long, b long")
 
 
@@ -359,7 +367,7 @@ def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
         links = fresh if links is None else links.union(fresh)
         comps = components(links)
     asked = stage(_across(buckets, nodes, comps, spec), "asked")
-    comps = components(links.union(_decided(asked, held, _blocks(nodes.select("node"), comps, spec), spec)))
+    comps = components(links.union(_decided(asked, held, _blocks(nodes.select("node"), buckets, comps, spec), spec)))
     placed = nodes.join(comps, "node", "left").select("cls", "rep", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = placed.join(least, "comp").select(F.col("cls").alias("named"), "component_id")
