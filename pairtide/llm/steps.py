@@ -9,8 +9,8 @@ from pairtide.llm.packing import pack, pieces
 from pairtide.llm.pii import redact, train_pii
 from pairtide.llm.tables import read
 
-#: A text goes if no language reaches this chance; a guess among the learned languages would nearly reach it.
-LEAST_CHANCE = 0.4
+#: A text goes if no language reaches this chance; an even guess among the four languages here has 0.25.
+LEAST_CHANCE = 0.3
 
 
 def language(spark, docs, sf_dir):
