@@ -284,18 +284,24 @@ UNIVERSE_EDGES = UNIVERSE_CTES + WEEK_W + [
 RUN_WINDOWS = "win{t} AS MATERIALIZED (SELECT pos - n + 1 AS start_pos, pos AS end_pos, ts AS end_ts FROM cal{t} CROSS JOIN (SELECT unnest([8, 12, 16]) AS n) WHERE pos >= n)"
 
 
+def tagged_metrics(tag: str) -> list:
+    """The metric CTEs of the edges named with ``tag``."""
+    parts = []
+    for cte in METRIC_CTES:
+        head, body = cte.split(" AS ", 1)
+        for word in ("edges", "cells", "scores", "prev", "size_m", "score_m", "shared", "stab_m", "stab_r"):
+            for before in ("FROM ", "JOIN "):
+                body = body.replace(f"{before}{word} ", f"{before}{word}{tag} ").replace(f"{before}{word})", f"{before}{word}{tag})")
+                body = body.replace(f"{before}{word}\n", f"{before}{word}{tag}\n")
+        parts.append(f"{head}{tag} AS {body}")
+    return parts
+
+
 def run_metrics() -> list:
     """runs: metrics of both panels at lookbacks 8, 12 and 16."""
     parts = []
     for tag, name, scenario in (("w", "brand_week", "weekly"), ("e", "event_6h", "six_hour")):
-        parts += pearson_edges(name, RUN_WINDOWS.replace("{t}", tag), tag)
-        for cte in METRIC_CTES:
-            head, body = cte.split(" AS ", 1)
-            for word in ("edges", "cells", "scores", "prev", "size_m", "score_m", "shared", "stab_m", "stab_r"):
-                for before in ("FROM ", "JOIN "):
-                    body = body.replace(f"{before}{word} ", f"{before}{word}{tag} ").replace(f"{before}{word})", f"{before}{word}{tag})")
-                    body = body.replace(f"{before}{word}\n", f"{before}{word}{tag}\n")
-            parts.append(f"{head}{tag} AS {body}")
+        parts += pearson_edges(name, RUN_WINDOWS.replace("{t}", tag), tag) + tagged_metrics(tag)
         parts.append(
             f"runs{tag} AS (SELECT '{scenario}' AS scenario, printf('{scenario}_fixed_%02d', m.end_pos - m.start_pos + 1) AS run, w.end_ts, "
             f"{', '.join(NAMES)} FROM metrics{tag} m JOIN win{tag} w ON {same_window('m', 'w')})"
@@ -545,3 +551,120 @@ ORACLE["transitions"] = with_(
     "SELECT l.step, l.action, " + r6(LEGACY_REWARD.replace("S ", "l.S ").replace("* C", "* l.C").replace("* E", "* l.E"), 4) + " AS reward, l.lookback, "
     + ", ".join(f"{r6(f'p.{f}::FLOAT::DOUBLE', 4)} AS {f}" for f in FEATURES) + " FROM legacy l JOIN states p ON p.seq = l.seq - 1",
 )
+
+
+# ------------------------------------------------------------------ hashed choices
+
+
+def hashed(*parts: str) -> str:
+    """60 bits of the MD5 of the parts, joined by ``|``."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+ORACLE["random_control"] = with_(
+    panel("brand_week") + [f"log AS (SELECT pos AS step, ts, {hashed(ts('ts'), '7')} % 9 AS action FROM cal WHERE pos >= 16)"],
+    f"""SELECT 0::BIGINT AS run, step, {ts('ts')} AS ts, action, 8 + action AS lookback, coalesce(lag(8 + action) OVER (ORDER BY step), 12) AS prev_lookback FROM log""",
+)
+
+BOOT = LONG + [
+    f"""ranks AS MATERIALIZED (SELECT scenario, metric, stat, value, row_number() OVER (PARTITION BY scenario, metric, stat ORDER BY {hashed('run')} % 256, run) - 1 AS rk,
+  count(*) OVER (PARTITION BY scenario, metric, stat) AS n FROM long WHERE value IS NOT NULL)""",
+    f"""drawn AS (SELECT scenario, metric, stat, b, {hashed('scenario', 'metric', 'stat', 'b', 'rk', '0')} % n AS rk
+  FROM ranks CROSS JOIN (SELECT unnest(range(1, 2001)) AS b) WHERE n >= 2)""",
+    """resampled AS (SELECT scenario, metric, stat, b, avg(value) AS m FROM drawn JOIN ranks USING (scenario, metric, stat, rk) GROUP BY ALL)""",
+    """bounds AS (SELECT scenario, metric, stat, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM resampled GROUP BY ALL)""",
+    """boot AS MATERIALIZED (SELECT scenario, metric, stat, coalesce(low, m) AS boot_low, coalesce(high, m) AS boot_high
+  FROM (SELECT scenario, metric, stat, avg(value) AS m FROM ranks GROUP BY ALL) LEFT JOIN bounds USING (scenario, metric, stat))""",
+    f"seeds AS MATERIALIZED (SELECT * FROM ({SEED}) LEFT JOIN boot USING (scenario, metric, stat))",
+]
+
+
+def wide(columns: tuple) -> str:
+    return ", ".join(
+        f"{r6(f'max(CASE WHEN stat = {chr(39)}{s}{chr(39)} THEN {c} END)', 5)} AS {s}_{c}" for s in ("mean", "median", "std", "max", "min") for c in columns
+    )
+
+
+KEY_NAMES = "('mean_abs_matrix', 'row_sum_std', 'row_sum_range', 'stability_matrix_corr')"
+ORACLE["bootstrap_ci"] = with_(BOOT, f"SELECT scenario, metric, stat, {r6('boot_low', 5)} AS boot_low, {r6('boot_high', 5)} AS boot_high FROM boot")
+ORACLE["stats_table"] = with_(
+    BOOT, f"SELECT scenario, metric, max(count) AS count, {wide(('mean', 'std', 'ci95', 'boot_low', 'boot_high'))} FROM seeds GROUP BY scenario, metric"
+)
+ORACLE["significance_subset"] = with_(
+    BOOT, f"SELECT scenario, metric, {wide(('boot_low', 'boot_high'))}, 'Bootstrap CI at 95%' AS note FROM seeds GROUP BY scenario, metric"
+)
+ORACLE["interval_lines"] = with_(
+    BOOT,
+    f"SELECT scenario, metric, printf('bootstrap 95%% CI [%.4f, %.4f]', boot_low, boot_high) AS line FROM boot WHERE stat = 'mean' AND metric IN {KEY_NAMES}",
+)
+ORACLE["run_overview"] = with_(
+    SUMMARIES, "SELECT run, metric, " + ", ".join(f"printf('%.6g', {c}) AS {c}" for c in ("mean", "median", "max", "std")) + " FROM summaries"
+)
+
+# ------------------------------------------------------------------ tail of the t distribution
+
+
+def tail(source: str) -> list:
+    """``source`` with its two-sided p: with t = sqrt(df) tan(a) the density is cos(a)^(df - 1), summed by Simpson's rule from 0 to a."""
+    return [
+        f"angled AS MATERIALIZED (SELECT *, atan(abs(t_stat) / sqrt(df)) / 4000 AS h, row_number() OVER () AS test_no FROM {source})",
+        """inner_part AS (SELECT test_no, sum(CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(cos(k * h), df - 1)) * any_value(h) / 3 AS area
+  FROM angled CROSS JOIN (SELECT unnest(range(0, 4001)) AS k) WHERE df IS NOT NULL GROUP BY test_no)""",
+        """tailed AS MATERIALIZED (SELECT a.*, 1 - area * 2 / sqrt(pi()) * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) AS p_value
+  FROM angled a LEFT JOIN inner_part USING (test_no))""",
+    ]
+
+
+WELCH = LONG + [
+    MOMENTS,
+    f"""welch AS (SELECT a.metric, a.stat AS column, a.scenario AS scenario_a, b.scenario AS scenario_b, a.m AS mean_a, b.m AS mean_b, a.rows AS n_a, b.rows AS n_b,
+  {T_STAT} AS t_stat, {T_DF} AS df FROM mom a JOIN mom b ON a.metric = b.metric AND a.stat = b.stat AND a.scenario < b.scenario)""",
+    *tail("welch"),
+]
+TESTED = PAIR_TESTS + tail("tests") + [
+    "steps AS (SELECT *, p_value * count(*) OVER (PARTITION BY metric) / row_number() OVER (PARTITION BY metric ORDER BY p_value, run_a, run_b) AS q0 FROM tailed)",
+    """found AS MATERIALIZED (SELECT *, abs(cohens_d) AS abs_d,
+  min(q0) OVER (PARTITION BY metric ORDER BY p_value, run_a, run_b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q_value FROM steps)""",
+]
+ORACLE["welch_p"] = with_(
+    WELCH, 'SELECT metric, "column", scenario_a, scenario_b, n_a, n_b, ' + ", ".join(f"{r6(c, 4)} AS {c}" for c in ("mean_a", "mean_b", "t_stat", "df", "p_value")) + " FROM tailed"
+)
+ORACLE["welch_lines"] = with_(
+    WELCH,
+    """SELECT metric, "column", printf('Welch test (%s) %s vs %s: p=%.4f', "column", scenario_a, scenario_b, greatest(p_value, 0)) AS line FROM tailed WHERE p_value IS NOT NULL""",
+)
+PAIR_BODY = "SELECT metric, run_a, run_b, n_a, n_b, " + ", ".join(
+    f"{r6(c, 4)} AS {c}" for c in ("t_stat", "df", "p_value", "cohens_d", "q_value", "abs_d")
+) + " FROM found"
+ORACLE["pair_tests"] = with_(TESTED, PAIR_BODY)
+ORACLE["significant_pairs"] = with_(TESTED, PAIR_BODY + " WHERE q_value < 0.05")
+RUN_NAMES = sorted(f"{s}_fixed_{n:02d}" for s in ("weekly", "six_hour") for n in (8, 12, 16))
+ORACLE["p_matrix"] = with_(
+    TESTED
+    + ["""both_ways AS (SELECT run_a AS run, run_b AS other, p_value FROM found WHERE metric = 'mean_abs_matrix'
+  UNION ALL SELECT run_b, run_a, p_value FROM found WHERE metric = 'mean_abs_matrix')"""],
+    "SELECT run, " + ", ".join(f"{r6(f'max(CASE WHEN other = {chr(39)}{n}{chr(39)} THEN p_value END)')} AS {n}" for n in RUN_NAMES) + " FROM both_ways GROUP BY run",
+)
+
+# ------------------------------------------------------------------ placebo
+
+PLACEBO = WEEK + METRIC_CTES + [
+    f"shuffled AS MATERIALIZED (SELECT ts, row_number() OVER (ORDER BY {hashed(ts('ts'), '7')}, ts) - 1 AS pos FROM cal)",
+    """spans AS (SELECT e.pos AS end_pos, s.ts AS start_ts, e.ts AS end_ts FROM shuffled e JOIN shuffled s ON s.pos = e.pos - 11 WHERE e.pos >= 12 AND s.ts <= e.ts)""",
+    """dates AS MATERIALIZED (SELECT end_pos, c.ts, row_number() OVER (PARTITION BY end_pos ORDER BY c.pos) AS k, count(*) OVER (PARTITION BY end_pos) AS n
+  FROM spans JOIN shuffled c ON c.ts BETWEEN start_ts AND spans.end_ts)""",
+    """seen AS (SELECT end_pos, asset, k, CASE WHEN price > 0 AND before > 0 THEN ln(price / before) ELSE 0 END AS ret
+  FROM (SELECT d.end_pos, i.asset, d.k, i.price, lag(i.price) OVER (PARTITION BY d.end_pos, i.asset ORDER BY d.k) AS before FROM dates d JOIN ix i ON i.ts = d.ts))""",
+    """wrp AS MATERIALIZED (SELECT d.end_pos - 11 AS start_pos, d.end_pos, a.asset, d.k, d.n, coalesce(s.ret, 0.0) AS r
+  FROM dates d CROSS JOIN (SELECT DISTINCT asset FROM ix) a LEFT JOIN seen s ON s.end_pos = d.end_pos AND s.asset = a.asset AND s.k = d.k)""",
+    lagged(tag="p"), correlations(tag="p"), edges_at_lag("p"), *tagged_metrics("p"),
+]
+PROBED = ("stability_matrix_corr", "stability_rowsum_corr", "mean_abs_matrix", "row_sum_std")
+ORACLE["placebo"] = with_(
+    PLACEBO,
+    " UNION ALL ".join(
+        f"""SELECT '{m}_mean' AS metric, {r6('c')} AS control, {r6('p')} AS placebo, {r6('p - c')} AS delta
+  FROM (SELECT avg({m}) FILTER (WHERE isfinite({m})) AS c FROM metrics), (SELECT avg({m}) FILTER (WHERE isfinite({m})) AS p FROM metricsp)"""
+        for m in PROBED
+    ),
+)

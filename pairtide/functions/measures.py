@@ -121,3 +121,9 @@ def signed_area(x: Column, y: Column, levy: bool = False) -> Column:
 
     area = inner(path(x), steps(y)) - inner(path(y), steps(x))
     return area / 2 if levy else area
+
+
+def text_hash(*parts: Column) -> Column:
+    """60 bits of the MD5 of the parts as text, joined by ``|``: a hash that other engines can repeat."""
+    joined = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("long")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairtide.config import PairSpec
+from pairtide.functions.measures import text_hash
 from pairtide.operators.metrics import edge_metrics, metrics_from_partials, regime
 from pairtide.operators.pairs import pair_edges, pair_partials, window_returns
 from pairtide.operators.recurrences import exponential_average, follow_states
@@ -146,7 +147,7 @@ def lookback_path(actions: DataFrame, keys: list, order: str, range_: LookbackSp
 
 def random_actions(rows: DataFrame, seed: int, actions: int, *identity: str) -> DataFrame:
     """A repeatable random action per row, from a hash of its identity and the seed."""
-    salted = F.xxhash64(*[F.col(c).cast("string") for c in identity], F.lit(seed))
+    salted = text_hash(*[F.col(c) for c in identity], F.lit(seed))
     return rows.withColumn("action", F.pmod(salted, F.lit(actions)).cast("int"))
 
 

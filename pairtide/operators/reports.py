@@ -135,7 +135,7 @@ def run_overview(summaries: DataFrame, columns: Sequence[str] = ("metric", "mean
 def _six_digits(column: str) -> Column:
     """Six significant digits without trailing zeros."""
     text = F.format_string("%.6g", F.col(column))
-    short = F.regexp_replace(F.regexp_replace(text, r"0+(e|$)", "$1"), r"\.(e|$)", "$1")
+    short = F.regexp_replace(text, r"^([^e]*?)\.?0+(e.*)?$", "$1$2")
     return F.when(F.col(column).isNotNull(), F.when(text.contains("."), short).otherwise(text))
 
 

@@ -5,6 +5,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairtide.functions.measures import text_hash
 from pairtide.functions.special import t_test_p
 from pairtide.operators.timeline import dense_positions
 
@@ -47,7 +48,7 @@ def bootstrap_interval(
     """
     keys = list(keys)
     known = values.where(F.col(value).isNotNull())
-    slot = F.pmod(F.xxhash64(order), F.lit(256))
+    slot = F.pmod(text_hash(F.col(order)), F.lit(256))
     ranked = dense_positions(known, [order], slot, "_rank", keys)
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"))
     draws = (
@@ -55,7 +56,7 @@ def bootstrap_interval(
         .join(sizes, keys)
         .where("_n >= 2")
         .withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-        .withColumn("_rank", F.pmod(F.xxhash64(*keys, "_b", "_k", F.lit(seed)), F.col("_n")).cast("int"))
+        .withColumn("_rank", F.pmod(text_hash(*[F.col(c) for c in (*keys, "_b", "_k")], F.lit(seed)), F.col("_n")).cast("int"))
         .groupBy(*keys, "_b", "_rank")
         .agg(F.count(F.lit(1)).alias("_times"))
     )

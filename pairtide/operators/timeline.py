@@ -10,6 +10,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairtide.functions.measures import text_hash
+
 
 def dense_positions(
     rows: DataFrame, order: Sequence[str], bucket: Column, name: str = "pos", keys: Sequence[str] = ()
@@ -134,8 +136,8 @@ def as_of(left: DataFrame, right: DataFrame, value: str, name: str, time: str =
 
 def shuffled_calendar(cal: DataFrame, seed: int) -> DataFrame:
     """Placebo order: rows keep their timestamp but get a hash-random position."""
-    keyed = cal.select("ts", F.xxhash64(F.col("ts").cast("string"), F.lit(seed)).alias("_h"))
-    return dense_positions(keyed, ["_h", "ts"], F.shiftright("_h", 56)).drop("_h")
+    keyed = cal.select("ts", text_hash(F.col("ts"), F.lit(seed)).alias("_h"))
+    return dense_positions(keyed, ["_h", "ts"], F.shiftright("_h", 52)).drop("_h")
 
 
 def panel_is_usable(panel: DataFrame) -> DataFrame:

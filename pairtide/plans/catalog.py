@@ -418,7 +418,7 @@ def seed_stats(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    return rounded(stats.bootstrap_interval(_long(spark, sf), ["scenario", "metric", "stat"], "value", "run"))
+    return rounded(stats.bootstrap_interval(_long(spark, sf), ["scenario", "metric", "stat"], "value", "run"), 5)
 
 
 @panels.once
@@ -427,7 +427,7 @@ def _stats_table(spark, sf):
 
 
 def stats_table(spark, sf):
-    return rounded(_stats_table(spark, sf))
+    return rounded(_stats_table(spark, sf), 5)
 
 
 def welch(spark, sf):
@@ -436,7 +436,7 @@ def welch(spark, sf):
 
 
 def welch_p(spark, sf):
-    return rounded(stats.welch_by_metric(_long(spark, sf)))
+    return rounded(stats.welch_by_metric(_long(spark, sf)), 4)
 
 
 def _pair_tests(spark, sf):
@@ -448,11 +448,11 @@ def cohens_d(spark, sf):
 
 
 def pair_tests(spark, sf):
-    return rounded(stats.sorted_pairs(_pair_tests(spark, sf)))
+    return rounded(stats.sorted_pairs(_pair_tests(spark, sf)), 4)
 
 
 def significant_pairs(spark, sf):
-    return rounded(stats.significant(_pair_tests(spark, sf)))
+    return rounded(stats.significant(_pair_tests(spark, sf)), 4)
 
 
 def p_matrix(spark, sf):
@@ -508,7 +508,7 @@ def welch_lines(spark, sf):
 
 
 def significance_subset(spark, sf):
-    return rounded(reports.significance_subset(_stats_table(spark, sf)))
+    return rounded(reports.significance_subset(_stats_table(spark, sf)), 5)
 
 
 def run_overview(spark, sf):

@@ -189,3 +189,10 @@ def test_stream_equals_batch(spark, tmp_path):
     want = resample(ticks, "6 hours", method="mean")
     rows = {(str(r.ts), r.asset): r.price for r in got.collect()}
     assert len(rows) > 100 and rows == {(str(r.ts), r.asset): r.price for r in want.collect()}
+
+
+def test_overview_keeps_the_exponent(spark):
+    values = [1.5e-10, 1.23456e10, 357.0, 0.0, 100000.0, 0.5, -2.0e20]
+    rows = spark.createDataFrame([(f"r{i}", "m", v) for i, v in enumerate(values)], "run string, metric string, mean double")
+    shown = [r["mean"] for r in reports.run_overview(rows).collect()]
+    assert shown == ["%.6g" % v for v in values]
