@@ -245,6 +245,21 @@ def test_personal_data(docs, plain, spark, awkward, nothing):
     assert personal_spans(nothing, trained).count() == 0 and train_pii(nothing) is None and train_pii(awkward) is None
 
 
+def test_personal_data_beyond_the_base(docs, spark):
+    """Spelled-out addresses and telephone numbers without a plus are added; plain numbers and words are not."""
+    added = {
+        "please write to john at example dot com today": "john at example dot com", "a [at] b [dot] com": "a [at] b [dot] com", "mail mary.lee(at)mail.example(dot)org now": "mary.lee(at)mail.example(dot)org",
+        "call me on 243 555 5526 or": "243 555 5526", "my phone: 2435555526.": "2435555526", "tel. 030-5550-1234": "030-5550-1234", "the card 4111.1111.1111.1111 was": "4111.1111.1111.1111",
+    }
+    plain = ["order 2435555526 of", "243 555 5526", "number 9807915762804490 en", "pi is 3.14159 26535 89793", "look at the polka dot dress", "call on 2024-01-15 10:30", "token b0b3c6a43eb78aa99cbd7049c5723915", "4111.1111.1111.1112", "at 300.400.500.600"]
+    frame = spark.createDataFrame(list(enumerate([*added, *plain])), "doc_id long, text string")
+    for corpus in (docs, frame):  # a corpus of few base spans, and one of none
+        trained = train_pii(corpus)
+        told = {r.doc_id: [r.text[s.start : s.end] for s in r.spans] for r in personal_spans(frame, trained).where("size(base) = 0").collect()}
+        assert told == {i: [said] if (said := added.get(t)) else [] for i, t in enumerate([*added, *plain])}
+    assert redact(frame.where("doc_id = 0"), trained).first().text == "please write to [EMAIL] today"
+
+
 def test_secrets(spark, awkward, nothing):
     text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and thestoriousinheritances or src/main/java/Foo.java12'
     frame = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
