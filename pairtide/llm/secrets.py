@@ -1,6 +1,7 @@
 """Secrets: long tokens as candidates, a random forest to drop false positives.
 
-A candidate is a run of token characters. The forest sees its length, how often its characters change class, how much
+A candidate is a run of token characters, whatever is assigned to a credential's name (quoted or not, in a URL's parameters, of any
+length from four characters and with any symbols) or the password of a ``user:password@host``. The forest sees its length, how often its characters change class, how much
 of it is made of dictionary words, whether it is part of a path, and the words beside it. It learns from labelled
 findings: rows with a candidate's text and surroundings and a label 1 (a secret) or 0. Scoring is column
 expressions only: features and trees (written out as CASE) are worked out within a row.
@@ -18,12 +19,25 @@ from pairtide.llm.tables import texts
 from pairtide.llm.trees import vote_share
 from pairtide.session import stage
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/.-]{16,}+={0,2}"
-FEATURES = ("length", "changes", "digit_share", "capital_share", "dictionary", "longest_letters", "path", "suffix", "cue", "assigned", "quoted", "kinds", "hex")
+CANDIDATE = r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{16,}+={0,2}(?![A-Za-z0-9_+/.-])"
+FEATURES = ("length", "changes", "digit_share", "capital_share", "dictionary", "longest_letters", "path", "suffix", "cue", "assigned", "quoted", "kinds", "hex", "named", "symbols", "userinfo", "reference")
 
 #: Words that announce a credential.
 _CUE = r"(?i)token|secret|passw|api.?key|access.?key|credential|bearer|auth|private.?key"
 
+#: From a credential's name to where its value begins.
+_NAME = r"(?i:passw|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|private[_ -]?key|auth(?!or(?!i[sz])))[A-Za-z0-9_-]{0,40}+[\"'\]]{0,2}\s{0,3}(?:=>|:=|={1,2}|:)\s{0,3}(?:(?i:bearer|basic|token)\s{1,3})?"
+#: A quoted value, or a run up to white space, a quote or a separator before another name.
+_PLAIN = r"[^\s\"'<>&,;]*+"
+_VALUE = rf"(?:\"[^\"\n]{{4,}}+\"|'[^'\n]{{4,}}+'|(?![\"']){_PLAIN}(?:[&,;](?!\s|$|[A-Za-z_][\w.-]{{0,40}}+[=:]|#?\w{{1,8}}+;){_PLAIN}){{0,64}}+)"
+ASSIGNMENT = _NAME + _VALUE
+#: A password in front of a host.
+USERINFO = r"://[^\s/:@\"'<>]{0,256}+:[^\s/\"'<>]{1,2048}@"
+
+_NAMED = rf"{_NAME}[\"']?$"
+#: A value that stands for one held elsewhere: a variable, a place holder, a call.
+_REFERENCE = r"(?i)^(?:\$\{?[a-z_(]|\{\{|%\(|<|\*+$|x+$|\.{3}|(?:your|my|the|example)[_-]|(?:none|null|true|false|password|passwd|pass|secret|token|changeme)$|[a-z_][a-z0-9_.]*[(\[])"
+
 
 @dataclass(frozen=True)
 class SecretSpec:
@@ -37,9 +51,46 @@ class SecretSpec:
     seed: int = 1
 
 
+_SHAPE = "array<struct<kind:string,start:int,end:int,said:string,left:string,right:string>>"
+
+
+def _carved(found: Column, lead: str, tail: str) -> Column:
+    """The matches without what ``lead`` matches at their beginning and ``tail`` at their end, which go to their surroundings."""
+
+    def one(m: Column) -> Column:
+        def cut(front: Column) -> Column:
+            rest = F.substr(m["said"], F.length(front) + 1, F.length(m["said"]))
+            return let(F.regexp_extract(rest, tail, 0), lambda back: F.struct(
+                m["kind"].alias("kind"), (m["start"] + F.length(front)).alias("start"), (m["end"] - F.length(back)).alias("end"),
+                F.substr(rest, F.lit(1), F.length(rest) - F.length(back)).alias("said"),
+                F.right(F.concat(m["left"], front), F.lit(40)).alias("left"), F.substring(F.concat(back, m["right"]), 1, 40).alias("right"),
+            ))
+
+        return let(F.regexp_extract(m["said"], lead, 0), cut)
+
+    return F.transform(found, one).cast(_SHAPE)
+
+
+def _beyond(found: Column) -> Column:
+    """The matches with surroundings of 40 characters that reach over the neighbouring match."""
+    side = lambda m, *parts: F.concat(*[F.coalesce(m[p], F.lit("")) for p in parts])
+    return F.transform(found, lambda m, i: F.struct(
+        m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["said"].alias("said"),
+        F.right(F.concat(side(F.get(found, i - 1), "left", "said"), m["left"]), F.lit(40)).alias("left"),
+        F.substring(F.concat(m["right"], side(F.get(found, i + 1), "said", "right")), 1, 40).alias("right"),
+    )).cast(_SHAPE)
+
+
 def candidates(text: Column) -> Column:
-    """Array of ``(kind, start, end, said, left, right)`` of a text's candidates: those with a digit or 24 characters."""
-    return F.filter(find(text, CANDIDATE, "token", context=40), lambda m: m["said"].rlike("[0-9]") | (F.length(m["said"]) >= 24))
+    """Array of ``(kind, start, end, said, left, right)`` of a text's candidates: runs with a digit or 24 characters, values of
+    four characters or more behind a credential's name, passwords before a host. No two have the same place; they may overlap."""
+    runs = F.filter(let(find(text, CANDIDATE, "token", context=40), _beyond), lambda m: m["said"].rlike("[0-9]") | (F.length(m["said"]) >= 24))
+    quoted_or_trailing = r"[\"']$|(?<![(\[{][^\n]{0,200})[)\]}.,;:]+$|[.,;:]+$"
+    assigned = F.filter(_carved(find(text, ASSIGNMENT, "assigned", context=40), rf"^{_NAME}[\"']?", quoted_or_trailing), lambda m: F.length(m["said"]) >= 4)
+    userinfo = F.when(text.contains("://"), _carved(find(text, USERINFO, "userinfo", context=40), r"^://[^:]*:", "@$")).otherwise(F.array().cast(_SHAPE))
+    same = lambda all_: lambda m: ~F.exists(all_, lambda o: (o["start"] == m["start"]) & (o["end"] == m["end"]))
+    more = let(assigned, lambda a: F.concat(a, F.filter(userinfo, same(a))))
+    return let(more, lambda m_: F.concat(m_, F.filter(runs, same(m_))))
 
 
 def dictionary(docs: DataFrame, spec: SecretSpec = SecretSpec()) -> list[str]:
@@ -50,6 +101,10 @@ def dictionary(docs: DataFrame, spec: SecretSpec = SecretSpec()) -> list[str]:
     return [r[0] for r in runs.groupBy("word").count().orderBy(F.desc("count"), "word").limit(spec.dictionary).collect()]
 
 
+def _in_front_of_host(m: Column) -> Column:
+    return m["left"].rlike(r"[^\s/:@]*:$") & m["left"].rlike("://") & m["right"].rlike("^@")
+
+
 def features(m: Column, words: list[str]) -> list[Column]:
     """Features of one candidate, in the order of ``FEATURES``."""
     said = m["said"]
@@ -66,6 +121,7 @@ def features(m: Column, words: list[str]) -> list[Column]:
         said.rlike(r"(?i)\.(?:py|js|com|org|net|html?|txt|md|json|png|jpe?g|ya?ml|csv|php)\b").cast("int"),
         m["left"].rlike(_CUE).cast("int"), m["left"].rlike(r"[=:]\s*[\"']?$").cast("int"), (m["left"].rlike("[\"']$") & m["right"].rlike("^[\"']")).cast("int"),
         said.rlike("[0-9]").cast("int") + said.rlike("[a-z]").cast("int") + said.rlike("[A-Z]").cast("int"), said.rlike("^[0-9a-f]+$").cast("int"),
+        m["left"].rlike(_NAMED).cast("int"), share("[^A-Za-z0-9]"), _in_front_of_host(m).cast("int"), said.rlike(_REFERENCE).cast("int"),
     ]
     return [v.cast("double") for v in values]
 
@@ -73,14 +129,29 @@ def features(m: Column, words: list[str]) -> list[Column]:
 def known_findings(docs: DataFrame, spec: SecretSpec = SecretSpec()) -> DataFrame:
     """Labelled findings ``(said, left, right, label)`` of about ``sample`` documents, where reviewers' labels are missing.
 
-    A candidate assigned to a credential's name, in quotes and of mixed letters and digits counts as confirmed; one of letters
-    only, or without such a name beside it, as refuted.
+    A candidate assigned to a credential's name or in front of a host, of letters mixed with digits or symbols and not a reference, counts as
+    confirmed; any other as refuted. Confirmed values are also shown unquoted, in a shell's and a URL's assignments, and built-in texts
+    show each form, as a corpus may hold one form only.
     """
     n = docs.count()
-    drawn = texts(docs).sample(fraction=min(1.0, spec.sample / n) if n else 1.0, seed=spec.seed)
-    m = drawn.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("m")).select("m.*")
-    sure = F.col("left").rlike(_CUE + r"[\w ]{0,12}\s*[=:]\s*[\"']?$") & F.col("said").rlike("[0-9]") & F.col("said").rlike("[A-Za-z]")
-    return m.select("said", "left", "right", sure.cast("int").alias("label"))
+    drawn = texts(docs).sample(fraction=min(1.0, spec.sample / n) if n else 1.0, seed=spec.seed).select("text")
+    shown = docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, _built_in()))).alias("text"))
+    m = drawn.union(shown).select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("m")).select("m.*")
+    held = F.col("left").rlike(_NAMED) | _in_front_of_host(F.struct("left", "right"))
+    sure = held & F.col("said").rlike("[A-Za-z]") & F.col("said").rlike(r"[^A-Za-z\s_./-]") & ~F.col("said").rlike(_REFERENCE)
+    forms = ((None, None), ("\nAPI_KEY=", "\n"), ("export AWS_SECRET_ACCESS_KEY=", "\n"), ("https://example.com/a?access_token=", "&x=1"))
+    ways = F.array(*[F.struct(F.lit(left).cast("string").alias("left"), F.lit(right).cast("string").alias("right")) for left, right in forms])
+    told = m.select("said", "left", "right", sure.cast("int").alias("label"))
+    return told.withColumn("way", F.explode(F.when(F.col("label") == 1, ways).otherwise(F.slice(ways, 1, 1)))).select("said", F.coalesce("way.left", "left").alias("left"), F.coalesce("way.right", "right").alias("right"), "label")
+
+
+def _built_in() -> list[str]:
+    """Invented texts of every form, with values that are secrets and values that are not."""
+    values = ["hunter2!", "P@ssw0rd", "s3cr3t#9", "Tr0ub4dor&3", "aB3dE6gH9jK2", "AKIAQ3EXAMPLE7XYZ12", "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLE", "9f86d081884c7d659a2feaa0c55ad015", "x7.Qz-4_Lm", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"]
+    other = ["please", "required", "${DB_PASS}", "os.getenv(NAME1)", "<your_key_1>", "changeme", "****", "settings.v2[0]"]
+    named = ["PASSWORD={}\nPORT=80", "export API_KEY={}\n", "https://a.example.com/x?access_token={}&page=2", "secret: {} and", 'auth_token = "{}"', "'passwd': '{}',", "Authorization: Bearer {}\n", "postgres://user:{}@db.example.com/x"]
+    plain = ["path {} and", "commit={}\n", "https://a.example.com/x?page_id={}&b=2", 'file = "{}"', "host:{}@"]
+    return [form.format(v) for form in named for v in values + other] + [form.format(v) for form in plain for v in values]
 
 
 def train_secrets(findings: DataFrame, words: list[str], spec: SecretSpec = SecretSpec()):
