@@ -348,6 +348,18 @@ def test_encoder_is_the_tokenizer():
     assert [encode(t) for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_in_a_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    held = ["<|endoftext|>", "a <|endoftext|>b", "é<|endoftext|><|endoftext|>  x", "<|endoftext|", "<|ENDOFTEXT|> x", "don't " * 3000 + "<|endoftext|>\n"]
+    got = pieces(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")).orderBy("doc_id", "piece").collect()
+    ids = [np.concatenate([np.frombuffer(r.ids, dtype="<u4") for r in got if r.doc_id == i]).tolist() for i in range(len(held))]
+    assert ids == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in held]
+    assert 50256 in ids[0] and 50256 not in ids[3]
+
+
 def test_plan_holds_every_piece():
     rng = np.random.default_rng(5)
     for capacity in (7, 64, 2048):
