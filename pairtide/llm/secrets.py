@@ -41,13 +41,13 @@ _REFERENCE = r"(?i)^(?:\$\{?[a-z_(]|\{\{|%\(|<|\*+$|x+$|\.{3}|(?:your|my|the|exa
 
 @dataclass(frozen=True)
 class SecretSpec:
-    """``sample`` bounds the findings and documents that are fitted (about); ``dictionary`` is its number of words."""
+    """``sample`` bounds the findings and documents that are fitted (about); a word in ``dictionary_share`` of all documents or more is in the dictionary."""
 
     sample: int = 20_000
     trees: int = 15
     depth: int = 5
     threshold: float = 0.5
-    dictionary: int = 1000
+    dictionary_share: float = 0.02
     seed: int = 1
 
 
@@ -94,11 +94,9 @@ def candidates(text: Column) -> Column:
 
 
 def dictionary(docs: DataFrame, spec: SecretSpec = SecretSpec()) -> list[str]:
-    """The most frequent letter runs of about ``sample`` documents, by number of documents, then by name."""
-    n = docs.count()
-    drawn = texts(docs).sample(fraction=min(1.0, spec.sample / n) if n else 1.0, seed=spec.seed)
-    runs = drawn.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,12}+"), F.lit(0)))).alias("word"))
-    return [r[0] for r in runs.groupBy("word").count().orderBy(F.desc("count"), "word").limit(spec.dictionary).collect()]
+    """The letter runs of at least a share of all documents, by number of documents, then by name: under 1 / share times the runs of a document."""
+    runs = texts(docs).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,12}+"), F.lit(0)))).alias("word"))
+    return [r[0] for r in runs.groupBy("word").count().where(F.col("count") >= spec.dictionary_share * docs.count()).orderBy(F.desc("count"), "word").collect()]
 
 
 def _in_front_of_host(m: Column) -> Column:

@@ -20,7 +20,7 @@ from pairtide.llm.packing import PackSpec, pack, pieces, plan_runs, sequences
 from pairtide.llm.pii import personal_spans, redact, train_pii, written
 from pairtide.llm.quality import quality
 from pairtide.llm.repeats import RepeatSpec, remove_repeats
-from pairtide.llm.secrets import candidates, dictionary, known_findings, secrets, train_secrets
+from pairtide.llm.secrets import SecretSpec, candidates, dictionary, known_findings, secrets, train_secrets
 
 SMALL = "/root/testdata/sf0.001"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -292,6 +292,15 @@ def test_secrets_behind_a_name(docs, spark):
     assert len({(r.doc_id, r.start, r.end) for r in told}) == len(told)
 
 
+def test_dictionary_of_all_documents(docs, plain, nothing):
+    count = {}
+    for text in plain.text:
+        for word in set(re.findall("[a-z]{3,12}+", (text or "").lower())):
+            count[word] = count.get(word, 0) + 1
+    expected = sorted((w for w, n in count.items() if n >= 0.02 * len(plain)), key=lambda w: (-count[w], w))
+    assert dictionary(docs, SecretSpec(sample=20)) == expected and len(expected) > 1000 and dictionary(nothing) == []
+
+
 def test_licenses(docs, plain, spark, awkward, nothing):
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
