@@ -3,10 +3,14 @@
 from pyspark.sql import functions as F
 
 from pairtide.llm.decontaminate import leaks
+from pairtide.llm.infill import infill, restored
 from pairtide.llm.language import identify, train_language
 from pairtide.llm.licenses import license_scan
+from pairtide.llm.lloyd import lloyd, with_inertia
+from pairtide.llm.mixing import mix, taken
 from pairtide.llm.near_dups import NearDupSpec, near_dups
 from pairtide.llm.nearest import nearest
+from pairtide.llm.oracle import ORACLE  # noqa: F401
 from pairtide.llm.packing import pack, pieces
 from pairtide.llm.pii import personal_spans, train_pii, written
 from pairtide.llm.quality import quality
@@ -72,6 +76,22 @@ def op10_best_fit_packing(spark, sf_dir):
     return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op11_source_mixing(spark, sf_dir):
+    return taken(mix(read(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return infill(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_centroid_clustering(spark, sf_dir):
+    return with_inertia(*lloyd(read(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pii": op2_pii,
@@ -83,6 +103,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
-
-ORACLE = {}
