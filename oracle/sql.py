@@ -407,6 +407,30 @@ FEATURE_ROWS = """frows AS MATERIALIZED (
   SELECT start_pos, end_pos, 'sig_o' || o || '_' || asset_i || '_' || asset_j AS feature, value FROM edges CROSS JOIN (SELECT unnest([{orders}]) AS o))"""
 SIZES = "sizes AS (SELECT feature, sum(abs(value)) / (SELECT count(*) FROM win) AS mean_abs, max(abs(value)) AS max_abs FROM frows GROUP BY feature)"
 
+# ------------------------------------------------------------------ one matrix over the whole history
+
+SHARED_ROWS = """shared AS MATERIALIZED (SELECT a.asset AS asset_i, b.asset AS asset_j, a.pos, a.price AS x, b.price AS y
+  FROM ix a JOIN ix b ON a.pos = b.pos AND a.asset < b.asset)"""
+
+
+def lead_of(ahead: str, behind: str) -> str:
+    return f"CASE WHEN abs({ahead} - {behind}) <= 1e-10 THEN 0 ELSE sign({ahead} - {behind}) * greatest({ahead}, {behind}) END"
+
+
+def single_matrix(lags: str, value: str, power: str = "{0}", ranked: bool = False) -> str:
+    """f: x before y, g: y before x, at each lag in rows that both assets have."""
+    over = "PARTITION BY asset_i, asset_j, l ORDER BY"
+    rank = lambda c: f"rank() OVER ({over} {c}) + (count(*) OVER (PARTITION BY asset_i, asset_j, l, {c}) - 1) / 2.0 AS {c}"
+    columns = ", ".join(rank(c) for c in ("x", "y", "x0", "y0")) if ranked else "x, y, x0, y0"
+    return with_(panel("brand_day") + [SHARED_ROWS, f"""lagged AS MATERIALIZED (SELECT asset_i, asset_j, l, x, y, x0, y0 FROM (
+  SELECT asset_i, asset_j, l, {power.format("x")} AS x, {power.format("y")} AS y, lag({power.format("x")}, l) OVER w AS x0, lag({power.format("y")}, l) OVER w AS y0
+  FROM shared, (SELECT unnest([{lags}]) AS l) WINDOW w AS ({over} pos)) WHERE x0 IS NOT NULL)""",
+        f"sides AS (SELECT asset_i, asset_j, l, coalesce(corr(x0, y), 0) AS f, coalesce(corr(y0, x), 0) AS g FROM (SELECT asset_i, asset_j, l, {columns} FROM lagged) GROUP BY asset_i, asset_j, l)"],
+        f"""SELECT p.asset_i, p.asset_j, {r6('coalesce(v, 0)')} AS value
+  FROM (SELECT x.asset AS asset_i, y.asset AS asset_j FROM (SELECT DISTINCT asset FROM ix) x JOIN (SELECT DISTINCT asset FROM ix) y ON x.asset < y.asset) p
+  LEFT JOIN (SELECT asset_i, asset_j, {value} AS v FROM sides GROUP BY asset_i, asset_j) q ON p.asset_i = q.asset_i AND p.asset_j = q.asset_j""")
+
+
 ORACLE = {
     "bars_weekly": with_(panel("brand_week"), f"SELECT {ts('ts')} AS ts, asset, {r6('price')} AS price FROM panel"),
     "bars_ohlc": with_([BRAND_PRICES], f"""SELECT {ts("date_trunc('week', ts)::TIMESTAMP")} AS ts, asset,
@@ -449,10 +473,14 @@ ORACLE = {
         "win AS MATERIALIZED (SELECT a.start_ts, a.end_ts, min(pos) AS start_pos, max(pos) AS end_pos FROM asked a JOIN cal c ON c.ts BETWEEN a.start_ts AND a.end_ts GROUP BY ALL)",
         window_rows(), lagged(), correlations(), edges_at_lag()],
         f"SELECT {ts('w.start_ts')} AS start_ts, {ts('w.end_ts')} AS end_ts, asset_i, asset_j, {r6('value')} AS value FROM edges e JOIN win w ON {same_window('e', 'w')}"),
-    "single_matrix": with_(panel("brand_day"), f"""SELECT asset_i, asset_j, {r6('value')} AS value FROM (SELECT p.asset_i, p.asset_j, coalesce(v, 0) AS value FROM
-  (SELECT x.asset AS asset_i, y.asset AS asset_j FROM (SELECT DISTINCT asset FROM ix) x JOIN (SELECT DISTINCT asset FROM ix) y ON x.asset < y.asset) p LEFT JOIN (SELECT asset_i, asset_j, corr(x0, y) - corr(y0, x) AS v FROM (
-  SELECT a.asset AS asset_i, b.asset AS asset_j, a.price AS x, b.price AS y, lag(a.price) OVER w AS x0, lag(b.price) OVER w AS y0
-  FROM ix a JOIN ix b ON a.pos = b.pos AND a.asset < b.asset WINDOW w AS (PARTITION BY a.asset, b.asset ORDER BY a.pos)) GROUP BY ALL) q ON p.asset_i = q.asset_i AND p.asset_j = q.asset_j)"""),
+    "single_matrix": single_matrix("1", "sum(f - g)"),
+    "single_matrix_auc": single_matrix("1, 2, 3, 4, 5", lead_of("sum(abs(f))", "sum(abs(g))") + " / (sum(abs(f)) + sum(abs(g)))"),
+    "single_matrix_max_lag": single_matrix("1, 2, 3, 4, 5", lead_of("max(abs(f))", "max(abs(g))"), power="{0} * {0}"),
+    "single_matrix_signature": with_(panel("brand_day") + [SHARED_ROWS], f"""SELECT asset_i, asset_j, {r6("sum((x - fx) * (ny - y) - (y - fy) * (nx - x)) / 2 / any_value(sx) / any_value(sy)")} AS value
+  FROM (SELECT *, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, lead(x) OVER w AS nx, lead(y) OVER w AS ny,
+               stddev_samp(x) OVER p AS sx, stddev_samp(y) OVER p AS sy FROM shared
+        WINDOW w AS (PARTITION BY asset_i, asset_j ORDER BY pos), p AS (PARTITION BY asset_i, asset_j)) GROUP BY asset_i, asset_j"""),
+    "single_matrix_spearman": single_matrix("1", "sum(f - g)", ranked=True),
     "matrix_snapshot": with_(WEEK + [CELLS], f"""SELECT {ts('w.end_ts')} AS end_ts, asset, {SNAPSHOT} FROM cells c JOIN win w ON {same_window('c', 'w')}
   WHERE w.end_pos IN ((SELECT min(end_pos) FROM win), (SELECT max(end_pos) FROM win)) GROUP BY w.end_ts, asset"""),
     "row_scores": with_(WEEK + [CELLS, SCORES], f"SELECT {ts('w.end_ts')} AS end_ts, asset, {r6('s')} AS score FROM scores c JOIN win w ON {same_window('c', 'w')}"),
@@ -460,9 +488,10 @@ ORACLE = {
     "roles": with_(WEEK + [CELLS, SCORES, "cutoff AS (SELECT start_pos, end_pos, quantile_cont(s, 0.8) AS hi, quantile_cont(s, 0.2) AS lo FROM scores WHERE s <> 0 GROUP BY ALL)"],
         " UNION ALL ".join(f"SELECT {ts('w.end_ts')} AS end_ts, '{role}' AS role, asset, {r6('s')} AS score FROM scores c JOIN cutoff q ON {same_window('c', 'q')} JOIN win w ON {same_window('c', 'w')} WHERE s <> 0 AND {cond}"
                            for role, cond in (("leader", "s > hi"), ("follower", "s < lo")))),
-    "leaders_followers": with_(WEEK + [CELLS, SCORES, "cutoff AS (SELECT start_pos, end_pos, quantile_cont(s, 0.5) AS mid FROM scores WHERE s <> 0 GROUP BY ALL)",
-        f"placed AS (SELECT c.start_pos, c.end_pos, asset, s > mid AS lead, row_number() OVER (PARTITION BY c.start_pos, c.end_pos, s > mid ORDER BY asset) AS rank FROM scores c JOIN cutoff q ON {same_window('c', 'q')} WHERE s <> 0 AND s <> mid)"],
-        f"SELECT {ts('w.end_ts')} AS end_ts, a.rank, a.asset AS leader, b.asset AS follower FROM placed a JOIN placed b ON {same_window('a', 'b')} AND a.rank = b.rank AND a.lead AND NOT b.lead JOIN win w ON {same_window('a', 'w')}"),
+    "leaders_followers": with_(WEEK + [CELLS, SCORES, "cutoff AS MATERIALIZED (SELECT start_pos, end_pos, quantile_cont(s, 0.5) AS mid FROM scores WHERE s <> 0 GROUP BY start_pos, end_pos)",
+        f"placed AS MATERIALIZED (SELECT c.start_pos, c.end_pos, asset, s > mid AS lead, row_number() OVER (PARTITION BY c.start_pos, c.end_pos, s > mid ORDER BY asset) AS rank FROM scores c JOIN cutoff q ON {same_window('c', 'q')} WHERE s <> 0 AND s <> mid)"],
+        f"""SELECT {ts('w.end_ts')} AS end_ts, a.rank, a.asset AS leader, b.asset AS follower FROM (SELECT * FROM placed WHERE lead) a
+        JOIN (SELECT * FROM placed WHERE NOT lead) b ON a.end_pos = b.end_pos AND a.rank = b.rank JOIN win w ON w.end_pos = a.end_pos"""),
     "metrics_timeseries": with_(WEEK + METRIC_CTES, f"SELECT {ts('end_ts')} AS end_ts, {METRIC_COLUMNS} FROM metrics m JOIN win w ON {same_window('m', 'w')}"),
     "summary": with_(WEEK + METRIC_CTES, "SELECT metric, " + ", ".join(f"{r6(s)} AS {s}" for s in ("mean", "median", "std", "max", "min")) + f" FROM ({summary_of('metrics')})"),
     "regime": with_(panel("brand_week") + [rolling(), window_rows(), REGIME], f"""SELECT {ts('w.end_ts')} AS end_ts, {r6('returns_mean', 8)} AS returns_mean, {r6('returns_vol', 8)} AS returns_vol,

@@ -131,18 +131,19 @@ def pair_values(spec, left, right):
             ahead, behind = _lagged(spec, left, right, abs(spec.lag))
             value = (ahead - behind) * np.sign(spec.lag)
         else:
-            sides = [_lagged(spec, left, right, lag) for lag in range(1, spec.max_lag + 1)]
-            ahead = np.abs(np.stack([s[0] for s in sides]))
-            behind = np.abs(np.stack([s[1] for s in sides]))
-            if spec.method == "ccf_auc":
-                a, b = ahead.sum(axis=0), behind.sum(axis=0)
-                value = _lead(a, b) * np.maximum(a, b) / (a + b)
-            else:
-                a, b = ahead.max(axis=0), behind.max(axis=0)
-                value = _lead(a, b) * np.maximum(a, b)
+            value = lead_of_lags(spec, [_lagged(spec, left, right, lag) for lag in range(1, spec.max_lag + 1)])
     return np.nan_to_num(value, nan=0.0)
 
 
+def lead_of_lags(spec, sides):
+    """Value of the methods over several lags, from ``(ahead, behind)`` correlations at each."""
+    ahead = np.abs(np.stack([s[0] for s in sides]))
+    behind = np.abs(np.stack([s[1] for s in sides]))
+    a, b = (ahead.sum(axis=0), behind.sum(axis=0)) if spec.method == "ccf_auc" else (ahead.max(axis=0), behind.max(axis=0))
+    strength = _lead(a, b) * np.maximum(a, b)
+    return strength / (a + b) if spec.method == "ccf_auc" else strength
+
+
 def doubles_per_series(spec, rows):
     """Working numbers one series of one window needs, for sizing batches."""
     if spec.method != "signature":

@@ -477,33 +477,3 @@ def _fill_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "rets": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat)),
             }
         )
-
-
-def whole_panel_value(values: DataFrame, lag: int = 1, squared: bool = False) -> DataFrame:
-    """One matrix over the whole panel, values taken as given: ``(asset_i, asset_j, value)``.
-
-    Rows where either asset is missing are dropped per pair before lagging, so a lag counts
-    shared rows. The panel never sits in one array: pairs meet per date, ``lag`` runs along
-    each pair's own timeline, and centred sums finish in two aggregations. A pair with too few
-    shared rows has value 0.
-    """
-    power = (lambda c: F.col(c) * F.col(c)) if squared else F.col
-    a = values.select("pos", F.col("asset").alias("asset_i"), power("price").alias("x"))
-    b = values.select("pos", F.col("asset").alias("asset_j"), power("price").alias("y"))
-    ordered = F.col("asset_i") < F.col("asset_j")
-    shared = a.join(b, "pos").where(ordered)
-    timeline = Window.partitionBy("asset_i", "asset_j").orderBy("pos")
-    lagged = shared.withColumns({"x0": F.lag("x", lag).over(timeline), "y0": F.lag("y", lag).over(timeline)}).where("x0 IS NOT NULL")
-    ahead, behind = _safe_corr("x0", "y"), _safe_corr("y0", "x")
-    met = lagged.groupBy("asset_i", "asset_j").agg((ahead - behind).alias("value"))
-    names = values.select("asset").distinct()
-    pairs = names.select(F.col("asset").alias("asset_i")).join(names.select(F.col("asset").alias("asset_j")), F.col("asset_i") < F.col("asset_j"))
-    return pairs.join(met, ["asset_i", "asset_j"], "left").select("asset_i", "asset_j", F.coalesce("value", F.lit(0.0)).alias("value"))
-
-
-def _safe_corr(x: str, y: str):
-    """Pearson from mergeable centred moments; 0 for a constant side."""
-    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return F.when(flat, F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(F.regr_sxy(F.col(y), F.col(x)), F.sqrt(F.regr_sxx(F.col(y), F.col(x)) * F.regr_syy(F.col(y), F.col(x)))), F.lit(0.0))
-    )

@@ -9,6 +9,7 @@ from pairtide.config import PairSpec, RoleSpec
 from pairtide.functions import measures
 from pairtide.operators import bars, features, kpis, lookback, metrics, offline, pairs, quality, reports, rewards, roles
 from pairtide.operators import stats, timeline, universe, windows
+from pairtide.operators.whole import whole_matrix
 from pairtide.plans import panels, scenario
 from pairtide.session import stage, staging_root
 
@@ -170,8 +171,9 @@ def explicit_windows(spark, sf):
     return rounded(placed.join(edges, ["start_pos", "end_pos"]).select("start_ts", "end_ts", "asset_i", "asset_j", "value"))
 
 
-def single_matrix(spark, sf):
-    return rounded(pairs.whole_panel_value(panels.brand_day(spark, sf), lag=1))
+def _single_matrix(spec):
+    """One matrix of daily brand prices over the whole history."""
+    return lambda spark, sf: rounded(whole_matrix(panels.brand_day(spark, sf), spec))
 
 
 def custom_measure(spark, sf):
@@ -592,7 +594,11 @@ QUERIES = {
     "spearman_columns": spearman_columns,
     "custom_measure": custom_measure,
     "explicit_windows": explicit_windows,
-    "single_matrix": single_matrix,
+    "single_matrix": _single_matrix(PairSpec(lag=1)),
+    "single_matrix_auc": _single_matrix(PairSpec(method="ccf_auc", max_lag=5)),
+    "single_matrix_max_lag": _single_matrix(PairSpec(method="ccf_at_max_lag", max_lag=5, correlation="squared_pearson")),
+    "single_matrix_signature": _single_matrix(PairSpec(method="signature", signature_form="levy", scaling="by_std")),
+    "single_matrix_spearman": _single_matrix(PairSpec(lag=1, correlation="spearman")),
     "matrix_snapshot": matrix_snapshot,
     "row_scores": row_scores,
     "row_scores_mean": row_scores_mean,

@@ -170,18 +170,6 @@ def test_column_measures_agree_with_tiles(indexed):
         assert_same(edge_dict(own.collect()), edge_dict(pairs.pair_edges(indexed, win, spec).collect()))
 
 
-def test_single_matrix_drops_missing_rows_per_pair(spark, wide):
-    clean = wide.where(wide > 0)
-    got = {(r.asset_i, r.asset_j): r.value for r in pairs.whole_panel_value(indexed_panel(spark, clean), 2).collect()}
-    for a in clean:
-        for b in clean:
-            if a < b:
-                both = clean[[a, b]].dropna().to_numpy()
-                x, y = both[:, 0], both[:, 1]
-                want = np.corrcoef(x[:-2], y[2:])[0, 1] - np.corrcoef(y[:-2], x[2:])[0, 1]
-                assert got[(a, b)] == pytest.approx(want, abs=1e-9)
-
-
 def test_placebo_windows(spark, wide, indexed):
     spec = PairSpec(lookback=9)
     order = timeline.shuffled_calendar(timeline.calendar(indexed), 3)
