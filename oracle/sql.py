@@ -575,6 +575,15 @@ ORACLE["adaptive_metrics"] = with_(
 )
 ORACLE["metrics_common"] = _on_universe(False)
 ORACLE["metrics_strict"] = _on_universe(True)
+ORACLE["universe_pairs"] = with_(
+    UNIVERSE_EDGES + [CELLS, SCORES,
+        "cutoff AS MATERIALIZED (SELECT end_pos, quantile_cont(s, 0.5) AS mid FROM scores WHERE s <> 0 GROUP BY end_pos)",
+        "listed_at AS MATERIALIZED (SELECT end_pos, asset, min(rank) AS place FROM members GROUP BY end_pos, asset)",
+        """placed AS MATERIALIZED (SELECT c.end_pos, c.asset, s > mid AS lead, row_number() OVER (PARTITION BY c.end_pos, s > mid ORDER BY place) AS rank
+  FROM scores c JOIN cutoff q ON c.end_pos = q.end_pos JOIN listed_at l ON l.end_pos = c.end_pos AND l.asset = c.asset WHERE s <> 0 AND s <> mid)"""],
+    f"""SELECT {ts('w.end_ts')} AS end_ts, a.rank, a.asset AS leader, b.asset AS follower FROM (SELECT * FROM placed WHERE lead) a
+  JOIN (SELECT * FROM placed WHERE NOT lead) b ON a.end_pos = b.end_pos AND a.rank = b.rank JOIN winw w ON w.end_pos = a.end_pos""",
+)
 ORACLE["transitions"] = with_(
     SCORED,
     "SELECT l.step, l.action, " + r6(LEGACY_REWARD.replace("S ", "l.S ").replace("* C", "* l.C").replace("* E", "* l.E"), 4) + " AS reward, l.lookback, "

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairtide.config import PairSpec
 from pairtide.functions.measures import text_hash
-from pairtide.operators.metrics import edge_metrics, metrics_from_partials, regime
+from pairtide.operators.metrics import metrics_from_partials, regime, tile_metrics
 from pairtide.operators.pairs import pair_edges, pair_partials, window_returns
 from pairtide.operators.recurrences import exponential_average, follow_states
 from pairtide.operators.timeline import calendar
@@ -193,9 +193,15 @@ def decision_states(
     placed = decisions.withColumns(
         {"end_pos": F.col("pos"), "start_pos": F.greatest(F.col("pos") - F.col("lookback") + 1, F.lit(0))}
     )
+    placed = stage(placed, "placed_decisions")
+    before = placed.select(
+        "episode", (F.col("seq") + 1).alias("seq"), F.col("start_pos").alias("prev_start_pos"), F.col("end_pos").alias("prev_end_pos")
+    )
+    followed = placed.select("episode", "seq", "start_pos", "end_pos").join(before, ["episode", "seq"], "left")
+    keys = ["start_pos", "end_pos", "prev_start_pos", "prev_end_pos"]
+    found = tile_metrics(pair_partials(indexed, followed.select(*keys).distinct(), spec), keys)
     windows = placed.select("start_pos", "end_pos").distinct()
-    edges = pair_edges(indexed, windows, spec).join(placed.select("episode", "seq", "start_pos", "end_pos"), ["start_pos", "end_pos"])
-    measured = edge_metrics(edges, ["episode"], "seq", mode="common").select(
+    measured = followed.fillna(-1, ["prev_start_pos", "prev_end_pos"]).join(found, keys).select(
         "episode",
         "seq",
         F.col("mean_abs_matrix").alias("mean_abs"),
@@ -277,8 +283,8 @@ def chosen_edges(indexed: DataFrame, path: DataFrame, spec: PairSpec) -> DataFra
 def adaptive_metrics(indexed: DataFrame, spec: PairSpec, range_: LookbackSpec) -> DataFrame:
     """Metric time series along the greedy path, with the lookback and signal of each date."""
     path = stage(greedy_path(candidate_signals(indexed, spec, range_), range_), "greedy_path")
-    first = path.agg(F.min("end_pos")).scalar()
-    numbered = path.withColumn("seq", F.col("end_pos") - first)
-    edges = chosen_edges(indexed, path, spec).withColumn("seq", F.col("end_pos") - first)
-    metrics = edge_metrics(edges, [], "seq", mode="common")
-    return numbered.join(metrics, "seq", "left").drop("seq", "cells", "shared_cells", "leader_score", "laggard_score")
+    placed = path.withColumn("start_pos", F.col("end_pos") - F.col("lookback") + 1)
+    before = placed.select((F.col("end_pos") + 1).alias("end_pos"), F.col("start_pos").alias("prev_start_pos"), F.col("end_pos").alias("prev_end_pos"))
+    windows = placed.select("start_pos", "end_pos").join(before, "end_pos", "left")
+    metrics = tile_metrics(pair_partials(indexed, windows, spec), ["start_pos", "end_pos"])
+    return placed.join(metrics, ["start_pos", "end_pos"], "left").drop("start_pos", "cells", "shared_cells", "prev_cells", "leader_score", "laggard_score")

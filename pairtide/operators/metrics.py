@@ -15,7 +15,7 @@ SIZE_METRICS = ("mean_abs_matrix", "max_abs_matrix", "row_sum_range", "row_sum_s
 STABILITY_METRICS = ("stability_matrix_corr", "stability_rowsum_corr")
 WINDOW_METRICS = SIZE_METRICS + STABILITY_METRICS + ("n_assets",)
 
-_SUMS = ("pairs", "row_sum", "abs_sum", "shared_pairs", "shared_sum", "shared_prev_sum", "cross", "sq", "prev_sq")
+_SUMS = ("pairs", "row_sum", "abs_sum", "prev_pairs", "shared_pairs", "shared_sum", "shared_prev_sum", "cross", "sq", "prev_sq")
 
 
 def edge_partials(edges: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
@@ -49,6 +49,7 @@ def edge_partials(edges: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
         F.sum("v").alias("row_sum"),
         F.sum(F.abs("v")).alias("abs_sum"),
         F.max(F.abs("v")).alias("max_abs"),
+        F.count("p").alias("prev_pairs"),
         F.count("p").alias("shared_pairs"),
         over_shared(F.col("v")).alias("shared_sum"),
         over_shared(F.col("p")).alias("shared_prev_sum"),
@@ -79,6 +80,7 @@ def metrics_from_partials(partials: DataFrame, keys: Sequence[str]) -> DataFrame
         F.count(F.lit(1)).alias("n_assets"),
         F.sum("pairs").alias("cells"),
         F.sum("shared_pairs").alias("shared_cells"),
+        F.sum("prev_pairs").alias("prev_cells"),
         F.max("row_sum").alias("leader_score"),
         F.min("row_sum").alias("laggard_score"),
     )
@@ -88,6 +90,37 @@ def _correlation(cross: Column, left: Column, right: Column) -> Column:
     return F.try_divide(cross, F.sqrt(left * right))
 
 
+def tile_metrics(partials: DataFrame, keys: Sequence[str], mode: str = "common") -> DataFrame:
+    """Metrics of windows whose assets may change, from the sums of ``pair_partials``.
+
+    ``common`` compares the pairs that both windows hold; ``strict`` gives a stability only if both hold the same assets.
+    """
+    _check_mode(mode)
+    metrics = metrics_from_partials(partials.repartition(*keys), keys)
+    return _only_where(metrics, (F.col("shared_cells") == F.col("cells")) & (F.col("prev_cells") == F.col("cells"))) if mode == "strict" else metrics
+
+
+def _check_mode(mode: str) -> None:
+    if mode not in ("strict", "common"):
+        raise ValueError(f"unknown stability mode {mode!r}")
+
+
+def _only_where(metrics: DataFrame, same: Column) -> DataFrame:
+    return metrics.withColumn("_same", same).withColumns({name: F.when(F.col("_same"), F.col(name)) for name in STABILITY_METRICS}).drop("_same")
+
+
+def scores_from_partials(partials: DataFrame, keys: Sequence[str], agg_func: str = "sum") -> DataFrame:
+    """``(…, asset, score)`` from the sums of ``pair_partials``: what ``row_scores`` gives from edges, without edges."""
+    _check_agg(agg_func)
+    count = F.sum("pairs") + 1 if agg_func == "mean" else F.lit(1)
+    return partials.groupBy(*keys, "asset").agg((F.sum("row_sum") / count).alias("score"))
+
+
+def _check_agg(agg_func: str) -> None:
+    if agg_func not in ("sum", "mean"):
+        raise ValueError(f"invalid agg_func {agg_func!r}; use 'sum' or 'mean'")
+
+
 def rolling_metrics(indexed: DataFrame, spec: PairSpec, lookbacks: Optional[Sequence[int]] = None) -> DataFrame:
     """Metric time series of the rolling windows of a whole panel, without storing edges.
 
@@ -105,16 +138,13 @@ def edge_metrics(edges: DataFrame, keys: Sequence[str], seq: str, mode: str = "s
     ``strict`` gives a stability only if both windows hold the same assets, ``common``
     compares the block of assets both windows share.
     """
-    if mode not in ("strict", "common"):
-        raise ValueError(f"unknown stability mode {mode!r}")
+    _check_mode(mode)
     metrics = metrics_from_partials(edge_partials(edges, keys, seq), [*keys, seq])
     if mode == "common":
         return metrics
     before = F.lag("cells").over(Window.partitionBy(*keys).orderBy(seq))
     same = (F.col("shared_cells") == F.col("cells")) & (before == F.col("cells"))
-    return metrics.withColumn("_same", same).withColumns(
-        {name: F.when(F.col("_same"), F.col(name)) for name in STABILITY_METRICS}
-    ).drop("_same")
+    return _only_where(metrics, same)
 
 
 def numbered(windows: DataFrame) -> DataFrame:
@@ -124,8 +154,7 @@ def numbered(windows: DataFrame) -> DataFrame:
 
 def row_scores(edges: DataFrame, keys: Sequence[str], agg_func: str = "sum") -> DataFrame:
     """Net lead score of every asset: the sum (or mean, counting the diagonal) of its matrix row."""
-    if agg_func not in ("sum", "mean"):
-        raise ValueError(f"invalid agg_func {agg_func!r}; use 'sum' or 'mean'")
+    _check_agg(agg_func)
     rows = mirrored(edges, *keys).groupBy(*keys, "asset")
     if agg_func == "sum":
         return rows.agg(F.sum("value").alias("score"))

@@ -30,8 +30,8 @@ BATCH_DOUBLES = 4_000_000  # working numbers a kernel call may hold
 
 EDGE_SCHEMA = "start_pos int, end_pos int, asset_i string, asset_j string, value double"
 PARTIAL_SCHEMA = (
-    "start_pos int, end_pos int, asset string, pairs bigint, row_sum double, abs_sum double, max_abs double, "
-    "shared_pairs bigint, shared_sum double, shared_prev_sum double, cross double, sq double, prev_sq double"
+    "start_pos int, end_pos int, prev_start_pos int, prev_end_pos int, asset string, pairs bigint, row_sum double, abs_sum double, "
+    "max_abs double, prev_pairs bigint, shared_pairs bigint, shared_sum double, shared_prev_sum double, cross double, sq double, prev_sq double"
 )
 RETURNS_SCHEMA = "start_pos int, end_pos int, asset string, rets array<double>"
 
@@ -75,7 +75,7 @@ def series_blocks(
         last = indexed.agg(F.max(_slot("pos", stretch))).scalar()
         present = indexed.select("asset").distinct().select("asset", F.explode(F.sequence(F.lit(0), last)).alias("stretch"))
     else:
-        present = members.select("asset", _slot("end_pos", stretch).alias("stretch"), F.col("end_pos").alias("member_end"))
+        present = members.join(_membership_needed(windows, stretch), "end_pos").select("asset", "stretch", F.col("end_pos").alias("member_end"))
     # Presence rows have no position: they sort first and look like "no earlier observation" to lag.
     timeline = Window.partitionBy("asset", "stretch").orderBy(F.col("pos").asc_nulls_first())
     stacked = placed.unionByName(present, allowMissingColumns=True).withColumns(
@@ -101,6 +101,15 @@ def series_blocks(
     )
 
 
+def _membership_needed(windows: DataFrame, stretch: int) -> DataFrame:
+    """``(end_pos, stretch)``: whose members a stretch asks for, those of its windows and of the windows before them."""
+    own = windows.select("end_pos", _slot("end_pos", stretch).alias("stretch"))
+    if "prev_end_pos" in windows.columns:
+        before = windows.where("prev_end_pos IS NOT NULL").select(F.col("prev_end_pos").alias("end_pos"), _slot("end_pos", stretch).alias("stretch"))
+        own = own.union(before)
+    return own.distinct()
+
+
 def _slot(column: str, stretch: int):
     return F.floor(F.col(column) / F.lit(stretch)).cast("int")
 
@@ -136,17 +145,21 @@ def pair_partials(
     indexed: DataFrame,
     windows: DataFrame,
     spec: PairSpec,
+    members: Optional[DataFrame] = None,
     stretch: int = STRETCH,
     block: int = BLOCK,
 ) -> DataFrame:
     """Per (window, asset, tile) sums over the matrix row, summed before any shuffle.
 
     Metrics, scores and stability follow from these rows; the edges, whose number grows
-    with the square of the assets, never leave their task.
+    with the square of the assets, never leave their task. A window may name the one before it
+    (``prev_start_pos``, ``prev_end_pos``, of any length; -1 in the result where there is none): the products with it
+    are taken in the tile. With ``members`` a window's row sums run over its own universe, the products over pairs that
+    are in both universes; ``prev_pairs`` counts an asset's pairs in the earlier one.
     """
-    series = series_blocks(indexed, windows, None, stretch)
+    series = series_blocks(indexed, windows, members, stretch)
     tiles = _tiles(series, indexed, ["stretch"], block)
-    return tiles.groupBy("stretch", "bi", "bj").applyInArrow(_tile_function(spec, False, True), PARTIAL_SCHEMA)
+    return tiles.groupBy("stretch", "bi", "bj").applyInArrow(_tile_function(spec, members is not None, True), PARTIAL_SCHEMA)
 
 
 def window_returns(
@@ -321,9 +334,6 @@ def _tile_function(spec: PairSpec, restricted: bool, partial: bool):
         left, right, diagonal = _sides(table)
         if left.num_rows == 0 or right.num_rows == 0:
             return
-        by_length = {}
-        for end, start, prev_end, _ in _window_rows(table):
-            by_length.setdefault(end - start + 1, []).append((end, prev_end))
         grid_l, before_l, lo = _dense(left)
         grid_r, before_r, _ = (grid_l, before_l, lo) if diagonal else _dense(right)
 
@@ -331,11 +341,14 @@ def _tile_function(spec: PairSpec, restricted: bool, partial: bool):
             x = _masked(grid_l, before_l, lo, ends, length)
             return pair_values(spec, x, x if diagonal else _masked(grid_r, before_r, lo, ends, length))
 
+        if partial:
+            yield from _partial_rows(spec, left, right, diagonal, restricted, _window_rows(table), values_for)
+            return
+        by_length = {}
+        for end, start, _, _ in _window_rows(table):
+            by_length.setdefault(end - start + 1, []).append(end)
         for length, rows in by_length.items():
-            if partial:
-                yield from _partial_rows(spec, left, right, diagonal, rows, length, values_for)
-                continue
-            for ends in _batches(spec, np.array([r[0] for r in rows]), length, left.num_rows + right.num_rows):
+            for ends in _batches(spec, np.array(rows), length, left.num_rows + right.num_rows):
                 inside = (_member_mask(left, ends), _member_mask(right, ends)) if restricted else (None, None)
                 i, j, value, at = _oriented(values_for(ends, length), left, right, diagonal, *inside)
                 end = ends[at].astype(np.int32)
@@ -352,40 +365,72 @@ def _tile_function(spec: PairSpec, restricted: bool, partial: bool):
     return tile
 
 
-def _partial_rows(spec, left, right, diagonal, rows, length, values_for):
-    """Row sums of the tile for each window, with products against the window before."""
-    needed = np.array(sorted({e for row in rows for e in row if e is not None}))
+def _partial_rows(spec, left, right, diagonal, restricted, rows, values_for):
+    """Row sums of the tile for each window, with products against the window before, whatever its length."""
     size = left.num_rows + right.num_rows
-    matrices = np.concatenate([values_for(ends, length) for ends in _batches(spec, needed, length, size)])
-    ends = np.array([end for end, _ in rows])
-    has_prev = np.array([prev is not None for _, prev in rows])
-    before = np.array([end if prev is None else prev for end, prev in rows])
-    now = matrices[np.searchsorted(needed, ends)]
-    then = matrices[np.searchsorted(needed, before)] * has_prev[:, None, None]
-    yield _row_sums(left, now, then, has_prev, ends, length, 1 if diagonal else 0)
-    if not diagonal:
-        turned = (-now.transpose(0, 2, 1), -then.transpose(0, 2, 1))
-        yield _row_sums(right, *turned, has_prev, ends, length, 0)
-
-
-def _row_sums(side, now, then, has_prev, ends, length, own_cells):
-    windows, n, width = now.shape
-    pairs = np.full(windows * n, width - own_cells, dtype=np.int64)
-    shared = now * has_prev[:, None, None]
+    by_length = {}
+    for end, start, prev_end, prev_start in rows:
+        by_length.setdefault(end - start + 1, set()).add(end)
+        if prev_end is not None:
+            by_length.setdefault(prev_end - prev_start + 1, set()).add(prev_end)
+    place, parts = {}, []
+    for length, wanted in by_length.items():
+        wanted = np.array(sorted(wanted))
+        place.update({(end, length): len(place) + k for k, end in enumerate(wanted.tolist())})
+        parts += [values_for(ends, length) for ends in _batches(spec, wanted, length, size)]
+    matrices = np.concatenate(parts)
+    none = np.array([-1 if prev is None else prev for _, _, prev, _ in rows])
+    windows = np.array([(end, start, -1 if prev is None else prev, -1 if prev is None else first) for end, start, prev, first in rows])
+    now = np.array([place[end, end - start + 1] for end, start, _, _ in rows])
+    then = np.array([now[k] if prev is None else place[prev, prev - first + 1] for k, (_, _, prev, first) in enumerate(rows)])
+    step = max(1, BATCH_DOUBLES // max(1, 8 * left.num_rows * right.num_rows))
+    for at in range(0, len(rows), step):
+        part = slice(at, at + step)
+        has_prev = none[part] >= 0
+        inside = None
+        if restricted:
+            ends, before = windows[part, 0], windows[part, 2]
+            inside = [(_member_mask(side, ends), _member_mask(side, before) & has_prev[:, None]) for side in (left, right)]
+        a, b = matrices[now[part]], matrices[then[part]]
+        yield _row_sums(left, a, b, has_prev, windows[part], diagonal, inside)
+        if not diagonal:
+            turned = (-a.transpose(0, 2, 1), -b.transpose(0, 2, 1))
+            yield _row_sums(right, *turned, has_prev, windows[part], False, inside and inside[::-1])
+
+
+def _row_sums(side, now, then, has_prev, windows, diagonal, inside):
+    count, n, width = now.shape
+    if inside is None:
+        keep = np.ones((count, n), dtype=bool)
+        pairs = np.full((count, n), width - diagonal, dtype=np.int64)
+        prev_pairs = shared_pairs = pairs * has_prev[:, None]
+        shared, then = now * has_prev[:, None, None], then * has_prev[:, None, None]
+    else:
+        (keep, prev_own), (other, prev_other) = inside
+        cell, before = keep[:, :, None] & other[:, None, :], prev_own[:, :, None] & prev_other[:, None, :]
+        if diagonal:
+            apart = ~np.eye(n, dtype=bool)
+            cell, before = cell & apart, before & apart
+        both = cell & before
+        pairs, prev_pairs, shared_pairs = (c.sum(axis=2, dtype=np.int64) for c in (cell, before, both))
+        now, shared, then = np.where(cell, now, 0.0), np.where(both, now, 0.0), np.where(both, then, 0.0)
+    at, asset = np.nonzero(keep)
 
     def flat(values):
-        return pa.array(values.ravel())
+        return pa.array(values[keep])
 
+    place = [pa.array(windows[at, k].astype(np.int32)) for k in (1, 0, 3, 2)]
+    names = ("start_pos", "end_pos", "prev_start_pos", "prev_end_pos")
     return pa.RecordBatch.from_pydict(
         {
-            "start_pos": pa.array(np.repeat(ends - length + 1, n).astype(np.int32)),
-            "end_pos": pa.array(np.repeat(ends, n).astype(np.int32)),
-            "asset": side["asset"].combine_chunks().take(pa.array(np.tile(np.arange(n), windows))),
-            "pairs": pa.array(pairs),
+            **dict(zip(names, place)),
+            "asset": side["asset"].combine_chunks().take(pa.array(asset)),
+            "pairs": flat(pairs),
             "row_sum": flat(now.sum(axis=2)),
             "abs_sum": flat(np.abs(now).sum(axis=2)),
-            "max_abs": flat(np.abs(now).max(axis=2)),
-            "shared_pairs": pa.array(pairs * np.repeat(has_prev, n)),
+            "max_abs": flat(np.abs(now).max(axis=2, initial=0.0)),
+            "prev_pairs": flat(prev_pairs),
+            "shared_pairs": flat(shared_pairs),
             "shared_sum": flat(shared.sum(axis=2)),
             "shared_prev_sum": flat(then.sum(axis=2)),
             "cross": flat((shared * then).sum(axis=2)),

@@ -214,14 +214,22 @@ def row_scores_mean(spark, sf):
 
 
 def role_table(spark, sf):
-    return rounded(roles.roles(_edges(spark, sf), ["end_ts"], RoleSpec(top_percentile=80, bottom_percentile=20)))
+    return rounded(scenario.window_roles(_week(spark, sf), SPEC, RoleSpec(top_percentile=80, bottom_percentile=20)).drop("end_pos"))
 
 
 def leaders_followers(spark, sf):
-    assigned = stage(roles.roles(_edges(spark, sf), ["end_ts"], RoleSpec()), "roles")
+    assigned = stage(scenario.window_roles(_week(spark, sf), SPEC, RoleSpec()), "roles")
     return rounded(roles.role_pairs(assigned, ["end_ts"]))
 
 
+def universe_pairs(spark, sf):
+    """Leaders and followers of each window's universe, in the order of the universe's list."""
+    week, universe_ = _week(spark, sf), stage(_universe(spark, sf), "universe")
+    assigned = stage(scenario.window_roles(week, SPEC, RoleSpec(), universe_), "universe_roles")
+    order = scenario.universe_windows(week, SPEC, universe_)[1]
+    return rounded(roles.role_pairs(assigned, ["end_pos", "end_ts"], order).drop("end_pos"))
+
+
 # ------------------------------------------------------------------ metrics
 
 
@@ -604,6 +612,7 @@ QUERIES = {
     "row_scores_mean": row_scores_mean,
     "roles": role_table,
     "leaders_followers": leaders_followers,
+    "universe_pairs": universe_pairs,
     "metrics_timeseries": metrics_timeseries,
     "metrics_common": metrics_common,
     "metrics_strict": metrics_strict,

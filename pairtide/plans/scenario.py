@@ -5,9 +5,10 @@ from typing import Optional, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairtide.config import PairSpec
-from pairtide.operators.metrics import edge_metrics, numbered, rolling_metrics
-from pairtide.operators.pairs import pair_edges, pair_edges_of_series, shuffled_series
+from pairtide.config import PairSpec, RoleSpec
+from pairtide.operators.metrics import edge_metrics, numbered, rolling_metrics, scores_from_partials, tile_metrics
+from pairtide.operators.pairs import pair_edges, pair_edges_of_series, pair_partials, shuffled_series
+from pairtide.operators.roles import roles_of_scores
 from pairtide.operators.timeline import calendar, shuffled_calendar
 from pairtide.operators.universe import window_members
 from pairtide.operators.windows import rolling_windows
@@ -34,15 +35,33 @@ def fixed_metrics(indexed: DataFrame, lookbacks: Sequence[int], spec: PairSpec)
     return rolling_metrics(indexed, spec, lookbacks).withColumn("run_id", F.format_string("fixed_%02d", "lookback"))
 
 
-def universe_metrics(indexed: DataFrame, spec: PairSpec, universe: DataFrame, mode: str = "strict") -> DataFrame:
-    """Metric series when every window has its own universe; windows with fewer than two members vanish."""
+def universe_windows(indexed: DataFrame, spec: PairSpec, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows with at least two members, each with the one before it, and their members ``(end_pos, asset, place)``."""
     windows = rolling_windows(calendar(indexed), spec).select("start_pos", "end_pos", "end_ts")
-    members = window_members(windows, universe, indexed).select("end_pos", "asset").distinct()
+    listed = window_members(windows, universe, indexed).groupBy("end_pos", "asset").agg(F.min("rank").alias("place"))
+    members = stage(listed, "window_members")
     alive = members.groupBy("end_pos").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("end_pos")
-    sequence = numbered(alive)
-    edges = pair_edges(indexed, windows, spec, members).join(sequence, "end_pos")
-    metrics = edge_metrics(edges, [], "seq", mode)
-    return metrics.join(sequence, "seq").join(windows.select("end_pos", "end_ts"), "end_pos")
+    placed = stage(windows.join(numbered(alive), "end_pos"), "universe_windows")
+    before = placed.select((F.col("seq") + 1).alias("seq"), F.col("start_pos").alias("prev_start_pos"), F.col("end_pos").alias("prev_end_pos"))
+    return placed.join(before, "seq", "left"), members
+
+
+def universe_metrics(indexed: DataFrame, spec: PairSpec, universe: DataFrame, mode: str = "strict") -> DataFrame:
+    """Metric series when every window has its own universe; windows with fewer than two members vanish."""
+    windows, members = universe_windows(indexed, spec, universe)
+    partials = pair_partials(indexed, windows, spec, members.select("end_pos", "asset"))
+    return tile_metrics(partials, ["start_pos", "end_pos"], mode).join(windows.select("end_pos", "end_ts", "seq"), "end_pos")
+
+
+def window_roles(indexed: DataFrame, spec: PairSpec, role: RoleSpec, universe: Optional[DataFrame] = None) -> DataFrame:
+    """Leaders and followers ``(end_pos, end_ts, role, asset, score)`` of all rolling windows, without storing edges."""
+    if universe is None:
+        windows, members = rolling_windows(calendar(indexed), spec).select("start_pos", "end_pos", "end_ts"), None
+    else:
+        windows, members = universe_windows(indexed, spec, universe)
+        windows, members = windows.select("start_pos", "end_pos", "end_ts"), members.select("end_pos", "asset")
+    scores = scores_from_partials(pair_partials(indexed, windows, spec, members), ["end_pos"], role.agg_func)
+    return roles_of_scores(scores, ["end_pos"], role).join(windows.select("end_pos", "end_ts"), "end_pos")
 
 
 def placebo_metrics(indexed: DataFrame, spec: PairSpec, seed: int) -> DataFrame:

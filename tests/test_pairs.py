@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairtide.config import PairSpec
 from pairtide.functions import measures
-from pairtide.operators import metrics, pairs, timeline, windows
+from pairtide.operators import roles, metrics, pairs, timeline, windows
 from pairtide.plans import scenario
 
 SPECS = [
@@ -170,6 +170,55 @@ def test_column_measures_agree_with_tiles(indexed):
         assert_same(edge_dict(own.collect()), edge_dict(pairs.pair_edges(indexed, win, spec).collect()))
 
 
+def with_previous(win):
+    """Windows of changing length, each after the one before it in ``seq``."""
+    before = win.select((F.col("seq") + 1).alias("seq"), F.col("start_pos").alias("prev_start_pos"), F.col("end_pos").alias("prev_end_pos"))
+    return win.join(before, "seq", "left")
+
+
+@pytest.mark.parametrize("mode", ["common", "strict"])
+@pytest.mark.parametrize("restricted", [False, True])
+def test_tile_sums_equal_edges(spark, indexed, mode, restricted):
+    """Universe, previous window of another length, several tiles: sums taken in the tile equal those of stored edges."""
+    spec = SPECS[0]
+    rows = [(k, max(0, end - (6 + (k * 5) % 7)), end) for k, end in enumerate(range(12, 60, 2))]
+    win = spark.createDataFrame(rows, "seq int, start_pos int, end_pos int")
+    members = None
+    if restricted:
+        listed = [(end, a) for k, _, end in rows for a in ["A00", "A01", "A02", "A03", "A04"][k % 4 // 2 : 5 - k // 8 % 2]]
+        members = spark.createDataFrame(listed, "end_pos int, asset string")
+    edges = pairs.pair_edges(indexed, win.select("start_pos", "end_pos"), spec, members, block=2).join(win, ["start_pos", "end_pos"])
+    want = metrics.edge_metrics(edges, [], "seq", mode).toPandas().set_index("seq").sort_index()
+    partials = pairs.pair_partials(indexed, with_previous(win), spec, members, stretch=16, block=2)
+    found = metrics.tile_metrics(partials, ["start_pos", "end_pos"], mode).join(win, ["start_pos", "end_pos"])
+    got = found.toPandas().set_index("seq").sort_index()
+    names = [*metrics.WINDOW_METRICS, "cells", "shared_cells", "leader_score", "laggard_score"]
+    np.testing.assert_allclose(got[names].to_numpy(dtype=float), want[names].to_numpy(dtype=float), atol=1e-9)
+    assert got.stability_matrix_corr.notna().any()
+    for agg in ("sum", "mean"):
+        tiles = {(r.end_pos, r.asset): r.score for r in metrics.scores_from_partials(partials, ["end_pos"], agg).collect()}
+        assert tiles == pytest.approx({(r.end_pos, r.asset): r.score for r in metrics.row_scores(edges, ["end_pos"], agg).collect()}, abs=1e-9)
+
+
+def test_tile_metrics_move_no_pairs(spark, indexed):
+    universe = timeline.calendar(indexed).select("ts", F.array(F.lit("A02"), F.lit("A00"), F.lit("A04")).alias("symbols"))
+    found = scenario.universe_metrics(indexed, SPECS[0], universe, "common")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "asset_i" not in plan
+    assert found.count() > 0 and found.agg(F.max("n_assets")).first()[0] == 3
+    with pytest.raises(ValueError):
+        scenario.universe_metrics(indexed, SPECS[0], universe, "loose")
+
+
+def test_role_pairs_in_given_order(spark):
+    assigned = spark.createDataFrame([(1, "leader", a, 1.0) for a in "abc"] + [(1, "follower", a, -1.0) for a in "xyz"], "w int, role string, asset string, score double")
+    order = spark.createDataFrame([("c", 1), ("a", 2), ("z", 1), ("x", 2)], "asset string, place int")
+    got = roles.role_pairs(assigned, ["w"], order).orderBy("rank").collect()
+    assert [(r.leader, r.follower) for r in got] == [("c", "z"), ("a", "x"), ("b", "y")]
+    by_window = order.withColumn("w", F.lit(2))
+    assert [(r.leader, r.follower) for r in roles.role_pairs(assigned, ["w"], by_window).orderBy("rank").collect()] == [("a", "x"), ("b", "y"), ("c", "z")]
+
+
 def test_placebo_windows(spark, wide, indexed):
     spec = PairSpec(lookback=9)
     order = timeline.shuffled_calendar(timeline.calendar(indexed), 3)
