@@ -181,4 +181,5 @@ def identify(docs: DataFrame, net: ByteNet | None, names: tuple[str, str] = ("la
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(told, pa.string()), pa.array(np.clip(chance, 0, 1))], [*kept, *names])
 
     ask = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    return docs.select(text.alias("_text"), ask.alias("_ask"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(score, schema)
+    # columns travel by place, so their names may be any; the result has them again
+    return docs.select(text.alias("_0"), ask.alias("_1"), *[F.col(f"`{c}`").alias(f"_{k + 2}") for k, c in enumerate(kept)]).mapInArrow(score, schema)

@@ -37,7 +37,7 @@ class MixSpec:
     block: int = 64
     shard: int = 1024
     rounds: int = 24
-    bucket: int = 50_000
+    bucket: int = 4096
     seed: int = 11
 
 

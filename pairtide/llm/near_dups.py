@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairtide.llm import words as W
-from pairtide.llm.tables import texts
+from pairtide.llm.tables import fresh, texts
 from pairtide.session import stage
 
 
@@ -380,9 +380,10 @@ def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
 def without_near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
     """The rows of ``docs`` without those of near-duplicates of a smaller id; of rows with equal id and text one stays."""
     kept = near_dups(docs, spec).where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    marked = docs.withColumn("_kept_id", F.col("doc_id").cast("long")).withColumn("_kept_mark", F.xxhash64(F.col("text").cast("string")))
-    stay = marked.join(kept, marked["_kept_id"].eqNullSafe(kept["_id"]) & (marked["_kept_mark"] == kept["_mark"]), "left_semi")
-    return stay.dropDuplicates(["_kept_id", "_kept_mark"]).drop("_kept_id", "_kept_mark")
+    own, print_ = fresh(docs.columns, "_kept_id", "_kept_mark")
+    marked = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(print_, F.xxhash64(F.col("text").cast("string")))
+    stay = marked.join(kept, marked[own].eqNullSafe(kept["_id"]) & (marked[print_] == kept["_mark"]), "left_semi")
+    return stay.dropDuplicates([own, print_]).drop(own, print_)
 
 
 def _own_text(spec: NearDupSpec):

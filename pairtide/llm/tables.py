@@ -16,3 +16,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def split_of(id_col: str, parts: int):
     """``crc32`` of the id as text, modulo ``parts``: the fold that tells training rows from held-out ones."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """These names, each with as many underscores more as it takes to meet none of ``columns`` in any case."""
+    held, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out

@@ -2,6 +2,9 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pairtide.session import stage
 
@@ -28,3 +31,45 @@ def test_stages_decide(spark):
     assert not any(re.search(r"[\w.%+-]+@[\w-]+\.[\w-]+", t) for t in seen["personal_data"].values())
     last = corpus_pipeline.STAGES[-1][1](spark, now, SMALL)
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == set(seen["personal_data"])
+
+
+CLASHING = ("_language", "_chance", "_kept_id", "_kept_mark", "_id", "_mark", "_text", "_ask", "_bucket", "_own", "_rank", "_LANGUAGE_", "score", "a.b", "spans", "found", "piece")
+
+
+def with_clashes(docs):
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    return docs
+
+
+@pytest.mark.parametrize("name,step", corpus_pipeline.STAGES)
+def test_clashing_columns_pass_through(spark, name, step):
+    """Columns named like the stage's own come out with the values they had."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60")
+    extra = step(spark, with_clashes(docs), SMALL)
+    if name == "packing":
+        assert extra.columns == step(spark, docs, SMALL).columns and extra.count() >= docs.count()
+        return
+    assert extra.columns == [*docs.columns, *CLASHING]
+    rows = extra.collect()
+    assert {r.doc_id for r in rows} <= set(range(60)) and len(rows) > 40
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING)
+
+
+@pytest.mark.parametrize("name,step", corpus_pipeline.STAGES)
+def test_empty_and_awkward_tables(spark, name, step):
+    """No row, and only null, empty, blank, very long and repeated texts."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert step(spark, docs.where("false"), SMALL).count() == 0
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(1, None), (2, ""), (3, " \t "), (4, long), (4, long), (None, "text without an id"), (5, "text without an id")]
+    odd = spark.createDataFrame([(d, t, "en", None, None) for d, t in rows], docs.schema)
+    out = step(spark, odd, SMALL).collect()
+    kept = {"language": 4, "near_duplicates": None, "decontamination": 7, "personal_data": 7}
+    if name == "near_duplicates":
+        assert sorted(r.doc_id for r in out if r.doc_id in (1, 2, 3, 4)) == [1, 2, 3, 4] and any(r.text == "text without an id" for r in out)
+    elif name == "packing":
+        assert len({(r.sequence_id, r.offset) for r in out}) == len(out) and {r.doc_id for r in out} == {1, 2, 3, 4, 5, None}
+    else:
+        assert len(out) == kept[name]
+        assert {r.text for r in out} <= {t for _, t in rows}
