@@ -1,11 +1,15 @@
 """Return statistics of runs and of their drawdowns."""
 
-from typing import Sequence
+from typing import Optional, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairtide.operators.scan import before_each
 from pairtide.operators.timeline import percent_change
+from pairtide.session import stage
+
+SPAN = 256  # numbers of an integer order per stretch
 
 # Columns that may hold returns, in order of preference; trading days per year.
 RETURN_COLUMNS = ("portfolio_return", "strategy_return", "reward", "reward_step_mean", "pnl")
@@ -47,11 +51,34 @@ def derive_returns(series: DataFrame, run: str, order: str) -> DataFrame:
     return candidates.join(chosen, [run, "rank"]).select(run, order, "returns_column", "ret")
 
 
-def drawdowns(returns: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Compounded value and its fall below the highest value so far."""
-    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grown = returns.withColumn("cumulative", F.product(1 + F.col("ret")).over(so_far))
-    return grown.withColumn("drawdown", F.try_divide(F.col("cumulative"), F.max("cumulative").over(so_far)) - 1)
+def drawdowns(returns: DataFrame, keys: Sequence[str], order: str, span: Optional[Column] = None) -> DataFrame:
+    """Compounded value and its fall below the highest value so far.
+
+    ``span`` cuts a timeline into stretches (an integer that grows with the order; months or ``SPAN`` numbers unless
+    given). Products and extremes of a stretch combine, so a run of any length is spread over its stretches.
+    """
+    if span is None:
+        dated = returns.schema[order].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
+        span = F.year(order) * 12 + F.month(order) if dated else F.floor(F.col(order) / F.lit(SPAN))
+    cut = stage(returns.withColumn("_span", span.cast("long")), "drawdown_spans")
+    so_far = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = stage(cut.withColumn("_own", F.product(1 + F.col("ret")).over(so_far)), "drawdown_products")
+    part = F.struct(F.product(1 + F.col("ret")).alias("grown"), F.max("_own").alias("high"), F.min("_own").alias("low"))
+    summaries = inside.groupBy(*keys, "_span").agg(part.alias("_part"))
+
+    def combine(a: Column, b: Column) -> Column:
+        up, down = a["grown"] * b["high"], a["grown"] * b["low"]
+        return F.struct(
+            (a["grown"] * b["grown"]).alias("grown"), F.greatest(a["high"], up, down).alias("high"), F.least(a["low"], up, down).alias("low")
+        )
+
+    none = F.lit(None).cast("double")
+    neutral = F.struct(F.lit(1.0).alias("grown"), none.alias("high"), none.alias("low"))
+    before = before_each(summaries, keys, "_span", "_part", combine, neutral, "_before")
+    value = F.col("_before.grown") * F.col("_own")
+    known = inside.join(before, [*keys, "_span"]).withColumn("cumulative", value)
+    highest = F.greatest(F.col("_before.high"), F.max("cumulative").over(so_far))
+    return known.withColumn("drawdown", F.try_divide(F.col("cumulative"), highest) - 1).drop("_span", "_own", "_before")
 
 
 def kpis(returns: DataFrame, run: str, order: str) -> DataFrame:

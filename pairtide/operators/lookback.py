@@ -121,12 +121,23 @@ def action_target(range_: LookbackSpec, current: Column, action: Column, target:
     return (0.5 * (target + current + action * step)).cast("int")
 
 
+def checked_action(range_: LookbackSpec, action: Column) -> Column:
+    """``action``, or an error at run time for a discrete action outside the mode's range; NULL stays NULL."""
+    if not range_.discrete or range_.mode == "absolute":  # absolute actions are clipped instead
+        return action
+    last = 2 if range_.mode == "relative" else 4
+    message = F.concat(F.lit(f"action outside 0 .. {last} in mode {range_.mode}: "), action.cast("string"))
+    return F.when(action.isNull() | action.between(0, last), action).otherwise(F.raise_error(message).cast("int"))
+
+
 def lookback_path(actions: DataFrame, keys: list, order: str, range_: LookbackSpec) -> DataFrame:
     """Lookback after each action: adds ``lookback`` and ``prev_lookback`` to the action log.
 
     ``actions`` has ``action`` and, for continuous hybrid actions, ``target``. Every timeline
-    starts at the midpoint. ``order`` counts 0, 1, ... per key.
+    starts at the midpoint. ``order`` counts up by one per key. A discrete action that the mode does not know is an error
+    of the job that meets it.
     """
+    actions = actions.withColumn("action", checked_action(range_, F.col("action")))
     low, high = range_.min_lookback, range_.max_lookback
     target = F.col("target") if "target" in actions.columns else None
 
@@ -136,8 +147,8 @@ def lookback_path(actions: DataFrame, keys: list, order: str, range_: LookbackSp
 
     if range_.mode == "absolute":
         moved = actions.withColumn("lookback", clipped(F.lit(0)) + low)
-        before = F.lag("lookback").over(Window.partitionBy(*keys).orderBy(order))
-        return moved.withColumn("prev_lookback", F.coalesce(before, F.lit(range_.midpoint)))
+        before = moved.select(*keys, (F.col(order) + 1).cast(moved.schema[order].dataType).alias(order), F.col("lookback").alias("_before"))
+        return moved.join(before, [*keys, order], "left").select(*moved.columns, F.coalesce("_before", F.lit(range_.midpoint)).alias("prev_lookback"))
     steps = actions.withColumn("_to", F.transform(F.sequence(F.lit(low), F.lit(high)), clipped))
     walked = follow_states(steps, keys, order, "_to", range_.midpoint - low)
     return actions.join(walked, [*keys, order]).select(

@@ -1,7 +1,7 @@
 """Recurrences along a timeline, written so that no timeline has to fit in one task.
 
-Both cut the timeline into stretches, solve each stretch on its own and pass one small
-value from stretch to stretch.
+Both cut the timeline into stretches and solve each stretch on its own. Sums pass one small value from a stretch to
+the next; state machines pass the composition of all earlier stretches, by a prefix scan.
 """
 
 import math
@@ -10,6 +10,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairtide.operators.scan import before_each
+from pairtide.session import stage
+
 STATE_STRETCH = 256
 
 
@@ -46,9 +49,9 @@ def exponential_average(rows: DataFrame, keys: Sequence[str], order: str, value:
 def follow_states(steps: DataFrame, keys: Sequence[str], order: str, moves: str, start: int) -> DataFrame:
     """Walk a state machine along ``order``: adds ``state_before`` and ``state_after``.
 
-    ``moves`` is an array with the next state of every state (numbered from 0). Maps
-    compose, so each stretch first becomes one map, the maps of a timeline give every
-    stretch its entry state, and the stretches are then walked in parallel.
+    ``moves`` is an array with the next state of every state (numbered from 0), ``order`` an integer from 0. Maps
+    compose, so each stretch first becomes one map, the maps before it give every stretch its
+    entry state, and the stretches are then walked in parallel.
     """
     keys = list(keys)
     stretches = (
@@ -56,21 +59,14 @@ def follow_states(steps: DataFrame, keys: Sequence[str], order: str, moves: str,
         .groupBy(*keys, "_stretch")
         .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(moves).alias("to")))).alias("_walk"))
     )
+    stretches = stage(stretches, "state_stretches")
     states = F.sequence(F.lit(0), F.size(F.element_at("_walk", 1)["to"]) - 1)
     composed = F.transform(states, lambda s: F.aggregate("_walk", s, lambda now, step: F.get(step["to"], now)))
     maps = stretches.select(*keys, "_stretch", composed.alias("_map"))
-    ordered = F.array_sort(F.collect_list(F.struct("_stretch", "_map")))
-    first = F.struct(F.lit(start).alias("now"), F.array().cast("array<struct<_stretch:bigint,_entry:int>>").alias("seen"))
-    entries = F.aggregate(
-        ordered,
-        first,
-        lambda acc, m: F.struct(
-            F.get(m["_map"], acc["now"]).alias("now"),
-            F.concat(acc["seen"], F.array(F.struct(m["_stretch"].alias("_stretch"), acc["now"].alias("_entry")))).alias("seen"),
-        ),
-        lambda acc: acc["seen"],
-    )
-    entered = maps.groupBy(*keys).agg(entries.alias("_in")).select(*keys, F.explode("_in").alias("_in")).select(*keys, "_in.*")
+    size = maps.agg(F.max(F.size("_map"))).first()[0] or 1
+    same = F.sequence(F.lit(0), F.lit(size - 1))
+    earlier = before_each(maps, keys, "_stretch", "_map", lambda a, b: F.transform(a, lambda s: F.get(b, s)), same, "_before")
+    entered = earlier.select(*keys, "_stretch", F.get("_before", F.lit(start)).alias("_entry"))
     begin = F.struct(F.col("_entry").alias("now"), F.array().cast("array<struct<at:int,before:int,after:int>>").alias("seen"))
     walked = F.aggregate(
         "_walk",
