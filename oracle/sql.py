@@ -575,6 +575,17 @@ ORACLE["adaptive_metrics"] = with_(
 )
 ORACLE["metrics_common"] = _on_universe(False)
 ORACLE["metrics_strict"] = _on_universe(True)
+EVENT_LOG = [
+    "kinds AS MATERIALIZED (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS action FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL))",
+    """log AS MATERIALIZED (SELECT user_id AS episode, row_number() OVER w - 1 AS step, ts, coalesce(lag(value) OVER w, 0) AS last_value, coalesce(lag(action) OVER w, -1) AS last_action,
+  coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9, 0) AS hours, action, value AS reward, row_number() OVER w = count(*) OVER (PARTITION BY user_id) AS done
+  FROM events JOIN kinds USING (event_type) WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""",
+]
+ORACLE["episode_log"] = with_(EVENT_LOG, f"""SELECT episode::BIGINT AS episode, step::BIGINT AS step, {ts('ts')} AS ts, {r6('last_value::DOUBLE', 5)} AS last_value, {r6('last_action::DOUBLE', 5)} AS last_action,
+  {r6('hours', 5)} AS hours, {r6('step::DOUBLE', 5)} AS steps, action::BIGINT AS action, {r6('reward', 5)} AS reward, done::INTEGER::BIGINT AS done FROM log""")
+ORACLE["episode_totals"] = with_(EVENT_LOG, f"SELECT episode::BIGINT AS episode, {r6('sum(reward)', 4)} AS total_reward, count(*) AS steps FROM log GROUP BY episode")
+ORACLE["offline_gap"] = with_(EVENT_LOG, f"""SELECT 'reward' AS metric, {r6('m', 4)} AS online_mean, {r6('t', 4)} AS offline_total_reward, {r6('m - t', 4)} AS performance_gap
+  FROM (SELECT avg(reward) FILTER (WHERE done) AS m, sum(reward) AS t FROM log)""")
 ORACLE["universe_pairs"] = with_(
     UNIVERSE_EDGES + [CELLS, SCORES,
         "cutoff AS MATERIALIZED (SELECT end_pos, quantile_cont(s, 0.5) AS mid FROM scores WHERE s <> 0 GROUP BY end_pos)",

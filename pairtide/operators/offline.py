@@ -1,16 +1,41 @@
-"""Learning from logged decisions: stratified split, action classifier, totals, gaps."""
+"""Learning from logged decisions: logs from event tables, stratified split, action classifier, totals, gaps."""
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairtide.operators.timeline import dense_positions
+from pairtide.session import stage
+
 # Iterations and inverse regularisation of the action classifier, share of test rows.
 MAX_ITERATIONS = 200
 INVERSE_PENALTY = 1.0
 TEST_SHARE = 0.25
 
 
+def logged_events(events: DataFrame, user: str, ts: str, event: str, kind: str, value: str) -> DataFrame:
+    """A decision log of all events: ``(episode, step, ts, observation, action, reward, done)``.
+
+    A user's events in order of time (then event id) are an episode; its kind is the action, numbered by name, its
+    value the reward. The observation is what stood before the action: value and kind of the user's event before, the
+    hours since it and the step (0, -1, 0 and 0 at the first). Positions are counted per user and day, and an event meets the one before it
+    by an equi-join, so a user with very many events is spread over tasks.
+    """
+    kinds = dense_positions(events.select(F.col(kind).alias("kind")).distinct(), ["kind"], F.lit(0), "action")
+    named = events.select(
+        F.col(user).alias("episode"), F.col(ts).alias("ts"), F.col(event).alias("event"), F.col(kind).alias("kind"), F.col(value).cast("double").alias("reward")
+    ).where(F.col("episode").isNotNull() & F.col("ts").isNotNull() & F.col("kind").isNotNull())
+    placed = dense_positions(named.join(kinds, "kind"), ["ts", "event"], F.date_trunc("day", "ts"), "step", ["episode"])
+    placed = stage(placed.drop("kind", "event"), "logged_events")
+    before = placed.select("episode", (F.col("step") + 1).alias("step"), F.col("reward").alias("was"), F.col("action").alias("did"), F.col("ts").alias("at"))
+    sizes = placed.groupBy("episode").agg(F.max("step").alias("last"))
+    hours = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 3.6e9
+    seen = [F.coalesce("was", F.lit(0.0)), F.coalesce("did", F.lit(-1)).cast("double"), F.coalesce(hours, F.lit(0.0)), F.col("step").cast("double")]
+    both = placed.join(before, ["episode", "step"], "left").join(sizes, "episode")
+    return both.select("episode", "step", "ts", F.array(*seen).alias("observation"), "action", "reward", (F.col("step") == F.col("last")).alias("done"))
+
+
 def stratified_split(logged: DataFrame, test_share: float = TEST_SHARE, seed: int = 42) -> DataFrame:
     """Mark ``is_test`` rows: the share of each action with the smallest hash of (episode, step).
 

@@ -347,31 +347,30 @@ def transitions(spark, sf):
 
 
 @panels.once
-def _episode_log(spark, sf):
-    week = _week(spark, sf)
-    steps = lookback.episodes(timeline.calendar(week), count=8, length=40, first_pos=RANGE.max_lookback, seed=11)
-    actions = lookback.random_actions(steps, 5, 9, "episode", "step")
-    decided = stage(lookback.with_reset(lookback.lookback_path(actions, ["episode"], "step", RANGE), RANGE), "decisions")
-    states = lookback.decision_states(week, decided, SPEC, RANGE)
-    return stage(lookback.transitions(rewards.with_legacy_reward(states, RANGE)), "transitions")
+def _event_log(spark, sf):
+    """Every user's events as an episode of decisions."""
+    return stage(offline.logged_events(panels.table(spark, sf, "events"), "user_id", "ts", "event_id", "event_type", "value"), "event_log")
 
 
 def episode_log(spark, sf):
-    return rounded(_episode_log(spark, sf))
+    names = ("last_value", "last_action", "hours", "steps")
+    seen = [F.get("observation", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    return rounded(_event_log(spark, sf).select("episode", "step", "ts", *seen, "action", "reward", F.col("done").cast("int").alias("done")), 5)
 
 
 def episode_totals(spark, sf):
-    return rounded(offline.episode_totals(_episode_log(spark, sf)))
+    return rounded(offline.episode_totals(_event_log(spark, sf)), 4)
 
 
 def behaviour_cloning(spark, sf):
-    return rounded(offline.clone_behaviour(_episode_log(spark, sf)))
+    return rounded(offline.clone_behaviour(_event_log(spark, sf)))
 
 
 def offline_gap(spark, sf):
-    log = _episode_log(spark, sf)
-    online = log.agg(F.avg("reward").alias("mean")).withColumn("metric", F.lit("reward"))
-    return rounded(offline.reward_gap(online, offline.episode_totals(log)))
+    """Mean reward of the last event of each user beside the total of all."""
+    log = _event_log(spark, sf)
+    online = log.where("done").agg(F.avg("reward").alias("mean")).withColumn("metric", F.lit("reward"))
+    return rounded(offline.reward_gap(online, offline.episode_totals(log)), 4)
 
 
 # ------------------------------------------------------------------ features
