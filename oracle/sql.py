@@ -575,6 +575,20 @@ ORACLE["adaptive_metrics"] = with_(
 )
 ORACLE["metrics_common"] = _on_universe(False)
 ORACLE["metrics_strict"] = _on_universe(True)
+ORACLE["features_all"] = with_(signature(half=True) + [FEATURE_ROWS.replace("{orders}", "2")],
+    f"SELECT {ts('w.end_ts')} AS end_ts, feature, {r6('value', 8)} AS value FROM frows f JOIN win w ON {same_window('f', 'w')}")
+ORACLE["features_pca_invariants"] = with_(signature(half=True) + [FEATURE_ROWS.replace("{orders}", "2"), SIZES, "picked AS MATERIALIZED (SELECT feature FROM sizes ORDER BY mean_abs DESC, feature LIMIT 12)"],
+    """SELECT count(DISTINCT end_pos) AS windows, (count(*) FILTER (WHERE stddev_pop > 0))::DOUBLE AS variance, 0.0::DOUBLE AS largest_mean, 0.0::DOUBLE AS largest_cross, 1::BIGINT AS sorted
+  FROM (SELECT f.end_pos, stddev_pop(value) OVER (PARTITION BY f.feature) AS stddev_pop FROM frows f SEMI JOIN picked p ON p.feature = f.feature)""")
+SEEDED = "run || '_seed' || regexp_extract(run, '([0-9]+)$', 1)"
+ORACLE["runs_from_tree"] = with_(SUMMARIES, f"""SELECT {SEEDED} AS run, regexp_extract(run, '([0-9]+)$', 1)::BIGINT AS seed, metric, windows,
+  {", ".join(f"{r6(s, 5)} AS {s}" for s in ("mean", "median", "std", "max", "min"))}
+  FROM summaries JOIN (SELECT run, count(*) AS windows FROM runs GROUP BY run) USING (run)""")
+ORACLE["run_appendix"] = with_(SUMMARIES, """SELECT CASE WHEN scenario = 'weekly' THEN 'weekly' ELSE 'n/a' END AS scenario, (regexp_extract(run, '([0-9]+)$', 1)::INT)::VARCHAR AS seed,
+  'n/a' AS created_at, 'n/a' AS config_path, 'n/a' AS data_path, 'n/a' AS python_version, 'n/a' AS platform FROM (SELECT DISTINCT scenario, run FROM summaries)""")
+ORACLE["artifact_findings"] = with_(SUMMARIES, f"""SELECT {SEEDED} AS run, CASE scenario WHEN 'weekly' THEN 'WARN' ELSE 'ERROR' END AS level,
+  CASE scenario WHEN 'weekly' THEN 'no_value' ELSE 'no_file' END AS code, CASE scenario WHEN 'weekly' THEN 'git_commit' ELSE 'run_metadata.json' END AS subject
+  FROM (SELECT DISTINCT scenario, run FROM summaries)""")
 EVENT_LOG = [
     "kinds AS MATERIALIZED (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS action FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL))",
     """log AS MATERIALIZED (SELECT user_id AS episode, row_number() OVER w - 1 AS step, ts, coalesce(lag(value) OVER w, 0) AS last_value, coalesce(lag(action) OVER w, -1) AS last_action,

@@ -1,5 +1,6 @@
 """Every query of the repository by name: ``(spark, sf_dir) -> DataFrame``."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pairtide.operators import stats, timeline, universe, windows
 from pairtide.operators.whole import whole_matrix
 from pairtide.plans import panels, scenario
 from pairtide.session import stage, staging_root
+from pairtide.sources import runs, sinks
 
 SPEC = PairSpec(lookback=12, lag=1)
 RANGE = lookback.LookbackSpec(min_lookback=8, max_lookback=16, step=2, mode="absolute")
@@ -391,6 +393,29 @@ def features_selected(spark, sf):
     return rounded(model.select(edges).select("end_ts", "feature", "value"), 8)
 
 
+def features_all(spark, sf):
+    """Every feature of every window, absent ones as 0."""
+    edges = _signature_edges(spark, sf)
+    model = features.fit_features(edges, ["end_ts"], features.FeatureSpec(top_k=None))
+    return rounded(model.select(edges).select("end_ts", "feature", "value"), 8)
+
+
+def features_pca_invariants(spark, sf):
+    """All components of twelve features: centred, uncorrelated, and of the whole variance together."""
+    edges = _signature_edges(spark, sf)
+    model = features.fit_features(edges, ["end_ts"], features.FeatureSpec(top_k=12, compression="pca", components=12))
+    scores = model.transform(edges)
+    at = lambda i: F.get("features", F.lit(i))
+    means = [F.abs(F.avg(at(i))) for i in range(12)]
+    cross = [F.abs(F.avg(at(i) * at(j))) for i in range(12) for j in range(i)]
+    falls = [F.var_pop(at(i)) >= F.var_pop(at(i + 1)) - 1e-9 for i in range(11)]
+    total = sum((F.sum(at(i) * at(i)) for i in range(12)), F.lit(0.0))
+    return rounded(scores.agg(
+        F.count(F.lit(1)).alias("windows"), total.alias("variance"), F.greatest(*means).alias("largest_mean"), F.greatest(*cross).alias("largest_cross"),
+        F.array_min(F.array(*[f.cast("int") for f in falls])).alias("sorted"),
+    ), 6)
+
+
 def features_pca(spark, sf):
     edges = _signature_edges(spark, sf)
     spec = features.FeatureSpec(orders=(2,), signature_form="levy", top_k=12, compression="pca", components=6)
@@ -524,6 +549,47 @@ def run_overview(spark, sf):
     return reports.run_overview(_summaries(spark, sf))
 
 
+@panels.once
+def _tree(spark, sf):
+    """A results folder written run by run: two scenarios, metadata for one of them, and an aggregate that is no run."""
+    folder = f"{staging_root(spark)}/runs-{uuid.uuid4().hex}"
+    seeded = F.concat("run", F.lit("_seed"), F.regexp_extract("run", r"(\d+)$", 1)).alias("run_id")
+    for scenario_ in ("weekly", "six_hour"):
+        mine = F.col("scenario") == scenario_
+        series = _runs(spark, sf).where(mine).select(seeded, "end_ts", *metrics.WINDOW_METRICS)
+        table = _summaries(spark, sf).where(mine).select(seeded, "metric", "mean", "median", "std", "max", "min")
+        about = table.select("run_id").distinct().select(
+            "run_id", F.lit(scenario_).alias("scenario"), F.lit("hash").alias("data_price_hash"), F.lit(None).cast("string").alias("git_commit")
+        )
+        sinks.write_run(series, table, folder, metadata=about if scenario_ == "weekly" else None)
+    again = spark.read.parquet(f"{folder}/{runs.SUMMARY_TABLE}").where("run_id LIKE 'weekly%'")
+    sinks.write_run(series.where("false"), again.withColumn("run_id", F.lit("weekly_aggregate")), folder)
+    return spark.createDataFrame([(folder,)], "folder string")
+
+
+def _folder(spark, sf):
+    return _tree(spark, sf).first()["folder"]
+
+
+def runs_from_tree(spark, sf):
+    """What the sink wrote, read back: summaries beside the length of each run's series, aggregates left out."""
+    folder = _folder(spark, sf)
+    sizes = runs.read_run_table(spark, folder, runs.SERIES_TABLE).groupBy("run").agg(F.count(F.lit(1)).alias("windows"))
+    return rounded(runs.read_run_table(spark, folder).drop("modified").join(sizes, "run"), 5)
+
+
+def run_appendix(spark, sf):
+    folder = _folder(spark, sf)
+    listed = runs.read_run_table(spark, folder).select("run", "seed").distinct()
+    return reports.run_appendix(reports.with_metadata(listed, runs.read_run_metadata(spark, folder).drop("seed")))
+
+
+def artifact_findings(spark, sf):
+    folder = _folder(spark, sf)
+    files = runs.table_files(spark, folder).where(runs.is_run(F.col("run")))
+    return quality.run_findings(files, runs.read_run_metadata(spark, folder))
+
+
 # ------------------------------------------------------------------ quality and audits
 
 
@@ -636,6 +702,8 @@ QUERIES = {
     "features_topk": features_topk,
     "features_selected": features_selected,
     "features_pca": features_pca,
+    "features_all": features_all,
+    "features_pca_invariants": features_pca_invariants,
     "run_summaries": run_summaries,
     "seed_stats": seed_stats,
     "bootstrap_ci": bootstrap_ci,
@@ -659,6 +727,9 @@ QUERIES = {
     "welch_lines": welch_lines,
     "significance_subset": significance_subset,
     "run_overview": run_overview,
+    "runs_from_tree": runs_from_tree,
+    "run_appendix": run_appendix,
+    "artifact_findings": artifact_findings,
     "quality": quality_findings,
     "issues": quality_issues,
     "manifest": manifest,

@@ -1,4 +1,4 @@
-"""Reading the result files of earlier runs from a folder tree."""
+"""Reading the results of earlier runs: trees with one folder per run, and tables with one partition per run."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,10 @@ SERIES_FILE = "metrics_timeseries.csv"
 METADATA_FILE = "run_metadata.json"
 STATS_FILE = "stats.csv"
 
+# Tables of a folder that ``sinks.write_run`` fills, and the file of a run folder each stands for.
+SERIES_TABLE, SUMMARY_TABLE, METADATA_TABLE = "metrics_timeseries", "summary", "run_metadata"
+TABLE_FILES = {SUMMARY_TABLE: SUMMARY_FILE, SERIES_TABLE: SERIES_FILE, METADATA_TABLE: METADATA_FILE}
+
 METADATA_SCHEMA = T.StructType(
     [
         T.StructField("config_path", T.StringType()),
@@ -86,6 +90,33 @@ def run_files(spark: SparkSession, root: str) -> DataFrame:
     return listed.select(run_name(F.col("path")).alias("run"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
 
 
+def read_run_table(spark: SparkSession, folder: str, table: str = SUMMARY_TABLE, fmt: str = "parquet", runs_only: bool = True) -> DataFrame:
+    """A table of ``sinks.write_run`` with ``run``, ``seed`` and ``modified`` (time of the run's last file).
+
+    ``runs_only`` leaves out aggregates and folders that are no run (``is_run``). Files of other runs are not opened
+    when the result is filtered by ``run``.
+    """
+    rows = spark.read.format(fmt).option("header", True).option("inferSchema", True).load(f"{folder}/{table}")
+    run = F.col("run_id").cast("string")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != "run_id"]
+    named = rows.select(*kept, run.alias("run"), seed_of(run).alias("seed"), F.col("_metadata.file_modification_time").alias("modified"))
+    return named.where(is_run(F.col("run"))) if runs_only else named
+
+
+def read_run_metadata(spark: SparkSession, folder: str, runs_only: bool = True) -> DataFrame:
+    """Metadata of ``sinks.write_run``, one row per run, with ``run`` and ``seed``."""
+    return read_run_table(spark, folder, METADATA_TABLE, "json", runs_only).drop("modified")
+
+
+def table_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(run, file)`` for every run in the tables of a folder, each table named by the file it stands for; from listing alone."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    table = F.regexp_extract("path", r"([^/]+)/run_id=[^/]+/[^/]+$", 1)
+    file = F.element_at(F.create_map(*[F.lit(v) for pair in TABLE_FILES.items() for v in pair]), table)
+    found = listed.select(F.url_decode(F.regexp_extract("path", r"/run_id=([^/]+)/[^/]+$", 1)).alias("run"), file.alias("file"))
+    return found.where("run <> '' AND file IS NOT NULL").distinct()
+
+
 def read_transitions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

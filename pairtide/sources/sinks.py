@@ -1,18 +1,29 @@
 """Writing results: run tables, statistics, manifests, transitions."""
 
 import json
-from typing import Any, Mapping
+from typing import Any, Mapping, Optional
 
 from pyspark.sql import DataFrame
 
 from pairtide.operators.stats import significant, sorted_pairs
+from pairtide.sources.runs import METADATA_TABLE, SERIES_TABLE, SUMMARY_TABLE
 
 
-def write_run(metrics: DataFrame, summary: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """Metric series and summary, one partition per run."""
-    for table, name in ((metrics, "metrics_timeseries"), (summary, "summary")):
-        writer = table.write.mode("overwrite").partitionBy("run_id")
-        writer.format(fmt).option("header", True).save(f"{folder}/{name}")
+def write_run(metrics: DataFrame, summary: DataFrame, folder: str, fmt: str = "parquet", metadata: Optional[DataFrame] = None) -> None:
+    """Metric series, summary and (as JSON) metadata: one table each, one partition per ``run_id``.
+
+    Writing a run again replaces that run; other runs in the folder stay. ``sources.runs.read_run_table`` and
+    ``read_run_metadata`` read the tables back.
+    """
+    _by_run(metrics, fmt, f"{folder}/{SERIES_TABLE}")
+    _by_run(summary, fmt, f"{folder}/{SUMMARY_TABLE}")
+    if metadata is not None:
+        _by_run(metadata, "json", f"{folder}/{METADATA_TABLE}")
+
+
+def _by_run(table: DataFrame, fmt: str, path: str) -> None:
+    writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+    writer.format(fmt).option("header", True).option("ignoreNullFields", False).save(path)
 
 
 def write_table(table: DataFrame, folder: str, name: str, fmt: str = "csv") -> None:

@@ -56,7 +56,31 @@ def test_components_match_svd(edges, wide):
     assert features.fit_features(edges, ["end_ts"], features.FeatureSpec(top_k=4, compression="pca")).transform(edges).first().features.__len__() == 2
 
 
+def test_components_by_iteration(spark):
+    """More features than directions, absent values, one constant feature: the long form gives the components of the full matrix."""
+    rng = np.random.default_rng(2)
+    latent = rng.normal(size=(40, 3)) * [6.0, 3.0, 1.5]
+    raw = latent @ rng.normal(size=(3, 28)) + 0.05 * rng.normal(size=(40, 28))
+    raw[rng.random(raw.shape) < 0.1] = 0.0
+    raw[:, 4] = 2.5
+    cells = [(w, f"A{k:02d}", "Z", float(raw[w, k])) for w in range(40) for k in range(28) if raw[w, k] != 0]
+    edges = spark.createDataFrame(cells, "w int, asset_i string, asset_j string, value double")
+    model = features.fit_features(edges, ["w"], features.FeatureSpec(top_k=None, compression="pca", components=3))
+    got = np.array([r.features for r in model.transform(edges).orderBy("w").collect()])
+    deviation = raw.std(0)
+    scaled = np.where(deviation > 1e-12, (raw - raw.mean(0)) / np.where(deviation > 1e-12, deviation, 1), 0.0)
+    _, sizes, axes = np.linalg.svd(scaled, full_matrices=False)
+    np.testing.assert_allclose(np.abs(got), np.abs(scaled @ axes[:3].T), atol=1e-5)
+    np.testing.assert_allclose(model.variances, sizes[:3] ** 2 / 40, rtol=1e-6)
+    fresh = edges.where("w < 2")
+    np.testing.assert_allclose([r.features for r in model.transform(fresh).orderBy("w").collect()], got[:2], atol=1e-9)
+
+
 def test_feature_settings():
+    assert features.FeatureSpec.from_dict({}) == features.FeatureSpec()
+    assert features.FeatureSpec.from_dict({"top_k": None, "orders": 3, "min_magnitude": 1, "compression": None, "sig_method": "levy"}) == features.FeatureSpec(
+        orders=(3,), top_k=None, min_magnitude=1.0, signature_form="levy"
+    )
     spec = features.FeatureSpec.from_dict({"orders": [2, 3], "top_k": 12, "compression": {"method": "pca", "n_components": 6}})
     assert spec.orders == (2, 3) and spec.components == 6
     with pytest.raises(ValueError):
@@ -167,6 +191,34 @@ def test_sinks_and_cloning(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "data_manifest")).count() == 1
 
 
+def test_runs_of_a_folder_stay(spark, tmp_path):
+    """A second run does not touch the first; a run written again is replaced; aggregates are no runs."""
+    folder = str(tmp_path / "results")
+    for run, value in (("a_seed3_x", 1.0), ("b_x", 2.0), ("a_aggregate", 9.0), ("a_seed3_x", 5.0)):
+        table = spark.createDataFrame([(run, "m", value)], "run_id string, metric string, mean double")
+        about = spark.createDataFrame([(run, None, "abc")], "run_id string, data_price_hash string, git_commit string")
+        sinks.write_run(table, table, folder, metadata=None if run == "b_x" else about)
+    for name in (runs.SUMMARY_TABLE, runs.SERIES_TABLE):
+        assert {(r.run, r["mean"], r.seed) for r in runs.read_run_table(spark, folder, name).collect()} == {("a_seed3_x", 5.0, 3), ("b_x", 2.0, None)}
+    assert runs.read_run_table(spark, folder, runs_only=False).count() == 3
+    assert [(r.run, r.git_commit) for r in runs.read_run_metadata(spark, folder).collect()] == [("a_seed3_x", "abc")]
+    files = runs.table_files(spark, folder).where(runs.is_run(F.col("run")))
+    found = {tuple(r) for r in quality.run_findings(files, runs.read_run_metadata(spark, folder)).collect()}
+    assert found == {("b_x", "ERROR", "no_file", "run_metadata.json"), ("a_seed3_x", "WARN", "no_value", "data_price_hash")}
+    sinks.write_run(table, table, str(tmp_path / "csv"), "csv")
+    assert runs.read_run_table(spark, str(tmp_path / "csv"), fmt="csv").first()["mean"] == 5.0
+
+
+def test_event_log(spark):
+    rows = [(9, 2, "b", 1.0, 5), (9, 2, "a", 2.0, 4), (9, 1, "b", 3.0, 7), (7, 3, "c", None, 1), (None, 1, "a", 1.0, 2), (7, None, "a", 1.0, 3)]
+    events = spark.createDataFrame(rows, "u int, h int, k string, v double, id int").withColumn("t", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, h)"))
+    log = {(r.episode, r.step): r for r in offline.logged_events(events, "u", "t", "id", "k", "v").collect()}
+    assert sorted(log) == [(7, 0), (9, 0), (9, 1), (9, 2)]
+    assert log[9, 0].observation == [0.0, -1.0, 0.0, 0.0] and log[9, 0].action == 1 and not log[9, 0].done
+    assert log[9, 1].observation == [3.0, 1.0, 1.0, 1.0] and log[9, 1].reward == 2.0
+    assert log[9, 2].observation == [2.0, 0.0, 0.0, 2.0] and log[9, 2].done and log[7, 0].done
+
+
 def test_manifest_hash(spark, tmp_path):
     import hashlib
 
