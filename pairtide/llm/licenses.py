@@ -3,9 +3,10 @@
 All word k-grams of all texts are joined with the k-gram positions of the notices. A hit at word ``i`` of a
 text and word ``j`` of a notice votes for the diagonal ``i - j``; a notice that stands in a text unchanged has all its
 votes on one diagonal, one with a word more or less has them on neighbouring ones, which are merged. A span
-is kept if the votes cover enough of the notice and lie no wider than it.
+is kept if the votes cover enough of the notice and lie no wider than it. Where spans of the method's notices overlap, the one with the
+most votes stands (a license's name is often part of another's).
 
-The positions come from the list below, so the table that is broadcast does not grow with the data.
+The positions come from fixed lists (``notices``), so the table that is broadcast does not grow with the data.
 """
 
 from collections.abc import Iterator
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairtide.llm import words as W
+from pairtide.llm.notices import IDENTIFIERS, NAMES, TEXTS
 from pairtide.llm.tables import texts
+from pairtide.session import stage
 
 #: Words are runs of letters, digits and everything above ASCII, lower-cased A-Z.
 TERM = W.byte_table([b for b in range(128) if not chr(b).isalnum()], lower=True)
@@ -42,20 +45,11 @@ BASE = (
     Notice("reserved", "all rights reserved", 2, True),
 )
 
-#: Notices of the method: the short forms in which licenses are usually named.
+#: Notices of the method: full texts, names, and identifiers with every word in its place.
 NOTICES = (
-    Notice("apache-2.0", "licensed under the apache license version 2 0"),
-    Notice("cc-by-nc", "licensed under cc by nc 4 0"),
-    Notice("cc-by-sa", "licensed under cc by sa 4 0"),
-    Notice("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
-    Notice("gpl-3.0", "licensed under the gnu general public license version 3", share=1.0),
-    Notice("gpl-2.0", "licensed under the gnu general public license version 2", share=1.0),
-    Notice("lgpl", "gnu lesser general public license"),
-    Notice("mit", "released under the mit license"),
-    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Notice("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
-    Notice("unlicense", "this is free and unencumbered software released into the public domain"),
+    *(Notice(label, text, share=share) for label, text, share in TEXTS),
+    *(Notice(label, name, share=1.0) for label, name in NAMES),
+    *(Notice(label, f"spdx license identifier {name}", share=1.0) for name, label in IDENTIFIERS.items()),
 )
 
 
@@ -133,9 +127,25 @@ def license_spans(docs: DataFrame, spec: LicenseSpec = LicenseSpec()) -> DataFra
     end = F.col("last") + F.col("k")
     stands = F.when(F.col("exact"), F.col("votes") == need).otherwise((share >= F.col("least")) & (end - F.col("start") <= F.col("size") + spec.slack))
     words = F.when(F.col("notice").isNull(), -1 - F.col("start"))
-    return merged.where(F.col("notice").isNull() | stands).select(
-        "row", "doc_id", words.cast("long").alias("n_words"), "notice", F.when(F.col("notice").isNotNull(), F.col("start")).cast("long").alias("start"), end.cast("long").alias("end"), share.alias("share")
+    kept = merged.where(F.col("notice").isNull() | stands).select(
+        "row", "doc_id", words.cast("long").alias("n_words"), "notice", F.when(F.col("notice").isNotNull(), F.col("start")).cast("long").alias("start"), end.cast("long").alias("end"), share.alias("share"),
+        "votes", F.coalesce("exact", F.lit(True)).alias("sure"),
     )
+    return _without_rivals(stage(kept, "license_spans"), max(len(_hashes(n.text)) for n in spec.notices) + spec.slack)
+
+
+def _without_rivals(spans: DataFrame, widest: int) -> DataFrame:
+    """Spans without those that overlap one of more votes; ``sure`` ones are neither rivals nor have any.
+
+    Spans meet by stretches of the widest span's length, so a text with very many notices is compared stretch by stretch.
+    """
+    rank = F.struct("votes", "share", (-F.col("notice")).alias("turn")).alias("rank")
+    stretches = F.explode(F.sequence(F.floor(F.col("start") / widest), F.floor((F.col("end") - 1) / widest))).alias("stretch")
+    open_ = spans.where("not sure").select("row", "notice", "start", "end", rank, stretches)
+    other = open_.select("row", "stretch", F.col("start").alias("a"), F.col("end").alias("b"), F.col("rank").alias("other"))
+    lost = open_.join(other, ["row", "stretch"]).where((F.col("a") < F.col("end")) & (F.col("b") > F.col("start")) & (F.col("other") > F.col("rank")))
+    lost = lost.select("row", "notice", "start").distinct()
+    return spans.join(lost, ["row", "notice", "start"], "left_anti").select("row", "doc_id", "n_words", "notice", "start", "end", "share")
 
 
 def license_scan(docs: DataFrame, spec: LicenseSpec = LicenseSpec()) -> DataFrame:

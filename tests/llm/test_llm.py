@@ -301,6 +301,28 @@ def test_dictionary_of_all_documents(docs, plain, nothing):
     assert dictionary(docs, SecretSpec(sample=20)) == expected and len(expected) > 1000 and dictionary(nothing) == []
 
 
+LICENSE_LINES = {
+    "Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0",
+    "# SPDX-License-Identifier: Apache-2.0": "apache-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0", "SPDX-License-Identifier: MIT": "mit",
+    "SPDX-License-Identifier: CC-BY-NC-SA-4.0": "cc-by-nc-sa", "under the Mozilla Public License, Version 2.0": "mpl-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "mit",
+    "it under the terms of the GNU Affero General Public License as published by": "agpl-3.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.": "gpl-2.0",
+    "Licensed under the GNU General Public License version 3": "gpl-3.0", "a creative commonplace about the public license of nobody": "",
+}
+
+
+def test_license_lines(spark):
+    """Names that are part of other names, identifiers, headers and permissions; also two licenses side by side and a long text."""
+    lines = [*LICENSE_LINES, "SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC", "SPDX-License-Identifier: MIT " + LONG + " Mozilla Public License Version 2.0"]
+    want = [*LICENSE_LINES.values(), "isc,mit", "mit,mpl-2.0"]
+    rows = license_scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    said = {r.doc_id: ",".join(x for x in r.labels.split(",") if x not in ("cc-by", "gpl", "reserved")) for r in rows}
+    assert [said[i] for i in range(len(lines))] == want
+
+
 def test_licenses(docs, plain, spark, awkward, nothing):
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
