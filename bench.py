@@ -16,6 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from pairtide.config import PairSpec, RoleSpec  # noqa: E402
 from pairtide.operators import metrics, roles, timeline, windows  # noqa: E402
+from pairtide.operators.whole import whole_matrix  # noqa: E402
 from pairtide.plans import catalog, panels, scenario  # noqa: E402
 from pairtide.session import local_session  # noqa: E402
 
@@ -44,13 +45,14 @@ def main() -> None:
     timed("rolling_edges_full", daily_edges)
     timed("rolling_metrics_full", lambda: metrics.rolling_metrics(panels.name_day(spark, sf_dir), DAILY))
     timed("rolling_edges_120_days", lambda: scenario.rolling_edges(timeline.limit_days(panels.name_day(spark, sf_dir), 120), DAILY))
-    timed("roles_full", lambda: roles.role_pairs(roles.roles(daily_edges(), ["end_ts"], RoleSpec()), ["end_ts"]))
+    timed("roles_full", lambda: roles.role_pairs(scenario.window_roles(panels.name_day(spark, sf_dir), DAILY, RoleSpec()), ["end_ts"]))
+    timed("single_matrix_full", lambda: whole_matrix(panels.name_day(spark, sf_dir), PairSpec(method="ccf_auc", max_lag=10)))
     timed("signature_full", lambda: daily_edges(PairSpec(method="signature", lookback=30, signature_form="levy")))
     timed("spearman_full", lambda: daily_edges(PairSpec(lookback=30, correlation="spearman")))
     for name in (
         "bars_ohlc", "returns", "ccf_lag_pearson", "ccf_lag_kendall", "ccf_lag_dcor", "ccf_lag_mi", "ccf_auc", "ccf_max_lag",
         "signature_by_std", "universe_filtered", "gated_ffill", "metrics_timeseries", "metrics_common", "adaptive_lookback",
-        "rewards", "features_topk", "seed_stats", "bootstrap_ci", "kpis", "walk_forward", "placebo", "quality",
+        "rewards", "features_topk", "features_all", "seed_stats", "bootstrap_ci", "kpis", "walk_forward", "placebo", "quality",
     ):
         timed(name, lambda q=catalog.QUERIES[name]: q(spark, sf_dir))
     windows_full = windows.rolling_windows(timeline.calendar(panels.name_day(spark, sf_dir)), DAILY).count()

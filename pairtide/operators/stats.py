@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from pairtide.functions.measures import text_hash
 from pairtide.functions.special import t_test_p
+from pairtide.operators.scan import before_each
 from pairtide.operators.timeline import dense_positions
+from pairtide.session import stage
 
 # Bootstrap size, normal quantile of the 95 % interval, smallest sample of a pairwise test.
 RESAMPLES = 2000
 NORMAL_95 = 1.96
 PAIR_TEST_MINIMUM = 5
+P_RANGES = 64  # ranges of p-values per halving
 STATISTICS = ("mean", "median", "std", "max", "min")
 
 
@@ -148,18 +151,35 @@ def pairwise_tests(series: DataFrame, name: str, metrics: Sequence[str]) -> Data
         .withColumns({**welch_columns(), "cohens_d": cohens_d()})
         .withColumn("p_value", t_test_p("t_stat", "df"))
     )
-    return q_values(tested, ["metric"], "p_value", [f"{name}_a", f"{name}_b"]).select(
+    return q_values(tested, ["metric"], "p_value").select(
         "metric", f"{name}_a", f"{name}_b", "n_a", "n_b", "t_stat", "df", "p_value", "cohens_d", "q_value"
     )
 
 
-def q_values(tests: DataFrame, keys: Sequence[str], p: str, ties: Sequence[str]) -> DataFrame:
-    """Benjamini-Hochberg q-values. Missing p-values count as tests and get no q-value."""
-    group = Window.partitionBy(*keys)
-    ordered = group.orderBy(F.col(p).isNull(), p, *ties)
-    tested = tests.withColumn("_q", F.col(p) * F.count(F.lit(1)).over(group) / F.row_number().over(ordered))
-    onward = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return tested.withColumn("q_value", F.when(F.col(p).isNotNull(), F.min("_q").over(onward))).drop("_q")
+def q_values(tests: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
+    """Benjamini-Hochberg q-values. Missing p-values count as tests and get no q-value.
+
+    Equal p-values have equal q-values, so tests are counted by p-value first. Ranges of p-values (``P_RANGES`` an octave) are
+    ranked and searched on their own; the tests before a range and the least value behind it come from prefix scans, so any
+    number of tests of one key is spread over its ranges.
+    """
+    keys = list(keys)
+    counted = tests.groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_tests"))
+    octave = F.when(F.col("_p") > 0, F.floor(F.log2("_p") * P_RANGES)).otherwise(F.lit(-1100 * P_RANGES))
+    known = stage(counted.where(F.col("_p").isNotNull()).withColumn("_range", octave.cast("long")), "p_values")
+    sums = known.groupBy(*keys, "_range").agg(F.sum("_n").alias("_held"))
+    earlier = before_each(sums, keys, "_range", "_held", lambda a, b: a + b, F.lit(0), "_before")
+    line = Window.partitionBy(*keys, "_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.col("_before") + F.sum("_n").over(line)
+    placed = known.join(earlier, [*keys, "_range"]).join(sizes, keys).withColumn("_q", F.col("_p") * F.col("_tests") / rank)
+    placed = stage(placed.select(*keys, "_p", "_range", "_q"), "q_values")
+    least = placed.groupBy(*keys, (-F.col("_range")).alias("_back")).agg(F.min("_q").alias("_least"))
+    behind = before_each(least, keys, "_back", "_least", lambda a, b: F.least(a, b), F.lit(None).cast("double"), "_behind")
+    onward = Window.partitionBy(*keys, "_range").orderBy("_p").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = placed.join(behind.withColumn("_range", -F.col("_back")).drop("_back"), [*keys, "_range"])
+    found = found.select(*keys, F.col("_p").alias(p), F.least(F.min("_q").over(onward), "_behind").alias("q_value"))
+    return tests.join(found, [*keys, p], "left").select(*tests.columns, "q_value")
 
 
 def p_matrix(tests: DataFrame, name: str, names: Sequence[str]) -> DataFrame:

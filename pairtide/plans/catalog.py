@@ -497,7 +497,7 @@ def p_matrix(spark, sf):
 def bh_qvalues(spark, sf):
     """False discovery correction of given p-values, here a fixed function of the t statistics."""
     given = _pair_tests(spark, sf).drop("q_value").withColumn("p", F.round(F.exp(-F.abs("t_stat") / 4), 4))
-    return rounded(stats.q_values(given, ["metric"], "p", ["run_a", "run_b"]).select("metric", "run_a", "run_b", "p", "q_value"))
+    return rounded(stats.q_values(given, ["metric"], "p").select("metric", "run_a", "run_b", "p", "q_value"))
 
 
 def run_pivot(spark, sf):

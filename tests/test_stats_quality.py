@@ -69,11 +69,29 @@ def test_constant_samples_give_no_statistic(spark):
 def test_q_values(spark):
     p = [0.01, 0.04, 0.03, 0.5, None]
     tests = spark.createDataFrame([("m", f"t{i}", v) for i, v in enumerate(p)], "metric string, t string, p double")
-    got = {r.t: r.q_value for r in stats.q_values(tests, ["metric"], "p", ["t"]).collect()}
+    got = {r.t: r.q_value for r in stats.q_values(tests, ["metric"], "p").collect()}
     want = {"t0": 0.05, "t1": 0.04 * 5 / 3, "t2": 0.04 * 5 / 3, "t3": 0.5 * 5 / 4, "t4": None}
     assert got == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
 
 
+def test_q_values_of_many_tests(spark):
+    """Thousands of tests over many ranges, a third of them equal, zeros and ones and missing ones among them, two keys."""
+    rng = np.random.default_rng(11)
+    values = {"a": np.concatenate([rng.random(2000) ** 6, np.full(1000, 0.03), np.zeros(5), np.ones(5)]), "b": rng.random(3)}
+    rows = [(k, float(p)) for k, v in values.items() for p in v] + [("a", None), ("b", None), ("c", None)]
+    got = stats.q_values(spark.createDataFrame(rows, "metric string, p double"), ["metric"], "p").collect()
+    assert len(got) == len(rows) and all((r.q_value is None) == (r.p is None) for r in got)
+    for key, v in values.items():
+        order = np.sort(v)
+        q = np.minimum.accumulate((order * (len(v) + 1) / np.arange(1, len(v) + 1))[::-1])[::-1]
+        want = {}
+        for p, x in zip(order, q):
+            want[p] = x  # the last of equal ones
+        for r in got:
+            if r.metric == key and r.p is not None:
+                assert abs(r.q_value - want[r.p]) < 1e-12
+
+
 def test_kpis_choose_columns_per_run(spark):
     frame = pd.DataFrame(
         {"run": ["x"] * 6 + ["y"] * 8 + ["z"] * 2, "t": list(range(6)) + list(range(8)) + [0, 1],
