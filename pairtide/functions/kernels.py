@@ -19,11 +19,16 @@ def _unit(values, on_constant):
 
 def _average_ranks(values):
     """Ranks from 1 with ties sharing their mean rank."""
-    ordered = np.sort(values, axis=-1)
-    flat, sorted_flat = values.reshape(-1, values.shape[-1]), ordered.reshape(-1, values.shape[-1])
-    ranks = np.empty_like(flat)
-    for row, line, out in zip(flat, sorted_flat, ranks):
-        out[:] = (np.searchsorted(line, row, "left") + np.searchsorted(line, row, "right") + 1) / 2.0
+    flat = values.reshape(-1, values.shape[-1])
+    order = np.argsort(flat, axis=1, kind="stable")
+    ordered = np.take_along_axis(flat, order, axis=1)
+    fresh = np.ones(ordered.shape, dtype=bool)
+    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    tied = np.cumsum(fresh) - 1
+    place = np.tile(np.arange(1.0, flat.shape[1] + 1), len(flat))
+    mean = np.bincount(tied, weights=place) / np.bincount(tied)
+    ranks = np.empty(flat.shape)
+    np.put_along_axis(ranks, order, mean[tied].reshape(flat.shape), axis=1)
     return ranks.reshape(values.shape)
 
 

@@ -12,7 +12,7 @@ from pairtide.operators import bars, features, kpis, lookback, metrics, offline,
 from pairtide.operators import stats, timeline, universe, windows
 from pairtide.operators.whole import whole_matrix
 from pairtide.plans import panels, scenario
-from pairtide.session import stage, staging_root
+from pairtide.session import stage, staged_folder
 from pairtide.sources import runs, sinks
 
 SPEC = PairSpec(lookback=12, lag=1)
@@ -23,7 +23,6 @@ MAXIMUM = 15
 GAP_WINDOW = 20
 DAYS = 120
 EMA_ALPHA = 0.3
-BRANDS = tuple(f"Brand#{i}" for i in range(1, 26))
 
 
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
@@ -204,7 +203,9 @@ def matrix_snapshot(spark, sf):
     ends = bounds.select(F.explode(F.array("a", "b")).alias("end_pos")).distinct()
     chosen = listed.join(ends, "end_pos", "left_semi")
     edges = pairs.pair_edges(week, chosen, SPEC).join(chosen, ["start_pos", "end_pos"])
-    return rounded(reports.matrix_snapshot(edges, BRANDS))
+    # a column per asset of the panel: a wide matrix needs its names beforehand
+    names = [r.asset for r in week.select("asset").distinct().orderBy("asset").collect()]
+    return rounded(reports.matrix_snapshot(edges, names))
 
 
 def row_scores(spark, sf):
@@ -552,7 +553,7 @@ def run_overview(spark, sf):
 @panels.once
 def _tree(spark, sf):
     """A results folder written run by run: two scenarios, metadata for one of them, and an aggregate that is no run."""
-    folder = f"{staging_root(spark)}/runs-{uuid.uuid4().hex}"
+    folder = f"{staged_folder(spark)}/runs-{uuid.uuid4().hex}"
     seeded = F.concat("run", F.lit("_seed"), F.regexp_extract("run", r"(\d+)$", 1)).alias("run_id")
     for scenario_ in ("weekly", "six_hour"):
         mine = F.col("scenario") == scenario_
@@ -634,7 +635,7 @@ def stream_bars(spark, sf):
     observed = streamed.select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("asset"), (F.col("value") + 1).alias("price")
     )
-    root = f"{staging_root(spark)}/pairtide/stream-{uuid4().hex}"
+    root = f"{staged_folder(spark)}/stream-{uuid4().hex}"
     return rounded(run_to_end(streaming_bars(observed), f"{root}/bars", f"{root}/progress"))
 
 

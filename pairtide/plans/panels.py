@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairtide.operators.bars import resample
 from pairtide.operators.timeline import index_panel
-from pairtide.session import stage
+from pairtide.session import clear_staged, stage, staged_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +41,30 @@ def _indexed(bars: DataFrame, name: str) -> DataFrame:
 _BUILT = {}
 
 
+def _state_of(spark: SparkSession, sf_dir: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return (staged_folder(spark), *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed))
+
+
+def forget_staged(spark: SparkSession) -> None:
+    """Delete what this application staged, derived panels included; later queries build them again."""
+    for key in [k for k in _BUILT if k[0] == spark.sparkContext.applicationId]:
+        del _BUILT[key]
+    clear_staged(spark)
+
+
 def once(build):
-    """Build a table once per application and data folder; later queries read the staged table."""
+    """Build a table once per application and state of a data folder; later queries read the staged table.
+
+    The state is what a listing of the folder says of its tables: names, sizes and times of change.
+    """
 
     def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
-        if key not in _BUILT:
-            _BUILT[key] = build(spark, sf_dir)
-        return _BUILT[key]
+        key, state = (spark.sparkContext.applicationId, sf_dir, build.__name__), _state_of(spark, sf_dir)
+        if _BUILT.get(key, (None,))[0] != state:
+            _BUILT[key] = state, build(spark, sf_dir)
+        return _BUILT[key][1]
 
     cached.__name__ = build.__name__
     return cached

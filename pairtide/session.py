@@ -45,11 +45,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     statistics, and a lost executor costs a re-read instead of a recomputation.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/pairtide/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_folder(spark: SparkSession) -> str:
+    """Where this application's staged tables lie."""
+    return f"{staging_root(spark)}/pairtide/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> bool:
+    """Delete the tables this application staged, when none of its results is read any more; whether there were any.
+
+    Results are lazy, so nothing is deleted by itself.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for stages that are heavy in compute but small in bytes.
 

@@ -248,3 +248,18 @@ def test_overview_keeps_the_exponent(spark):
     rows = spark.createDataFrame([(f"r{i}", "m", v) for i, v in enumerate(values)], "run string, metric string, mean double")
     shown = [r["mean"] for r in reports.run_overview(rows).collect()]
     assert shown == ["%.6g" % v for v in values]
+
+
+# the last test of this file: it deletes what the session staged
+def test_panels_follow_their_files(spark, tmp_path):
+    """A derived panel is built once, again after its files changed, and again after the staged tables were cleared."""
+    from pairtide.plans import panels
+
+    events = spark.sql("SELECT timestamp'2024-01-01 00:00:00' ts, 'a' event_type, CAST(id AS DOUBLE) value FROM range(4)")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    first = panels.event_6h(spark, str(tmp_path))
+    assert panels.event_6h(spark, str(tmp_path)) is first and first.first().price == 2.5
+    events.where("value > 1").write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert panels.event_6h(spark, str(tmp_path)).first().price == 3.5
+    panels.forget_staged(spark)
+    assert panels.event_6h(spark, str(tmp_path)).first().price == 3.5
