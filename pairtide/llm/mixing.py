@@ -29,7 +29,7 @@ _STEP = 4096
 class MixSpec:
     """Sources in order of name, null last, weigh ``weights``, repeating, and share ``share`` of all words; none gives more than
     ``passes`` times its size. ``block``: words of a block; ``shard``: blocks of an output shard; ``rounds`` of a
-    permutation; ``bucket``: documents whose words are counted up in one task."""
+    permutation; ``bucket``: documents whose words are counted up in one task; ``task``: slots worked out in one."""
 
     weights: tuple[float, ...] = (5, 2, 1)
     share: float = 1.0
@@ -38,6 +38,7 @@ class MixSpec:
     shard: int = 1024
     rounds: int = 24
     bucket: int = 4096
+    task: int = 100_000
     seed: int = 11
 
 
@@ -132,7 +133,11 @@ def _streams(docs: DataFrame, spec: MixSpec, id_col: str, text_col: str, source_
 
 
 def _draws(sources: DataFrame, spec: MixSpec) -> DataFrame:
-    """``(src, blocks, shard, start, n)``: shard takes the slots ``start`` to ``start + n - 1`` of the source."""
+    """``(src, blocks, shard, start, n)``: shard takes the slots ``start`` to ``start + n - 1`` of the source.
+
+    Joins of rows that were multiplied before are merge joins by hint: their size is not what a plan's estimate says,
+    so it must not decide for a broadcast.
+    """
     blocks = F.ceil(F.col("source_size") / spec.block)
     sized = stage(
         sources.where("source_size > 0").select("src", blocks.alias("blocks"), F.round(blocks * F.col("target") / F.col("source_size")).cast("long").alias("slots")),
@@ -153,7 +158,7 @@ def _draws(sources: DataFrame, spec: MixSpec) -> DataFrame:
         spark = sources.sparkSession
         hits = numbers(spark.range(shards - 1).select(F.col("id").alias("shard")), F.lit(1), F.lit(left), "draw")
         hits = hits.withColumn("u", F.pmod(F.xxhash64(F.lit(spec.seed), "shard", "draw"), F.lit(left * total))).withColumn("cell", F.floor(F.col("u") / width))
-        met = hits.join(cells, "cell").where("u >= low AND u < low + part")
+        met = hits.hint("merge").join(cells, "cell").where("u >= low AND u < low + part")
         drawn = drawn.unionByName(met.groupBy("src", "blocks", "slots", "shard").agg(F.count("*").alias("n")))
     drawn = stage(drawn.groupBy("src", "blocks", "slots", "shard").agg(F.sum("n").alias("n")), "draws")
     placed = running(drawn, ["src"], "shard", "n", "start")
@@ -161,7 +166,7 @@ def _draws(sources: DataFrame, spec: MixSpec) -> DataFrame:
     sums = drawn.groupBy("src").agg(F.sum("n").alias("start"))
     rest = sized.join(sums, "src", "left").withColumn("start", F.coalesce("start", F.lit(0)))
     last = rest.select("src", "blocks", F.lit(shards - 1).cast("long").alias("shard"), "start", (F.col("slots") - F.col("start")).alias("n"))
-    return taken.unionByName(last).where("n > 0")
+    return taken.unionByName(last).where("n > 0").repartition(max(1, -(-total // spec.task)), "src", "shard")
 
 
 def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
@@ -188,7 +193,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
     parts = numbers(rows.where("size > 0"), F.floor(F.col("first") / length), F.floor((F.col("first") + F.col("size") - 1) / length), "block")
     low, high = F.greatest("first", F.col("block") * length), F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * length)
     parts = parts.select("src", "block", "doc_id", "first", (low - F.col("first")).alias("start"), (high - low).alias("length"))
-    spans = slots.join(parts, ["src", "block"]).select("shard", "place", "src", "copy_no", "doc_id", "first", "start", "length")
+    spans = slots.hint("merge").join(parts, ["src", "block"]).select("shard", "place", "src", "copy_no", "doc_id", "first", "start", "length")
     return Mix(rows, sources, slots, spans)
 
 
