@@ -23,7 +23,11 @@ def require_history(indexed: DataFrame, spec: PairSpec) -> None:
 
 
 def rolling_edges(indexed: DataFrame, spec: PairSpec, universe: Optional[DataFrame] = None) -> DataFrame:
-    """Edges of all rolling windows with their end timestamp; with a universe, of its members only."""
+    """Edges of all rolling windows with their end timestamp; with a universe, of its members only.
+
+    A panel too short for a single window is an error, here and in the metrics and roles of a universe.
+    """
+    require_history(indexed, spec)
     windows = rolling_windows(calendar(indexed), spec)
     members = None if universe is None else window_members(windows, universe, indexed).select("end_pos", "asset")
     plain = windows.select("start_pos", "end_pos", "end_ts")
@@ -37,6 +41,7 @@ def fixed_metrics(indexed: DataFrame, lookbacks: Sequence[int], spec: PairSpec)
 
 def universe_windows(indexed: DataFrame, spec: PairSpec, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Windows with at least two members, each with the one before it, and their members ``(end_pos, asset, place)``."""
+    require_history(indexed, spec)
     windows = rolling_windows(calendar(indexed), spec).select("start_pos", "end_pos", "end_ts")
     listed = window_members(windows, universe, indexed).groupBy("end_pos", "asset").agg(F.min("rank").alias("place"))
     members = stage(listed, "window_members")
@@ -55,6 +60,7 @@ def universe_metrics(indexed: DataFrame, spec: PairSpec, universe: DataFrame, mo
 
 def window_roles(indexed: DataFrame, spec: PairSpec, role: RoleSpec, universe: Optional[DataFrame] = None) -> DataFrame:
     """Leaders and followers ``(end_pos, end_ts, role, asset, score)`` of all rolling windows, without storing edges."""
+    require_history(indexed, spec)
     if universe is None:
         windows, members = rolling_windows(calendar(indexed), spec).select("start_pos", "end_pos", "end_ts"), None
     else:

@@ -4,7 +4,7 @@ import pytest
 from helpers import edge_dict, indexed_panel, matrix, wide_panel, window_returns
 from pyspark.sql import functions as F
 
-from pairtide.config import PairSpec
+from pairtide.config import PairSpec, RoleSpec
 from pairtide.functions import measures
 from pairtide.operators import roles, metrics, pairs, timeline, windows
 from pairtide.plans import scenario
@@ -243,7 +243,9 @@ def test_placebo_windows(spark, wide, indexed):
 
 def test_short_panel_is_refused(indexed):
     with pytest.raises(ValueError):
-        scenario.require_history(indexed, PairSpec(lookback=60))
+        scenario.rolling_edges(indexed, PairSpec(lookback=60))
+    with pytest.raises(ValueError):
+        scenario.window_roles(indexed, PairSpec(lookback=60), RoleSpec())
     scenario.require_history(indexed, PairSpec(lookback=59))
 
 
