@@ -663,6 +663,8 @@ ORACLE["interval_lines"] = with_(
 ORACLE["run_overview"] = with_(
     SUMMARIES, "SELECT run, metric, " + ", ".join(f"printf('%.6g', {c}) AS {c}" for c in ("mean", "median", "max", "std")) + " FROM summaries"
 )
+ORACLE["stream_overview"] = ORACLE["run_overview"]
+ORACLE["stream_ema"] = ORACLE["ema_metrics"]
 
 # ------------------------------------------------------------------ tail of the t distribution
 

@@ -12,8 +12,10 @@ from pairtide.operators import bars, features, kpis, lookback, metrics, offline,
 from pairtide.operators import stats, timeline, universe, windows
 from pairtide.operators.whole import whole_matrix
 from pairtide.plans import panels, scenario
-from pairtide.session import stage, staged_folder
+from pairtide.session import stage, staged_folder, task_count
 from pairtide.sources import runs, sinks
+from pairtide.streaming import series
+from pairtide.streaming.bars import run_to_end, streaming_bars
 
 SPEC = PairSpec(lookback=12, lag=1)
 RANGE = lookback.LookbackSpec(min_lookback=8, max_lookback=16, step=2, mode="absolute")
@@ -266,7 +268,7 @@ def sig_features(spark, sf):
     return rounded(metrics.score_features(stage(_edges(spark, sf, spec), "edges"), ["end_ts"]))
 
 
-def ema_metrics(spark, sf):
+def _named_metrics(spark, sf):
     found = metrics.rolling_metrics(_week(spark, sf), SPEC).withColumn("seq", F.col("end_pos") - SPEC.lookback)
     named = found.select(
         F.lit("run").alias("run"), "seq", "end_ts",
@@ -275,7 +277,11 @@ def ema_metrics(spark, sf):
         F.coalesce("stability_matrix_corr", F.lit(0.0)).alias("stability_matrix"),
         F.coalesce("stability_rowsum_corr", F.lit(0.0)).alias("stability_rows"),
     )
-    return rounded(lookback.smoothed(stage(named, "metrics"), ["run"], "seq", EMA_ALPHA).drop("run", "seq"))
+    return stage(named, "metrics")
+
+
+def ema_metrics(spark, sf):
+    return rounded(lookback.smoothed(_named_metrics(spark, sf), ["run"], "seq", EMA_ALPHA).drop("run", "seq"))
 
 
 # ------------------------------------------------------------------ lookbacks and rewards
@@ -626,19 +632,40 @@ def placebo(spark, sf):
 
 
 def stream_bars(spark, sf):
-    from uuid import uuid4
-
-    from pairtide.streaming.bars import run_to_end, streaming_bars
-
     source = panels.table(spark, sf, "events")
     streamed = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     observed = streamed.select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("asset"), (F.col("value") + 1).alias("price")
     )
-    root = f"{staged_folder(spark)}/stream-{uuid4().hex}"
+    root = f"{staged_folder(spark)}/stream-{uuid.uuid4().hex}"
     return rounded(run_to_end(streaming_bars(observed), f"{root}/bars", f"{root}/progress"))
 
 
+def _streamed(spark, table: DataFrame, root: str):
+    """``table`` as a stream of its files, half of them in each batch."""
+    files = task_count(spark)
+    table.repartition(files).write.parquet(f"{root}/in")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(f"{root}/in")
+
+
+def stream_ema(spark, sf):
+    """The smoothed metrics from a stream whose rows come out of order, over several batches."""
+    named, root = _named_metrics(spark, sf), f"{staged_folder(spark)}/stream-{uuid.uuid4().hex}"
+    values = [c for c in named.columns if c not in ("run", "seq", "end_ts")]
+    series.keep_state_on_disk(spark)
+    averages = series.streaming_average(_streamed(spark, named, root), "run", "seq", values, EMA_ALPHA)
+    smooth = run_to_end(averages, f"{root}/out", f"{root}/progress", ["run", "seq"], "append")
+    shown = smooth.select("seq", *values, F.col("delta_mean_abs").alias("delta_mean"), F.col("mean_abs").alias("ema_mean_abs"))
+    return rounded(named.select("seq", "end_ts").join(shown, "seq").drop("seq"))
+
+
+def stream_overview(spark, sf):
+    """The overview of runs whose summaries arrive as files; the time a file was written is the time of its rows."""
+    root = f"{staged_folder(spark)}/stream-{uuid.uuid4().hex}"
+    arriving = _streamed(spark, _summaries(spark, sf), root).withColumn("modified", F.col("_metadata.file_modification_time"))
+    return reports.run_overview(run_to_end(series.streaming_summaries(arriving), f"{root}/out", f"{root}/progress", ["run", "metric"]))
+
+
 QUERIES = {
     "bars_weekly": bars_weekly,
     "bars_ohlc": bars_ohlc,
@@ -737,4 +764,6 @@ QUERIES = {
     "walk_forward": walk_forward,
     "placebo": placebo,
     "stream_bars": stream_bars,
+    "stream_ema": stream_ema,
+    "stream_overview": stream_overview,
 }

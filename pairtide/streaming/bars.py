@@ -1,5 +1,7 @@
 """Bars from a stream of observations."""
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ def streaming_bars(observations: DataFrame, span: str = "6 hours", lateness: str
     )
 
 
-def run_to_end(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """Process everything available now into a parquet table and return it: the last state of every bar.
+def run_to_end(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str] = ("ts", "asset"), mode: str = "update") -> DataFrame:
+    """Process everything available now into a parquet table and return it: the last state of every bar, or of what ``keys`` name.
 
     Bars are sent whenever they change, so the bars that the watermark has not passed at the end of a closed input are there too.
     """
@@ -30,9 +32,9 @@ def run_to_end(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
         # one folder per batch: a batch that is run again replaces its own
         changed.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(send).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(send).start()
     query.awaitTermination()
-    kept = [c for c in stream.columns if c not in ("ts", "asset")]
+    kept = [c for c in stream.columns if c not in keys]
     sent = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", folder).parquet(folder)
-    last = sent.groupBy("ts", "asset").agg(F.max_by(F.struct(*kept), "batch").alias("last"))
-    return last.select("ts", "asset", "last.*")
+    last = sent.groupBy(*keys).agg(F.max_by(F.struct(*kept), "batch").alias("last"))
+    return last.select(*keys, "last.*")
