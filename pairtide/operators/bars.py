@@ -5,9 +5,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairtide.session import stage
+
 # The default aggregate of each price type.
 DEFAULT_METHODS = {"open": "first", "high": "max", "low": "min", "close": "last"}
-MEDIAN_RANGES = 1024  # value ranges a group is counted in before its median is sorted out
+SKETCH = 10_000  # accuracy of the quantile sketch that surrounds a median
+MARGIN = 4 / SKETCH  # share of a group taken in on either side of its median
+MEDIAN_RANGES = 1024  # value ranges in which the values around a median are counted before they are sorted
 BAR_METHODS = ("first", "last", "mean", "median", "min", "max")
 
 
@@ -66,45 +70,51 @@ def resample(
 
 
 def ohlc(observations: DataFrame, timeframe: str, order: Column = None) -> DataFrame:
-    """The four bar values in one pass, and the median beside them."""
+    """The four bar values and the median. The observations are read twice: for the values, and for what lies around the medians."""
     by = F.col("ts") if order is None else order
     known = observations.where(F.col("price").isNotNull() & ~F.isnan("price"))
     keys = ["bar_ts", "asset"]
     whole = known.withColumn("bar_ts", bar_start("ts", timeframe))
-    values = whole.groupBy(*keys).agg(
-        *[
-            bar_aggregate(DEFAULT_METHODS[kind], F.col("price"), by).alias(kind)
-            for kind in ("open", "high", "low", "close")
-        ]
-    )
-    return values.join(exact_medians(whole, keys, "price"), keys)
+    kinds = ("open", "high", "low", "close")
+    values = [bar_aggregate(DEFAULT_METHODS[kind], F.col("price"), by).alias(kind) for kind in kinds]
+    bars = stage(whole.groupBy(*keys).agg(*values, *_surroundings("price")), "bars")
+    return bars.select(*keys, *kinds).join(_medians_inside(whole, bars.drop(*kinds), keys, "price"), keys)
 
 
 def exact_medians(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``(keys, median)`` for groups of any size.
+    """``(keys, median)`` for groups of any size, of values that are neither null nor NaN.
 
-    Equal values are counted before they move, counts per value range find the range that
-    holds the middle, and only that range's values are sorted. A bar with a large share of
-    all observations is therefore never held by one task.
+    A mergeable sketch per group gives two values between which the median must lie. Smaller values are only counted;
+    those between, a share of ``2 * MARGIN`` and the sketch's error whatever their distribution, are counted by value and by range
+    of values, and the range that holds the middle is sorted. No task holds a bar with a large share of all observations.
     """
-    keys = list(keys)
-    counted = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_size"))
-    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    ranged = counted.join(bounds, keys).withColumn("_range", F.floor(share * MEDIAN_RANGES))
+    return _medians_inside(rows, stage(rows.groupBy(*keys).agg(*_surroundings(value)), "medians"), list(keys), value)
+
+
+def _surroundings(value: str) -> list[Column]:
+    """Size of a group and values below and above its median. The sketch is off by a share of 1 / SKETCH of the rows at most."""
+    return [F.count(F.lit(1)).alias("_size"), F.percentile_approx(value, [0.5 - MARGIN, 0.5 + MARGIN], SKETCH).alias("_around")]
+
+
+def _medians_inside(rows: DataFrame, groups: DataFrame, keys: list[str], value: str) -> DataFrame:
+    low_value, high_value = F.get("_around", F.lit(0)), F.get("_around", F.lit(1))
+    near = rows.select(*keys, F.col(value).alias("_v")).join(groups.select(*keys, "_around"), keys).where(F.col("_v") <= high_value)
+    # one row for all values below (null), and one for each value inside
+    counted = stage(near.groupBy(*keys, F.when(F.col("_v") >= low_value, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "median_counts")
+    share = F.coalesce(F.try_divide(F.col("_v") - low_value, high_value - low_value), F.lit(0.0))
+    ranged = counted.join(groups, keys).withColumn("_range", F.when(F.col("_v").isNotNull(), F.floor(share * MEDIAN_RANGES)).otherwise(-1)).drop("_around")
     per_range = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_n"), F.max("_size").alias("_size"))
     so_far = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
     middle = (
-        per_range.withColumn("_upto", F.sum("_n").over(so_far))
-        .withColumn("_before", F.col("_upto") - F.col("_n"))
-        .where((F.col("_before") < high) & (F.col("_upto") >= low))
+        per_range.withColumn("_before", F.sum("_n").over(so_far) - F.col("_n"))
+        .where((F.col("_before") < high) & (F.col("_before") + F.col("_n") >= low))
+        .select(*keys, "_range", "_before")
     )
-    near = ranged.drop("_lo", "_hi", "_size").join(middle.select(*keys, "_range", "_before", "_size"), [*keys, "_range"])
     inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = near.withColumn("_last", F.col("_before") + F.sum("_n").over(inside)).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    placed = ranged.join(middle, [*keys, "_range"]).withColumn("_last", F.col("_before") + F.sum("_n").over(inside))
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= rank) & (F.col("_last") >= rank), F.col("_v")))
+        return F.max(F.when((F.col("_last") - F.col("_n") < rank) & (F.col("_last") >= rank), F.col("_v")))
 
     return placed.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
