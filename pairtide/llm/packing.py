@@ -24,12 +24,14 @@ from pairtide.session import stage
 
 @dataclass(frozen=True)
 class PackSpec:
-    """``end_id`` closes every document. ``buckets``: parts that number the pieces of one length in parallel."""
+    """``end_id`` closes every document. ``buckets``: parts that number the pieces of one length in parallel, more where they would
+    hold over ``bucket_rows`` pieces each: all pieces of long documents but their first are of full length."""
 
     capacity: int = 2048
     vocabulary: str = "byte_bpe_50k.json"
     end_id: int = 0
     buckets: int = 64
+    bucket_rows: int = 8192
 
 
 def contract_encoder(vocabulary: str):
@@ -192,10 +194,14 @@ def pack(lengths: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
     Equal rows are told apart by their count, so repeated pieces get places of their own.
     """
     rows = stage(lengths, "pieces")
-    spread = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spec.buckets)))
+    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
+    many = {length: -(-n // spec.bucket_rows) for length, n in counts.items() if n > spec.buckets * spec.bucket_rows}
+    parts = F.lit(spec.buckets)
+    if many:
+        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in many.items() for v in kv]), F.col("length")), parts)
+    spread = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), parts))
     sizes = spread.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("n")
-    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}
     runs = sorted(plan_runs(counts, spec.capacity))
     length, number, _, first, offset = (np.array(c, dtype=np.int64) for c in zip(*runs)) if runs else [np.zeros(0, dtype=np.int64)] * 5
     low = (length << 44) + number
