@@ -7,7 +7,8 @@ products of its halves with them (the sum of distances of this measure, best fir
 a query's best there is a floor, below which the other cells need not report anything.
 
 Work is dealt by the first half's centroid, a query being sent there once with the cells it visits; the vectors of a
-centroid and the queries that meet them are split into blocks, so equal vectors in any number stay spread.
+centroid and the queries that meet them are split into blocks, so equal vectors in any number stay spread. A centroid's
+blocks are dealt to as many shares as they need, each of which gets the centroid's queries.
 """
 
 import heapq
@@ -25,7 +26,7 @@ from pairtide.session import stage
 @dataclass(frozen=True)
 class NearestSpec:
     """``sample`` bounds the vectors the centroids are fitted on (about). ``reach``: share of all different vectors a query meets,
-    ``least`` of them at least. ``ahead``: vectors that set a query's floor."""
+    ``least`` of them at least. ``ahead``: vectors that set a query's floor. ``share``: blocks of a centroid that are scored under one key."""
 
     top: int = 20
     centroids: int = 64
@@ -35,6 +36,7 @@ class NearestSpec:
     least: int = 2000
     ahead: int = 200
     block: int = 512
+    share: int = 64
     seed: int = 9
 
 
@@ -168,10 +170,11 @@ def nearest(vectors: DataFrame, is_query, spec: NearestSpec = NearestSpec(), id_
     blocks = lambda frame, size: frame.withColumn("block", F.pmod(F.xxhash64("vec_id"), size))
     held = {i: sum(size for cell, size in counted.items() if cell // wide == i) for i in range(len(books[0]))}
     parts = F.greatest(F.lit(1), F.ceil(F.element_at(F.create_map(*[F.lit(v) for kv in held.items() for v in kv]), F.col("side")) / spec.block))
+    shares = F.ceil(parts / spec.share)
     there = (
         blocks(index.withColumn("side", F.floor(F.col("cell") / wide).cast("int")), parts)
         .groupBy("side", "block").agg(F.collect_list(F.struct("vec_id", "vec", (F.col("cell") % wide).alias("other"))).alias("all"))
-        .select("side", F.col("all.vec_id").alias("ids"), F.flatten("all.vec").alias("vecs"), F.col("all.other").alias("others"))
+        .select("side", F.pmod("block", shares).alias("share"), F.col("all.vec_id").alias("ids"), F.flatten("all.vec").alias("vecs"), F.col("all.other").alias("others"))
     )
     groups = max(1, -(-n // (20 * spec.block)))
 
@@ -203,8 +206,9 @@ def nearest(vectors: DataFrame, is_query, spec: NearestSpec = NearestSpec(), id_
         here = (
             blocks(queries, F.lit(groups)).groupBy("side", "block").agg(F.collect_list(F.struct("vec_id", "vec", "floor", "cells")).alias("all"))
             .select("side", F.col("all.vec_id").alias("query_ids"), F.flatten("all.vec").alias("query_vecs"), F.col("all.floor").alias("floors"), F.col("all.cells").alias("cells"))
+            .withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
         )
-        both = there.join(here, "side").select("ids", "vecs", "query_ids", "query_vecs", "floors", "cells", "others")
+        both = there.join(here, ["side", "share"]).select("ids", "vecs", "query_ids", "query_vecs", "floors", "cells", "others")
         return both.mapInArrow(score, "query_id long, vec_id long, score double")
 
     none = F.lit(float("-inf"))

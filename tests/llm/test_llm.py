@@ -426,3 +426,8 @@ def test_packing(awkward, nothing):
     full = sequences(pack(cut, spec)).collect()
     assert sum(len(r.ids) for r in full) == 4 * packed.length.sum()
     assert pack(pieces(nothing, spec), spec).count() == 0
+    # a length with more pieces than its buckets should hold gets more of them
+    hot = [(i, 0, 512 if i % 3 else 100) for i in range(300)]
+    placed = pack(cut.sparkSession.createDataFrame(hot, "doc_id long, piece int, length long"), PackSpec(capacity=512, buckets=2, bucket_rows=7)).toPandas()
+    assert len(placed) == 300 and not placed.duplicated(["sequence_id", "offset"]).any()
+    assert placed.groupby("sequence_id").length.sum().max() <= 512 and placed.sequence_id.nunique() == 200 + 20
