@@ -175,14 +175,16 @@ class AdditiveModel:
 def train_quality(described: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec()) -> AdditiveModel | None:
     """A model from labelled documents, about ``sample`` of them by a seeded draw.
 
-    Documents labelled both ways are left out. None if no label meets a document.
+    Documents labelled both ways are left out; of rows that share a labelled id one counts (with the smallest features), so
+    what reaches the driver is bounded by the draw. None if no label meets a document.
     """
     clear = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
     n = clear.count()
     if not n:
         return None
     drawn = clear.sample(fraction=min(1.0, spec.sample / n), seed=spec.seed).select("doc_id", F.col("low").alias("quality"))
-    rows = described.join(drawn, "doc_id").select("features", "quality", "doc_id").collect()
+    met = described.join(drawn, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("quality").alias("quality"))
+    rows = met.select("features", "quality", "doc_id").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r[2], r[0]))
