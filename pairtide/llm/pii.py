@@ -5,15 +5,16 @@ propose spans that may overlap each other and the base: numbers grouped in any w
 dotted numbers. Boosted trees judge a proposal by its format and its surroundings; those that overlap no base span can be added.
 
 Labels do not come from the base match of a proposal, which a span to add never has, but from
-* proposals free of the base in a bounded sample of the documents: checksum, cue word beside, format (``_evidence``);
-* base spans of that sample said in a form the base does not find (address spelled out, telephone number without its plus behind a cue, card
+* proposals free of the base in all documents: checksum, cue word beside, format (``_evidence``);
+* base spans of all documents said in a form the base does not find (address spelled out, telephone number without its plus behind a cue, card
   with other separators) and counter-examples of the same form (no domain, no cue, wrong checksum), likewise of a few built-in
   texts, so that every kind has both labels on any corpus;
 * findings that a reviewer has labelled, if given.
 The threshold is the lowest, from an even chance up, that reaches the wanted precision on rows held out of training.
 
 Everything on the way is columns: matches, features, trees (written out as CASE) and the choice of spans, all within
-a row, so nothing is shuffled and no Python runs on the executors.
+a row, and no Python runs on the executors. Only the training rows are shuffled, to be counted: proposals of equal label
+and features become one row with a weight.
 """
 
 from dataclasses import dataclass
@@ -75,9 +76,9 @@ _BUILT_IN = (
 
 @dataclass(frozen=True)
 class PiiSpec:
-    """``sample`` bounds the documents whose proposals are fitted (about); ``precision`` is asked of added spans."""
+    """``precision`` is asked of added spans; ``bins``, split candidates of a feature, is more than any has values."""
 
-    sample: int = 20_000
+    bins: int = 1024
     trees: int = 12
     depth: int = 4
     precision: float = 0.97
@@ -112,14 +113,17 @@ def _holds(kind: str, said: Column) -> Column:
 _HINT = {"email": "@", "phone": "+"}
 
 
+def _base(text: Column, kind: str) -> Column:
+    """Array of the base matches of a kind."""
+    found = F.filter(find(text, PATTERNS[kind], kind), lambda m: _holds(kind, m["said"]))
+    return F.when(text.contains(_HINT[kind]), found).otherwise(F.array()) if kind in _HINT else found
+
+
 def base_spans(text: Column) -> Column:
     """Array of ``(kind_no, start, end)`` of the base spans of a text, in order."""
 
     def of(number: int, kind: str) -> Column:
-        found = F.filter(find(text, PATTERNS[kind], kind), lambda m: _holds(kind, m["said"]))
-        spans = F.transform(found, lambda m: F.struct(F.lit(number).alias("kind_no"), m["start"].alias("start"), m["end"].alias("end"))).cast(_SPANS)
-        none = F.array().cast(_SPANS)
-        return F.when(text.contains(_HINT[kind]), spans).otherwise(none) if kind in _HINT else spans
+        return F.transform(_base(text, kind), lambda m: F.struct(F.lit(number).alias("kind_no"), m["start"].alias("start"), m["end"].alias("end"))).cast(_SPANS)
 
     return F.concat(*[of(i, k) for i, k in enumerate(KINDS)])
 
@@ -173,8 +177,8 @@ def _evidence(m: Column) -> Column:
     )
 
 
-def _renderings(text: Column) -> Column:
-    """Array of ``(kind, start, before, said, after, label)``: a text's base spans in forms that the base does not find, and counter-examples."""
+def _renderings(base: Column) -> Column:
+    """Array of ``(kind, start, before, said, after, label)``: a text's base matches in forms that the base does not find, and counter-examples."""
 
     def rows(m: Column, made: list[tuple[Column, Column, int]]) -> list[Column]:
         return [F.struct(m["kind"].alias("kind"), m["start"].alias("start"), before.alias("before"), said.alias("said"), m["right"].alias("after"), F.lit(float(label)).alias("label")) for before, said, label in made]
@@ -199,8 +203,7 @@ def _renderings(text: Column) -> Column:
         return [(m["left"], F.regexp_replace(d, "([0-9]{4})(?=[0-9])", f"$1{gap}"), label) for d, label in ((digits, 1), (wrong, 0)) for gap in (".", "  ", " -")]
 
     def of(kind: str, made) -> Column:
-        found = F.filter(find(text, PATTERNS[kind], kind), lambda m: _holds(kind, m["said"]))
-        return F.flatten(F.transform(found, lambda m: F.array(*rows(m, made(m)))))
+        return F.flatten(F.transform(F.filter(base, lambda m: m["kind"] == kind), lambda m: F.array(*rows(m, made(m)))))
 
     return F.concat(of("email", email), of("phone", phone), of("card", card))
 
@@ -210,37 +213,45 @@ def _proposed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     seeds = docs.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1 - i).cast("long").alias("doc_id"), F.lit(t).alias("text")) for i, t in enumerate(_BUILT_IN)])).alias("s")).select("s.*")
     every = texts(docs).withColumn("given", F.lit(True)).union(seeds.withColumn("given", F.lit(False)))
-    base = base_spans(text)
-    free = let(base, lambda spans: F.filter(proposals(text), lambda m: ~F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
-    own = every.select("doc_id", "given", F.explode(free).alias("m")).select("doc_id", "given", F.col("m.start").alias("at"), _evidence(F.col("m")).cast("double").alias("label"), "m")
-    said = every.select("doc_id", "given", F.explode(_renderings(text)).alias("r"))
-    whole = F.concat("r.before", "r.said", "r.after")
-    begin = F.length("r.before")
-    met = said.select("doc_id", "given", "r", F.explode(proposals(whole)).alias("m")).where((F.col("m.kind") == F.col("r.kind")) & (F.col("m.start") == begin) & (F.col("m.end") == begin + F.length("r.said")))
-    shown = met.select("doc_id", "given", F.col("r.start").alias("at"), F.col("r.label").alias("label"), "m")
-    return own.union(shown).select("given", "label", F.crc32(F.concat_ws(":", "doc_id", "at").cast("binary")).alias("draw"), "m")
+    # one pass: base matches are found once, for what they leave free and for their renderings
+    based = every.select("doc_id", "given", text.alias("text"), F.concat(*[_base(text, k) for k in KINDS]).alias("base"))
+    row = lambda at, label, m: F.struct(at.alias("at"), label.cast("double").alias("label"), m.alias("m"))
+
+    def own(base: Column) -> Column:
+        free = F.filter(proposals(F.col("text")), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+        return F.transform(free, lambda m: row(m["start"], _evidence(m), m))
+
+    def met(r: Column) -> Column:
+        begin = F.length(r["before"])
+        found = F.filter(let(F.concat(r["before"], r["said"], r["after"]), proposals), lambda m: (m["kind"] == r["kind"]) & (m["start"] == begin) & (m["end"] == begin + F.length(r["said"])))
+        return F.transform(found, lambda m: row(r["start"], r["label"], m))
+
+    shown = F.flatten(F.transform(_renderings(F.col("base")), met))
+    rows = based.select("doc_id", "given", F.explode(F.concat(own(F.col("base")), shown)).alias("r"))
+    return rows.select("given", "r.label", F.crc32(F.concat_ws(":", "doc_id", "r.at").cast("binary")).alias("draw"), "r.m")
 
 
 def train_pii(docs: DataFrame, spec: PiiSpec = PiiSpec(), findings: DataFrame | None = None):
-    """``(model, threshold)`` from about ``sample`` documents and, if given, reviewers' ``findings`` ``(kind, said, left, right,
+    """``(model, threshold)`` from all documents and, if given, reviewers' ``findings`` ``(kind, said, left, right,
     label)``; None if the documents have neither a proposal nor a base span and there are no findings."""
-    n = docs.count()
-    if not n:
-        return None
-    rows = _proposed(docs.sample(fraction=min(1.0, spec.sample / n), seed=spec.seed))
+    rows = _proposed(docs)
     if findings is not None:
         m = F.struct("kind", F.lit(0).alias("start"), F.length("said").alias("end"), "said", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right"))
         known = findings.where("said is not null and label in (0, 1)")
         rows = rows.union(known.select(F.lit(True), F.col("label").cast("double"), F.crc32(F.concat_ws(":", "kind", "left", "said").cast("binary")), m))
-    drawn = stage(rows.select("given", "label", "draw", *[c.alias(f) for f, c in zip(FEATURES, _features(F.col("m")))]), "proposals")
+    alike = ["label", "held", *FEATURES]
+    each = rows.select("given", "label", (F.col("draw") % 4 == 0).alias("held"), *[c.alias(f) for f, c in zip(FEATURES, _features(F.col("m")))])
+    counted = each.groupBy(*alike).agg(F.max("given").alias("given"), F.count("*").cast("double").alias("weight"))
+    drawn = stage(counted.sortWithinPartitions(*alike), "proposals")
     if drawn.where("given").isEmpty():
         return None
-    learn, held = drawn.where("draw % 4 <> 0"), drawn.where("draw % 4 = 0")
+    learn, held = drawn.where("not held"), drawn.where("held")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learn)
-    model = GBTClassifier(maxIter=spec.trees, maxDepth=spec.depth, seed=spec.seed, featuresCol="features", labelCol="label").fit(rows.select("features", "label"))
+    trees = GBTClassifier(maxIter=spec.trees, maxDepth=spec.depth, maxBins=spec.bins, seed=spec.seed, featuresCol="features", labelCol="label", weightCol="weight")
+    model = trees.fit(rows.select("features", "label", "weight"))
     chance = boosted_chance(model, lambda k: F.col(FEATURES[k]))
     # precision of everything at or above a chance, in thousandths: a table of 1001 rows at most
-    steps = held.groupBy(F.floor(chance * 1000).alias("step")).agg(F.sum("label").alias("right"), F.count("*").alias("all"))
+    steps = held.groupBy(F.floor(chance * 1000).alias("step")).agg(F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("all"))
     down = Window.orderBy(F.desc("step"))
     good = steps.select("step", (F.sum("right").over(down) / F.sum("all").over(down)).alias("precision")).where((F.col("precision") >= spec.precision) & (F.col("step") >= 500))
     least = good.agg(F.min("step")).first()[0]

@@ -260,6 +260,14 @@ def test_personal_data_beyond_the_base(docs, spark):
     assert redact(frame.where("doc_id = 0"), trained).first().text == "please write to [EMAIL] today"
 
 
+def test_personal_data_is_learned_from_all_documents(spark):
+    """One document in 60,000 holds all there is to learn from, wherever it stands."""
+    many = spark.range(0, 60_000, 1, 4)
+    for at in (11, 30_007, 59_998):
+        said = F.when(F.col("id") == at, "my card: 4111.1111.1111.1111, order 243 555 5526").otherwise("plain words")
+        assert train_pii(many.select(F.col("id").alias("doc_id"), said.alias("text"))) is not None
+
+
 def test_secrets(spark, awkward, nothing):
     text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and thestoriousinheritances or src/main/java/Foo.java12'
     frame = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
