@@ -6,8 +6,10 @@ candidates. A proposed pair is compared ``step`` minima at a time and dropped as
 matches so far and a flat prior, the chance that its similarity reaches the threshold is below ``miss``.
 What is left is decided on the two full shingle sets.
 
-Large groups stay linear. In each of some rounds every class is compared with one member of another component
-(a member drawn from each bucket, of the bucket shared most often), which leaves few outside their group's component. Then the
+Large groups stay linear. In each of some rounds every class is compared with a few members of other components
+(members drawn from each bucket, of the buckets shared most often), which leaves few outside their group's component. Between the
+rounds labels take few steps: equal labels are one component for certain, and a component under several labels only costs
+comparisons. Only the last labels are worked out to the end. Then the
 buckets that still hold several components are worked through in blocks of ``block`` members: only members of
 different components are compared, and what survives is handed on as one list for each member and block of
 partners, to be decided where the block's texts are. No candidate is capped: every pair of a bucket is either in one
@@ -39,7 +41,8 @@ class NearDupSpec:
     step: int = 24
     miss: float = 1e-6
     block: int = 1024
-    rounds: int = 4
+    rounds: int = 2
+    draws: int = 2
     held: int = 128
 
 
@@ -180,28 +183,35 @@ def _confirmed(pairs: DataFrame, held: DataFrame, spec: NearDupSpec) -> DataFram
     return both.select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(node, comp)`` of every linked node: least neighbour and a jump to the label's label, until nothing changes."""
+def components(links: DataFrame, steps: int | None = None) -> DataFrame:
+    """``(node, comp)`` of every linked node: least neighbour and a jump to the label's label, until nothing changes.
+
+    After ``steps``, if given, it ends early: then a component may still have several labels, but no label two components.
+    """
     both = stage(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels")
-    while True:
+    done = 0
+    while steps is None or done < steps:
+        done += 1
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
         moved = stage(step.join(jump, "next", "left").select("node", "old", F.least("next", "far").alias("comp")), "labels")
         labels = moved.select("node", "comp")
-        if moved.where("comp <> old").isEmpty():
-            return labels
+        if steps is None and moved.where("comp <> old").isEmpty():
+            break
+    return labels
 
 
-def _drawn(buckets: DataFrame, comps: DataFrame, number: int) -> DataFrame:
-    """For each class one partner ``(a, b)`` in another component: of the members drawn from its buckets, that of most buckets."""
+def _drawn(buckets: DataFrame, comps: DataFrame | None, number: int, spec: NearDupSpec) -> DataFrame:
+    """For each class up to ``draws`` partners ``(a, b)`` under other labels: of the members drawn from its buckets, those of most buckets."""
     member = _member(buckets, comps)
-    hubs = member.groupBy("band").agg(
-        F.min_by(F.struct("node", "comp"), F.struct(F.xxhash64("node", F.lit(number)), "node")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    ).where("low < high")
-    met = member.join(hubs.select("band", "hub.node", "hub.comp").toDF("band", "hub", "hub_comp"), "band").where("comp <> hub_comp")
-    return met.groupBy("node", "hub").agg(F.count("*").alias("shared")).groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b"))
+    drawn = [F.min_by(F.struct("node", "comp"), F.struct(F.xxhash64("node", F.lit(number * spec.draws + i)), "node")) for i in range(spec.draws)]
+    hubs = member.groupBy("band").agg(F.array_distinct(F.array(*drawn)).alias("hubs"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    met = member.join(hubs.select("band", "hubs"), "band").select("node", "comp", F.explode("hubs").alias("hub")).where("comp <> hub.comp")
+    shared = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("shared"))
+    best = F.sort_array(F.collect_list(F.struct("shared", (-F.col("hub")).alias("less"))), asc=False)
+    return shared.groupBy(F.col("node").alias("a")).agg(F.slice(best, 1, spec.draws).alias("best")).select("a", F.explode("best").alias("b")).select("a", (-F.col("b.less")).alias("b"))
 
 
 def _member(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -363,9 +373,9 @@ def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
     held = stage(own.select("node", "cls", "text").mapInArrow(_own_text(spec), "node long, text string"), "texts")
     links, comps = None, None
     for number in range(spec.rounds):
-        fresh = stage(_confirmed(_pruned(_drawn(buckets, comps, number), nodes, spec), held, spec), "links")
+        fresh = stage(_confirmed(_pruned(_drawn(buckets, comps, number, spec), nodes, spec), held, spec), "links")
         links = fresh if links is None else links.union(fresh)
-        comps = components(links)
+        comps = components(links, steps=1)
     asked = stage(_across(buckets, nodes, comps, spec), "asked")
     comps = components(links.union(_decided(asked, held, _blocks(nodes.select("node"), buckets, comps, spec), spec)))
     placed = nodes.join(comps, "node", "left").select("cls", "rep", F.coalesce("comp", "node").alias("comp"))

@@ -10,17 +10,19 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pairtide.llm import near_dups as near_dups_module
 from pairtide.llm import packing, words
 from pairtide.llm.decontaminate import LeakSpec, leaks, without_leaks
 from pairtide.llm.language import identify, train_language
 from pairtide.llm.licenses import license_scan
-from pairtide.llm.near_dups import NearDupSpec, near_dups, without_near_dups
+from pairtide.llm.near_dups import NearDupSpec, components, near_dups, without_near_dups
 from pairtide.llm.nearest import NearestSpec, nearest
 from pairtide.llm.packing import PackSpec, pack, pieces, plan_runs, sequences
 from pairtide.llm.pii import personal_spans, redact, train_pii, written
 from pairtide.llm.quality import quality
 from pairtide.llm.repeats import RepeatSpec, remove_repeats
 from pairtide.llm.secrets import SecretSpec, candidates, dictionary, known_findings, secrets, train_secrets
+from pairtide.session import stage
 
 SMALL = "/root/testdata/sf0.001"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -121,6 +123,20 @@ def test_near_dups(docs, plain, awkward, nothing, spark):
     assert near_dups(nothing).count() == 0
 
 
+def test_near_dups_along_a_chain(spark, monkeypatch):
+    """Each text is linked with its neighbours only: unfinished labels between the few rounds cost no link."""
+    order = np.random.default_rng(1).permutation(24).tolist()
+    rows = [(i + 100 * k, " ".join(f"{'ab'[k]}{w}" for w in range(10 * at, 10 * at + 120))) for k in (0, 1) for i, at in enumerate(order)]
+    staged = []
+    monkeypatch.setattr(near_dups_module, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    got = near_dups(spark.createDataFrame(rows, "doc_id long, text string"), NearDupSpec(shingle=4)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, d - d % 100) for d, _ in rows}
+    assert staged.index("asked") <= 12
+    path = spark.createDataFrame([(i + k, i + k + 1) for k in (0, 100) for i in range(30)], "a long, b long")
+    early = components(path, steps=1).collect()
+    assert len(early) == 62 and all(r.comp // 100 == r.node // 100 for r in early)
+
+
 def removed(rows, window=20):
     first, out = set(), []
     for doc, text in rows:
