@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pairtide.llm import steps
 from pairtide.session import stage
 
 SMALL = "/root/testdata/sf0.001"
@@ -73,3 +74,11 @@ def test_empty_and_awkward_tables(spark, name, step):
     else:
         assert len(out) == kept[name]
         assert {r.text for r in out} <= {t for _, t in rows}
+
+
+def test_personal_data_of_one_document(spark):
+    """The stage learns from every document: the only one with personal data is found and redacted."""
+    said = F.when(F.col("id") == 30_007, "my phone: 2435555526.").otherwise("plain words")
+    docs = spark.range(0, 60_000, 1, 4).select(F.col("id").alias("doc_id"), said.alias("text"))
+    told = {r.text: r["count"] for r in steps.personal_data(spark, docs, None).groupBy("text").count().collect()}
+    assert told == {"plain words": 59_999, "my phone: [PHONE].": 1}
