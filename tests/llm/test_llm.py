@@ -18,7 +18,7 @@ from pairtide.llm.licenses import license_scan
 from pairtide.llm.near_dups import NearDupSpec, components, near_dups, without_near_dups
 from pairtide.llm.nearest import NearestSpec, nearest
 from pairtide.llm.packing import PackSpec, pack, pieces, plan_runs, sequences
-from pairtide.llm.pii import personal_spans, redact, train_pii, written
+from pairtide.llm.pii import PiiSpec, personal_spans, redact, train_pii, written
 from pairtide.llm.quality import quality
 from pairtide.llm.repeats import RepeatSpec, remove_repeats
 from pairtide.llm.secrets import SecretSpec, candidates, dictionary, known_findings, secrets, train_secrets
@@ -284,6 +284,12 @@ def test_personal_data_is_learned_from_all_documents(spark):
         assert train_pii(many.select(F.col("id").alias("doc_id"), said.alias("text"))) is not None
 
 
+def test_split_candidates_come_from_all_rows(docs):
+    """Spark ML draws split candidates from a sample of rows beyond the square of the bins; these follow the rows."""
+    model, _ = train_pii(docs, PiiSpec(bins=2, trees=1, folds=2))
+    assert model.getMaxBins() ** 2 > model.trees[0]._call_java("rootNode").impurityStats().rawCount()
+
+
 def test_secrets(spark, awkward, nothing):
     text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and thestoriousinheritances or src/main/java/Foo.java12'
     frame = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")

@@ -1,6 +1,7 @@
 """The pipeline end to end: what goes, what stays, what changes."""
 
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +83,10 @@ def test_personal_data_of_one_document(spark):
     docs = spark.range(0, 60_000, 1, 4).select(F.col("id").alias("doc_id"), said.alias("text"))
     told = {r.text: r["count"] for r in steps.personal_data(spark, docs, None).groupBy("text").count().collect()}
     assert told == {"plain words": 59_999, "my phone: [PHONE].": 1}
+
+
+def test_personal_data_is_learned_in_every_fold(spark):
+    """Telephone numbers that all fall into one fold, which the threshold is judged on, are learned from and redacted."""
+    assert all(zlib.crc32(f"{i}:5".encode()) % 4 == 0 for i in (0, 4, 8))
+    docs = spark.createDataFrame([(i, "call 243 555 5526 of") for i in (0, 4, 8)], "doc_id long, text string")
+    assert [r.text for r in steps.personal_data(spark, docs, None).collect()] == ["call [PHONE] of"] * 3
